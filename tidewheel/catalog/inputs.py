@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators.frames import as_bench, rotation_frame, trend_frame
 from tidewheel.operators.layout import WHOLE
 from tidewheel.plans import lookup, rotation
+from tidewheel.session import materialize
 from tidewheel.sources import tables as t
 
 BENCH = t.BENCHMARK
@@ -41,25 +42,30 @@ def stamp(column: str = "dt") -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm").alias(column)
 
 
+def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily bars built once and stored, for queries that read them in several places."""
+    return materialize(t.order_bars(spark, folder), "bars")
+
+
 def own(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars are unique per (symbol, day): one task per series is enough."""
     return trend_frame(t.order_bars(spark, folder), WHOLE)
 
 
 def aligned(spark: SparkSession, folder: str) -> DataFrame:
-    bars = t.order_bars(spark, folder)
+    bars = stored_bars(spark, folder)
     return rotation_frame(bars, as_bench(bars, BENCH), WHOLE)
 
 
 def sector_table(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
-    bars = t.order_bars(spark, folder) if bars is None else bars
+    bars = stored_bars(spark, folder) if bars is None else bars
     return rotation.sector_rotation(bars, t.sector_dim(spark, folder), BENCH, WHOLE)
 
 
 def drilldown(spark: SparkSession, folder: str, min_score: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(sector table, drill-down with ranks)."""
-    bars = t.order_bars(spark, folder)
-    sectors = sector_table(spark, folder, bars)
+    """(sector table, ranked drill-down); the few sector rows are stored before members are chosen by them."""
+    bars = stored_bars(spark, folder)
+    sectors = materialize(sector_table(spark, folder, bars), "sectors")
     drill = rotation.stock_drilldown(
         bars, t.universe_dim(spark, folder), rotation.rotating(sectors, min_score), t.name_dim(spark, folder),
         BENCH, WHOLE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.catalog.inputs import BENCH, drilldown, lookup_table, sector_table
+from tidewheel.catalog.inputs import BENCH, drilldown, lookup_table, sector_table, stored_bars
 from tidewheel.catalog.registry import query
 from tidewheel.catalog.sql import CTES, rnd
 from tidewheel.functions.labels import ticker_label
@@ -22,7 +22,7 @@ _FACTORS = "f_price, f_volume, f_roc, f_mom, n_sigs, level"
 _SECTOR = (f"etf, name, quad, rs_ratio, rs_mom, signal, vol_surge, {_FACTORS}, score, alert, ret_1y, vol_bucket, "
            f"ann_vol, reason, n_entries, {_STATS}, days_in_leading")
 _STOCK = (f"etf, ticker, name, quad, quad_sec, signal, vol_surge, {_FACTORS}, score, rec, ret_1y, vol_bucket, ann_vol, "
-          f"reason, n_signals, {_STATS}, days_active, current_ret, rank")
+          f"reason, n_signals, {_STATS}, days_active, current_ret")
 
 
 def _columns(text: str) -> list[str]:
@@ -46,15 +46,6 @@ def sector_scores(spark: SparkSession, d: str) -> DataFrame:
     return sector_table(spark, d).select(*_columns(f"etf, quad, signal, {_FACTORS}, score, alert"))
 
 
-@query("ranked_sectors", "SELECT etf, score, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM rotation")
-def ranked_sectors(spark: SparkSession, d: str) -> DataFrame:
-    """One row per sector, so a single ranking task sees a few rows only."""
-    from pyspark.sql import Window
-
-    place = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "ord")
-    return sector_table(spark, d).select("etf", "score", F.row_number().over(place).cast("bigint").alias("rank"))
-
-
 @query("drill_sectors", "SELECT etf, name, score FROM rotation WHERE score >= 6")
 def drill_sectors(spark: SparkSession, d: str) -> DataFrame:
     return rotation.rotating(sector_table(spark, d)).select("etf", "name", "score")
@@ -97,18 +88,18 @@ def trail_extents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stock_drilldown", f"SELECT {_STOCK} FROM drill")
 def stock_drilldown(spark: SparkSession, d: str) -> DataFrame:
-    return _stock_rows(drilldown(spark, d)[1]).withColumn("rank", F.col("rank").cast("bigint"))
+    return _stock_rows(drilldown(spark, d)[1])
 
 
 @query("member_scores", f"SELECT {_STOCK} FROM drill_all")
 def member_scores(spark: SparkSession, d: str) -> DataFrame:
     """The drill-down with every scored sector let through."""
-    return _stock_rows(drilldown(spark, d, 0)[1]).withColumn("rank", F.col("rank").cast("bigint"))
+    return _stock_rows(drilldown(spark, d, 0)[1])
 
 
 @query("sector_pair_quadrants", "SELECT etf, ticker, quad_sec FROM pair_last")
 def sector_pair_quadrants(spark: SparkSession, d: str) -> DataFrame:
-    return rotation.sector_pair_quadrant(t.order_bars(spark, d), t.universe_dim(spark, d))
+    return rotation.sector_pair_quadrant(stored_bars(spark, d), t.universe_dim(spark, d))
 
 
 @query("reason_sentences", "SELECT etf, ticker, reason FROM drill_all")
@@ -143,7 +134,7 @@ FROM drill_all x JOIN rotation s ON s.etf = x.etf WHERE x.rec NOT LIKE '%AVOID%'
   days_active AS days, current_ret AS cur, avg_20d AS avg, hit_20d AS hit FROM (
   SELECT *, count(*) OVER (PARTITION BY bucket) AS bucket_size, row_number() OVER (PARTITION BY bucket ORDER BY
     CASE bucket WHEN 'new' THEN days_active::DOUBLE WHEN 'room' THEN current_ret - avg_20d WHEN 'extended' THEN -current_ret
-         ELSE -hit_20d * 10 - avg_20d END, sector_score DESC, sector_ord, rank) AS bucket_rank
+         ELSE -hit_20d * 10 - avg_20d END, sector_score DESC, sector_ord, score DESC, ord) AS bucket_rank
   FROM listed WHERE bucket IS NOT NULL) WHERE bucket_rank <= 8""")
 def signal_buckets(spark: SparkSession, d: str) -> DataFrame:
     sectors, ranked = drilldown(spark, d, 0)
@@ -152,7 +143,7 @@ def signal_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sector_cards", f"""SELECT etf, count(*) FILTER (WHERE rec LIKE '%BUY%') AS buys,
   count(*) FILTER (WHERE rec LIKE '%AVOID%') AS avoids,
-  array_to_string((list(ticker ORDER BY rank) FILTER (WHERE rec LIKE '%BUY%'))[1:4], ', ') AS top,
+  array_to_string((list(ticker ORDER BY score DESC, ord) FILTER (WHERE rec LIKE '%BUY%'))[1:4], ', ') AS top,
   {rnd('avg(hit_20d)', 1)} AS avg_hit, {rnd('avg(avg_20d)', 2)} AS avg_ret FROM drill_all GROUP BY etf""")
 def sector_cards(spark: SparkSession, d: str) -> DataFrame:
     cards = signals.sector_cards(drilldown(spark, d, 0)[1])
@@ -207,10 +198,11 @@ def stock_search(spark: SparkSession, d: str) -> DataFrame:
 _LATE = "(starts_with(lower(ticker), 'nation_2') OR contains(lower(name), 'nation_2'))"
 
 
-@query("search_fallback", f"""
-WITH hit AS (SELECT ticker, name, etf, score FROM (SELECT * FROM drill) WHERE {_LATE}),
-other AS (SELECT * FROM (SELECT * FROM looked) WHERE {_LATE} ORDER BY first_etf_ord, first_ord LIMIT 1)
-SELECT ticker, name, etf AS sector_etf, score, 'drilldown' AS found_in FROM hit
+CTES["hit"] = f"SELECT ticker, name, etf, score FROM drill WHERE {_LATE}"
+CTES["other"] = f"SELECT * FROM looked WHERE {_LATE} ORDER BY first_etf_ord, first_ord LIMIT 1"
+
+
+@query("search_fallback", """SELECT ticker, name, etf AS sector_etf, score, 'drilldown' AS found_in FROM hit
 UNION ALL SELECT ticker, name, sector_etf, score, 'lookup' FROM other WHERE (SELECT count(*) FROM hit) = 0""")
 def search_fallback(spark: SparkSession, d: str) -> DataFrame:
     sectors, ranked = drilldown(spark, d)
@@ -237,7 +229,7 @@ CTES["event_changes"] = _changes(METAL_HORIZONS, "spot").replace("@", "ebars")
 
 
 def _recent(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     return b.recent(bars, b.data_as_of(bars, BENCH).scalar())
 
 
@@ -318,8 +310,7 @@ def lookup_payload(spark: SparkSession, d: str) -> DataFrame:
 
 # Refresh ----------------------------------------------------------------------
 
-# The stored table ends for each symbol at its last bar that fewer than 30 orders had
-# traded into; the landing table is the full history of the regions.
+# Stored: bars up to May 2001, and the whole benchmark. Landed: the full history of the regions.
 SINCE = "1996-01-01"
 CTES["stored"] = """SELECT * FROM bars WHERE dt < TIMESTAMP '2001-06-01' OR symbol = 'ALL'"""
 CTES["landing"] = """SELECT * FROM bars WHERE symbol IN (SELECT r_name FROM region)"""
@@ -335,7 +326,7 @@ UNION ALL SELECT * FROM landed"""
 
 def _refresh_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stored bars, landed bars, freshness) with the suppliers as symbols that never land."""
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     stored = bars.filter((F.col("dt") < F.lit("2001-06-01").cast("timestamp")) | (F.col("symbol") == BENCH))
     regions = t.table(spark, d, "region").select(F.col("r_name").alias("symbol"))
     landing = bars.join(regions, "symbol", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.catalog.inputs import BENCH, aligned, day, own, stamp
+from tidewheel.catalog.inputs import BENCH, aligned, day, own, stamp, stored_bars
 from tidewheel.catalog.registry import query
 from tidewheel.catalog.sql import _LEAD, rnd
 from tidewheel.catalog.sql import day as sql_day
@@ -84,13 +84,13 @@ def data_as_of(spark: SparkSession, d: str) -> DataFrame:
 @query("recent_history", f"""SELECT symbol, {D} AS dt, close FROM bars
 WHERE dt >= (SELECT max(dt) FROM bars WHERE symbol = 'ALL') - INTERVAL 3 MONTH""")
 def recent_history(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     return b.recent(bars, b.data_as_of(bars, BENCH).scalar()).select("symbol", day(), "close")
 
 
 @query("aligned_bars", f"SELECT symbol, {D} AS dt, close, bench_close FROM joined")
 def aligned_bars(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     return align(bars, as_bench(bars, BENCH)).select("symbol", day(), "close", "bench_close")
 
 
@@ -98,7 +98,7 @@ def aligned_bars(spark: SparkSession, d: str) -> DataFrame:
 SELECT string_split(k, '|')[1] AS etf, symbol AS ticker, count(*) AS n, sum(CAST(round(close * 100) AS BIGINT))::BIGINT
   AS close_cents, sum(CAST(round(bench_close * 100) AS BIGINT))::BIGINT AS bench_cents FROM pair_joined GROUP BY ALL""")
 def sector_aligned_bars(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     stock = t.universe_dim(spark, d).select("etf", "ticker").join(bars.withColumnRenamed("symbol", "ticker"), "ticker")
     sector = bars.select(F.col("symbol").alias("etf"), "dt", F.col("close").alias("bench_close"))
     cents = {n: F.sum(F.round(F.col(c) * 100).cast("bigint")) for n, c in
@@ -148,7 +148,7 @@ def rolling_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query("row_numbers_split", f"""SELECT symbol, {D} AS dt, row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS pos,
   count(*) OVER (PARTITION BY symbol) AS n_bars FROM bars""")
 def row_numbers_split(spark: SparkSession, d: str) -> DataFrame:
-    numbered = number_rows(t.order_bars(spark, d), ["symbol"], "dt", 90 * 86400)
+    numbered = number_rows(stored_bars(spark, d), ["symbol"], "dt", 90 * 86400)
     return numbered.select("symbol", day(), F.col("pos").cast("bigint").alias("pos"), "n_bars")
 
 
@@ -172,7 +172,7 @@ def atr_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rs_line", f"SELECT symbol, {D} AS dt, {rnd('100 * close / bench_close', 4)} AS rs FROM joined")
 def rs_line(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     rs = F.try_divide(100 * F.col("close"), F.col("bench_close"))
     return align(bars, as_bench(bars, BENCH)).select("symbol", day(), round_to(rs, 4).alias("rs"))
 
@@ -193,14 +193,14 @@ def rrg_series(spark: SparkSession, d: str) -> DataFrame:
 @query("rrg_series_split", _RRG_SQL)
 def rrg_series_split(spark: SparkSession, d: str) -> DataFrame:
     """The same series cut into blocks, as for a symbol too long for one task."""
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     return _rrg_rows(rotation_frame(bars, as_bench(bars, BENCH), SPLIT))
 
 
 @query("sector_rrg_snapshot", f"""SELECT s.etf, s.name, {rnd('ratio', 3)} AS rs_ratio, {rnd('mom', 3)} AS rs_mom, quad,
   {D} AS dt FROM rot r JOIN sectors s ON s.etf = r.symbol WHERE pos = n - 1""")
 def sector_rrg_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    bars, sectors = t.order_bars(spark, d), t.sector_dim(spark, d)
+    bars, sectors = stored_bars(spark, d), t.sector_dim(spark, d)
     members = bars.join(sectors.select(F.col("etf").alias("symbol")), "symbol", "left_semi")
     last = rotation_frame(members, as_bench(bars, BENCH), WHOLE).groupBy("symbol").agg(
         F.max_by(F.struct("ratio", "mom", "quad", "dt"), "pos").alias("last"))
@@ -249,7 +249,7 @@ def trend_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query("trend_series_split", _TREND_SQL)
 def trend_series_split(spark: SparkSession, d: str) -> DataFrame:
-    return _trend_rows(trend_frame(t.order_bars(spark, d), SPLIT))
+    return _trend_rows(trend_frame(stored_bars(spark, d), SPLIT))
 
 
 @query("trend_signal", "SELECT symbol, signal FROM trend_sum")
@@ -268,7 +268,7 @@ def volume_surge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("four_factors", "SELECT symbol, f_price, f_volume, f_roc, f_mom, n_sigs, level FROM rot_last")
 def four_factors(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     return rotation_summary(bars, as_bench(bars, BENCH)).select(
         "symbol", "f_price", "f_volume", "f_roc", "f_mom", "n_sigs", "level")
 
@@ -305,14 +305,14 @@ _STATS = ", ".join(f"{k}_{h}d" for h in (5, 10, 20, 30) for k in ("hit", "avg",
 
 @query("transition_backtest", f"SELECT symbol, n_entries, {_STATS}, days_in_leading FROM transitions")
 def transition_backtest(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     return rotation_summary(bars, as_bench(bars, BENCH)).select(
         "symbol", "n_entries", *bt.stat_names(), "days_in_leading")
 
 
 @query("days_in_leading", "SELECT symbol, days_in_leading FROM transitions WHERE days_in_leading IS NOT NULL")
 def days_in_leading(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     return rotation_summary(bars, as_bench(bars, BENCH)).select("symbol", "days_in_leading").dropna()
 
 
@@ -339,7 +339,7 @@ def signal_age(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN hit_20d >= 60 THEN 'good' WHEN hit_20d >= 45 THEN 'fair' WHEN hit_20d IS NOT NULL THEN 'poor' END AS grade
 FROM transitions""")
 def hit_grades(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     return rotation_summary(bars, as_bench(bars, BENCH)).select(
         "symbol", "hit_20d", hit_grade(F.col("hit_20d")).alias("grade"))
 
@@ -366,7 +366,7 @@ def year_return(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rrg_trail", "SELECT symbol, back, ratio, mom FROM trails")
 def rrg_trail(spark: SparkSession, d: str) -> DataFrame:
-    bars = t.order_bars(spark, d)
+    bars = stored_bars(spark, d)
     trail = rotation_summary(bars, as_bench(bars, BENCH)).select("symbol", F.posexplode("trail").alias("i", "p"))
     back = F.when(F.col("i") < 8, 40 - 5 * F.col("i")).otherwise(1).cast("bigint")
     return trail.select("symbol", back.alias("back"), "p.ratio", "p.mom")

@@ -242,8 +242,7 @@ SELECT string_split(k, '|')[1] AS etf, string_split(k, '|')[2] AS ticker, quad A
 
 CTES["drill_all"] = f"""
 SELECT *, CASE WHEN score >= 12 THEN '★★★ STRONG BUY' WHEN score >= 9 THEN '★★  BUY' WHEN score >= 6 THEN '★   WATCH'
-               ELSE '    AVOID' END AS rec, {_reason(True)} AS reason,
-  row_number() OVER (PARTITION BY etf ORDER BY score DESC, ord) AS rank FROM (
+               ELSE '    AVOID' END AS rec, {_reason(True)} AS reason FROM (
   SELECT u.etf, u.ticker, u.ord, coalesce(m.name, '') AS name, r.* EXCLUDE (symbol),
          coalesce(p.quad_sec, 'N/A') AS quad_sec, t.* EXCLUDE (symbol, ann_vol_raw),
          CASE r.quad WHEN 'Leading' THEN 3 WHEN 'Improving' THEN 2 WHEN 'Weakening' THEN 1 ELSE 0 END

@@ -1,7 +1,8 @@
 """Entries, forward-return statistics and last-bar snapshots: one aggregation per series.
 
-Every function returns named aggregate columns, so a caller asks for all of them in
-a single ``groupBy(...).agg(...)``, which combines on the map side.
+Every function returns aggregate columns, so a caller asks for all of them in a
+single ``groupBy(...).agg(...)``, which combines on the map side. All buffers are
+numbers, dates or booleans: Spark then aggregates by hash and need not sort the rows.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ MIN_TRANSITION_BARS = 300
 TRAIL_OFFSETS = (40, 35, 30, 25, 20, 15, 10, 5)
 
 
+def is_last() -> Column:
+    return F.col("pos") == F.col("n_bars") - 1
+
+
 def at_last(value: Column) -> Column:
     """Value on the last bar of the series."""
-    return F.max_by(value, F.col("pos"))
+    return F.max(F.when(is_last(), value))
 
 
 def leading_entry(skip_seed: bool = False) -> Column:
@@ -100,11 +105,18 @@ def factor_flags() -> dict[str, Column]:
     return {name: F.coalesce(test, F.lit(False)) for name, test in tests.items()}
 
 
-def trail_points() -> Column:
-    """At most nine (ratio, momentum) points: every 5th bar of the last 40, then the last."""
+def trail_values() -> list[Column]:
+    """Ratio and momentum of every 5th bar of the last 40, then of the last bar."""
     back = F.col("n_bars") - F.col("pos")
-    point = F.struct(F.col("pos"), round_to(finite(F.col("ratio")), 3).alias("ratio"),
-                     round_to(finite(F.col("mom")), 3).alias("mom"))
-    chosen = F.when(back.isin(*TRAIL_OFFSETS, 1), point)
-    ordered = F.array_sort(F.collect_list(chosen))
-    return F.transform(ordered, lambda p: F.struct(p["ratio"].alias("ratio"), p["mom"].alias("mom")))
+    return [F.max(F.when(back == k, finite(F.col(c)))).alias(f"_{c}_{k}")
+            for k in (*TRAIL_OFFSETS, 1) for c in ("ratio", "mom")]
+
+
+def trail() -> Column:
+    """The points of ``trail_values`` the series is long enough for, oldest first."""
+    points = [
+        F.when(F.col("n_bars") >= k, F.struct(round_to(F.col(f"_ratio_{k}"), 3).alias("ratio"),
+                                              round_to(F.col(f"_mom_{k}"), 3).alias("mom")))
+        for k in (*TRAIL_OFFSETS, 1)
+    ]
+    return F.array_compact(F.array(*points))

@@ -47,7 +47,7 @@ def own_columns(window) -> dict[str, Column]:
     }
 
 
-def aligned_columns(window) -> dict[str, Column]:
+def aligned_columns(window, horizons: Sequence[int] = HORIZONS) -> dict[str, Column]:
     """Columns a benchmark-aligned series needs besides the rotation."""
     def close_ago(rows: int) -> Column:
         return F.lag("close", rows).over(window)
@@ -56,24 +56,28 @@ def aligned_columns(window) -> dict[str, Column]:
         "vol_mean20": rolling(F.avg("volume"), VOLUME_FRAME, window, F.col("volume")),
         "roc10": pct_change(F.col("close"), close_ago(10)),
         "roc10_ago2": pct_change(close_ago(2), close_ago(12)),
-        **forward_returns(window),
+        **forward_returns(window, horizons),
     }
 
 
 def trend_frame(bars: DataFrame, layout: Layout = WHOLE, key: Sequence[str] = ("symbol",),
-                min_bars: int = MIN_BARS) -> DataFrame:
-    """Own-bar frame: returns, forward returns, RSI, bands, trend."""
-    arranged = arrange(bars, layout, key)
-    framed = arranged.withColumns(own_columns(series_window(layout, key)))
-    return with_trend(framed.filter(F.col("n_bars") >= min_bars), layout, key)
+                min_bars: int = MIN_BARS, detail: bool = True) -> DataFrame:
+    """Own-bar frame: returns, forward returns, RSI, trend; with ``detail`` also bands and inputs.
+
+    The gate stands between the windows and the recurrence, and only needed columns
+    go through Arrow.
+    """
+    needed = bars.drop("open")
+    framed = arrange(needed, layout, key).withColumns(own_columns(series_window(layout, key)))
+    return with_trend(framed.filter(F.col("n_bars") >= min_bars), layout, key, detail)
 
 
 def rotation_frame(bars: DataFrame, bench: DataFrame, layout: Layout = WHOLE,
                    key: Sequence[str] = ("symbol",), on: Sequence[str] = ("dt",),
-                   min_bars: int = MIN_BARS) -> DataFrame:
+                   min_bars: int = MIN_BARS, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Benchmark-aligned frame: forward returns, factors' inputs, ratio, momentum, quadrant."""
-    arranged = arrange(align(bars, bench, on), layout, key)
-    framed = arranged.withColumns(aligned_columns(series_window(layout, key)))
+    arranged = arrange(align(bars.drop("open", "high", "low"), bench, on), layout, key)
+    framed = arranged.withColumns(aligned_columns(series_window(layout, key), horizons))
     rotated = with_rotation(framed.filter(F.col("n_bars") >= min_bars), layout, key)
     return rotated.withColumns({
         "quad": quadrant(F.col("ratio"), F.col("mom")),

@@ -191,6 +191,8 @@ TREND_FIELDS = {"rsi": T.DoubleType(), "atr": T.DoubleType(), "ema55": T.DoubleT
                 "mult": T.DoubleType(), "band_up": T.DoubleType(), "band_dn": T.DoubleType(),
                 "trend": T.IntegerType(), "trend_prev": T.IntegerType(), "proven": T.BooleanType()}
 
+TREND_CORE = ("rsi", "trend", "trend_prev", "proven")
+
 ROTATION_FIELDS = {"ratio": T.DoubleType(), "mom": T.DoubleType(), "ratio_prev": T.DoubleType(),
                    "mom_prev": T.DoubleType(), "mom_lag4": T.DoubleType(), "ema50": T.DoubleType()}
 
@@ -206,15 +208,17 @@ def with_rotation(frame: DataFrame, layout: Layout = WHOLE, key: Sequence[str] =
     return out.filter("own").drop("blk", "own") if layout.split else out
 
 
-def with_trend(frame: DataFrame, layout: Layout = WHOLE, key: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Add RSI, ATR, base line, bands and trend to arranged rows."""
+def with_trend(frame: DataFrame, layout: Layout = WHOLE, key: Sequence[str] = ("symbol",),
+               detail: bool = True) -> DataFrame:
+    """Add RSI and trend to arranged rows, with ``detail`` also ATR, base line and bands."""
+    fields = {n: f for n, f in TREND_FIELDS.items() if detail or n in TREND_CORE}
     if not layout.split:
-        return per_series(frame, key, ["high", "low", "close", "pos"], TREND_FIELDS, trend_states).drop("proven")
+        return per_series(frame, key, ["high", "low", "close", "pos"], fields, trend_states).drop("proven")
 
     def walk(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return trend_states(cols, cols["own"])
 
-    folded = per_series(frame, layout.group_keys(key), ["high", "low", "close", "pos", "own"], TREND_FIELDS, walk)
+    folded = per_series(frame, layout.group_keys(key), ["high", "low", "close", "pos", "own"], fields, walk)
     folded = materialize(folded.filter("own").drop("own"), "trend-blocks")
 
     # A series with an unproven block, whose copies never pinned the band down, is walked whole.
@@ -222,7 +226,7 @@ def with_trend(frame: DataFrame, layout: Layout = WHOLE, key: Sequence[str] = ("
     firm = folded.join(loose, list(key), "left_anti")
     plain = [f.name for f in frame.schema.fields if f.name not in ("blk", "own")]
     rest = folded.join(loose, list(key), "left_semi").select(*plain)
-    rest = with_trend(rest, WHOLE, key)
+    rest = with_trend(rest, WHOLE, key, detail)
 
     # Trend of rows ahead of a block's first flip: the last flip of an earlier block, 1 at the start.
     ends = firm.groupBy(*key, "blk").agg(F.max_by("trend", "pos").alias("end_trend"))

@@ -47,18 +47,22 @@ def metal_events(metals: DataFrame, events: DataFrame) -> DataFrame:
 def supply_briefs(metals: DataFrame, events: DataFrame) -> DataFrame:
     """Event counts, sentiment and up to two causes from the first four events per metal.
 
-    ``events`` is the capped feed, so a metal's list is at most that long.
+    Counts combine on the map side and the first four are limited there, so a metal
+    with most of the events is no hot spot.
     """
     order = Window.partitionBy("name").orderBy(
         F.desc("pub_sort"), F.desc(F.col("etype") != text.NO_EVENT), "ingest_ord")
-    placed = metal_events(metals, events).withColumn("_n", F.row_number().over(order))
-    known = F.when((F.col("_n") <= BRIEF_EVENTS) & (F.length("cause") > 0), F.struct("_n", "cause"))
-    grouped = placed.groupBy("name").agg(
+    matched = metal_events(metals, events)
+    counts = matched.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("pressure") == "UP", 1)).alias("up"),
         F.count(F.when(F.col("pressure") == "DOWN", 1)).alias("down"),
-        F.slice(F.array_sort(F.collect_list(known)), 1, BRIEF_CAUSES).alias("_causes"),
     )
+    first = matched.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= BRIEF_EVENTS)
+    known = F.when(F.length("cause") > 0, F.struct("_n", "cause"))
+    causes = first.groupBy("name").agg(
+        F.slice(F.array_sort(F.collect_list(known)), 1, BRIEF_CAUSES).alias("_causes"))
+    grouped = counts.join(causes, "name")
     sentiment = (F.when(F.col("up") > F.col("down"), "Supply pressure ↑")
                  .when(F.col("down") > F.col("up"), "Supply easing ↓").otherwise("Mixed"))
     return grouped.select("name", sentiment.alias("sentiment"), "up", "down", "n",

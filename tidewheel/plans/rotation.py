@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import labels
@@ -17,9 +17,9 @@ MIN_SECTOR_PAIR_BARS = 201
 def trend_summary(bars: DataFrame, layout: Layout = WHOLE) -> DataFrame:
     """One row per symbol from its own bars: signal, surge, volatility, 1Y return, signal backtest."""
     entry, active = bt.signal_entry(), F.col("trend") == 1
-    last = bt.at_last(F.struct(bt.is_buy().alias("buy"), bt.volume_over_mean(1.5).alias("surge")))
-    stats = trend_frame(bars, layout).groupBy("symbol").agg(
-        last.alias("last"),
+    stats = trend_frame(bars, layout, detail=False).groupBy("symbol").agg(
+        bt.at_last(bt.is_buy()).alias("buy"),
+        bt.at_last(bt.volume_over_mean(1.5)).alias("vol_surge"),
         bt.annual_volatility().alias("ann_vol_raw"),
         bt.year_return().alias("ret_1y"),
         F.count(F.when(entry, 1)).alias("n_entries"),
@@ -30,8 +30,8 @@ def trend_summary(bars: DataFrame, layout: Layout = WHOLE) -> DataFrame:
     enough = F.col("n_entries") >= bt.MIN_ENTRIES
     return stats.select(
         "symbol",
-        F.when(F.col("last.buy"), "BUY").otherwise("FLAT").alias("signal"),
-        F.col("last.surge").alias("vol_surge"),
+        F.when(F.col("buy"), "BUY").otherwise("FLAT").alias("signal"),
+        "vol_surge",
         "ret_1y",
         labels.volatility_bucket(F.col("ann_vol_raw")).alias("vol_bucket"),
         round_to(F.col("ann_vol_raw"), 1).alias("ann_vol"),
@@ -40,44 +40,48 @@ def trend_summary(bars: DataFrame, layout: Layout = WHOLE) -> DataFrame:
     )
 
 
-def rotation_columns(stats: DataFrame) -> DataFrame:
-    """Unpack the last-bar struct of an aligned series and count its confirmations."""
-    flags = [f"f_{n}" for n in ("price", "volume", "roc", "mom")]
-    n_sigs = sum((F.col(f"last.{f}").cast("int") for f in flags[1:]), F.col(f"last.{flags[0]}").cast("int"))
-    return stats.select("*", "last.quad", "last.rs_ratio", "last.rs_mom", *[f"last.{f}" for f in flags],
-                        n_sigs.alias("n_sigs"), labels.confirm_level(n_sigs).alias("level")).drop("last")
+def last_rotation() -> list[Column]:
+    """Last-bar ratio, momentum and factor flags as aggregates."""
+    return [
+        bt.at_last(finite(F.col("ratio"))).alias("last_ratio"),
+        bt.at_last(finite(F.col("mom"))).alias("last_mom"),
+        *[bt.at_last(test).alias(name) for name, test in bt.factor_flags().items()],
+    ]
 
 
-def last_rotation() -> Column:
-    return bt.at_last(F.struct(
-        F.col("quad"),
-        round_to(finite(F.col("ratio")), 3).alias("rs_ratio"),
-        round_to(finite(F.col("mom")), 3).alias("rs_mom"),
-        *[test.alias(name) for name, test in bt.factor_flags().items()],
-    )).alias("last")
+def rotation_columns() -> list[Column]:
+    """Labels and counts over the aggregates of ``last_rotation``."""
+    flags = [F.col(name) for name in bt.factor_flags()]
+    n_sigs = sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))
+    ratio, mom = F.col("last_ratio"), F.col("last_mom")
+    return [
+        labels.quadrant(ratio, mom).alias("quad"), round_to(ratio, 3).alias("rs_ratio"),
+        round_to(mom, 3).alias("rs_mom"), *flags, n_sigs.alias("n_sigs"),
+        labels.confirm_level(n_sigs).alias("level"),
+    ]
 
 
 def rotation_summary(bars: DataFrame, bench: DataFrame, layout: Layout = WHOLE) -> DataFrame:
     """One row per symbol from benchmark-aligned bars: quadrant, factors, transition backtest, trail."""
     entry, active = bt.leading_entry(), F.col("quad") == "Leading"
     stats = rotation_frame(bars, bench, layout).groupBy("symbol").agg(
-        last_rotation(),
-        F.max("n_bars").alias("n_aligned"),
-        F.count(F.when(entry, 1)).alias("n_found"),
+        *last_rotation(),
+        F.max("n_bars").alias("n_bars"),
+        F.count(F.when(entry, 1)).alias("n_entries"),
         *bt.forward_stats(entry),
         bt.run_age(entry, active).alias("days_in_leading"),
-        bt.trail_points().alias("trail"),
+        *bt.trail_values(),
     )
-    enough = (F.col("n_found") >= bt.MIN_ENTRIES) & (F.col("n_aligned") >= bt.MIN_TRANSITION_BARS)
+    enough = (F.col("n_entries") >= bt.MIN_ENTRIES) & (F.col("n_bars") >= bt.MIN_TRANSITION_BARS)
     gated = ["n_entries", *bt.stat_names(), "days_in_leading"]
-    return rotation_columns(stats.withColumn("n_entries", F.col("n_found"))).withColumns(
-        {c: F.when(enough, F.col(c)) for c in gated}).drop("n_found", "n_aligned")
+    return stats.select("symbol", *rotation_columns(), *[F.when(enough, F.col(c)).alias(c) for c in gated],
+                        bt.trail().alias("trail"))
 
 
 def factor_summary(bars: DataFrame, bench: DataFrame, layout: Layout = WHOLE) -> DataFrame:
     """Quadrant and factors only, for members that need no transition backtest."""
-    stats = rotation_frame(bars, bench, layout).groupBy("symbol").agg(last_rotation())
-    return rotation_columns(stats)
+    stats = rotation_frame(bars, bench, layout, horizons=()).groupBy("symbol").agg(*last_rotation())
+    return stats.select("symbol", *rotation_columns())
 
 
 def sector_rotation(bars: DataFrame, sectors: DataFrame, benchmark: str, layout: Layout | None = None,
@@ -117,8 +121,10 @@ def sector_pair_quadrant(bars: DataFrame, members: DataFrame, layout: Layout = W
     stock = members.select("etf", "ticker").join(bars.withColumnRenamed("symbol", "ticker"), "ticker")
     sector = bars.select(F.col("symbol").alias("etf"), "dt", F.col("close").alias("bench_close"))
     frame = rotation_frame(stock, sector, layout, key=("etf", "ticker"), on=("etf", "dt"),
-                           min_bars=MIN_SECTOR_PAIR_BARS)
-    return frame.groupBy("etf", "ticker").agg(bt.at_last(F.col("quad")).alias("quad_sec"))
+                           min_bars=MIN_SECTOR_PAIR_BARS, horizons=())
+    last = frame.groupBy("etf", "ticker").agg(
+        bt.at_last(finite(F.col("ratio"))).alias("ratio"), bt.at_last(finite(F.col("mom"))).alias("mom"))
+    return last.select("etf", "ticker", labels.quadrant(F.col("ratio"), F.col("mom")).alias("quad_sec"))
 
 
 def stock_drilldown(bars: DataFrame, universe: DataFrame, rotating_sectors: DataFrame, names: DataFrame,
@@ -153,9 +159,8 @@ def stock_drilldown(bars: DataFrame, universe: DataFrame, rotating_sectors: Data
 
 
 def ranked_stocks(drilldown: DataFrame) -> DataFrame:
-    """Rank inside each sector by score, ties in list order."""
-    place = Window.partitionBy("etf").orderBy(F.desc("score"), "ord")
-    return drilldown.withColumn("rank", F.row_number().over(place))
+    """Members list by list, by score inside a list, ties in list order; a range sort, no task per list."""
+    return drilldown.orderBy("etf_ord", F.desc("score"), "ord")
 
 
 def top_stocks(drilldown: DataFrame, sectors: DataFrame, count: int = 25) -> DataFrame:

@@ -39,19 +39,18 @@ def bucket_order(day_zero_last: bool) -> Column:
     )
 
 
-def signal_buckets(ranked: DataFrame, sectors: DataFrame, shown: int = SHOWN,
+def signal_buckets(drilldown: DataFrame, sectors: DataFrame, shown: int = SHOWN,
                    day_zero_last: bool = False) -> DataFrame:
     """First ``shown`` stocks of each bucket and the bucket's full size; a stock may be in several.
 
-    ``ranked`` is the drill-down with its rank per sector; ties keep sector rank and
-    stock rank. Sizes come from an aggregation and the top from a ranked window,
-    which Spark limits in the map tasks.
+    Ties keep sector rank and stock rank. Sizes come from an aggregation and the top
+    from a ranked window, which Spark limits in the map tasks.
     """
     labels = F.array_compact(F.array(*[F.when(test, name) for name, test in bucket_tests().items()]))
     places = sectors.select("etf", F.col("score").alias("_sector_score"), F.col("ord").alias("_sector_ord"))
-    listed = actionable(ranked).join(places, "etf").withColumn("bucket", F.explode(labels))
+    listed = actionable(drilldown).join(places, "etf").withColumn("bucket", F.explode(labels))
     listed = listed.withColumn("_key", bucket_order(day_zero_last))
-    place = Window.partitionBy("bucket").orderBy("_key", F.desc("_sector_score"), "_sector_ord", "rank")
+    place = Window.partitionBy("bucket").orderBy("_key", F.desc("_sector_score"), "_sector_ord", F.desc("score"), "ord")
     sizes = listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size"))
     top = listed.withColumn("bucket_rank", F.row_number().over(place)).filter(F.col("bucket_rank") <= shown)
     return top.join(sizes, "bucket").select(
@@ -60,20 +59,20 @@ def signal_buckets(ranked: DataFrame, sectors: DataFrame, shown: int = SHOWN,
         F.col("hit_20d").alias("hit"))
 
 
-def sector_cards(ranked: DataFrame) -> DataFrame:
+def sector_cards(drilldown: DataFrame) -> DataFrame:
     """Buy and avoid counts, first buys, and mean 20-day statistics per sector.
 
     The first buys are picked by rank before they are collected, so a card holds
     at most four.
     """
     buy = F.col("rec").contains("BUY")
-    place = Window.partitionBy("etf", buy).orderBy("rank")
+    place = Window.partitionBy("etf", buy).orderBy(F.desc("score"), "ord")
     first = (
-        ranked.filter(buy).withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= TOP_BUYS)
+        drilldown.filter(buy).withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= TOP_BUYS)
         .groupBy("etf").agg(F.array_sort(F.collect_list(F.struct("_n", "ticker"))).alias("_top"))
         .select("etf", F.transform("_top", lambda t: t["ticker"]).alias("top"))
     )
-    counts = ranked.groupBy("etf").agg(
+    counts = drilldown.groupBy("etf").agg(
         F.count(F.when(buy, 1)).alias("buys"),
         F.count(F.when(F.col("rec").contains("AVOID"), 1)).alias("avoids"),
         round_to(F.avg("hit_20d"), 1).alias("avg_hit"),
