@@ -99,26 +99,34 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets, "left")
 
 
-def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """For each text the distinct hashes of its ``size``-word shingles, ascending.
+def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int,
+                   points: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each text the distinct hashes of its ``size``-word shingles, ascending, and with ``points`` of the words their sums.
 
     A text with fewer words has one: the whole sequence. One without words has none.
     """
     span = max(len(words) - size + 1, 0)
     joined = np.zeros(span, "uint64")
+    summed = None if points is None else np.zeros(span, "int64")
     for j in range(size):
         joined = joined * _FOLD + words[j: j + span]
+        if summed is not None:
+            summed += points[j: j + span]
     joined = mix(joined)
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if hi - lo >= size:
-            yield np.unique(joined[lo: hi - size + 1])
+            if summed is None:
+                yield np.unique(joined[lo: hi - size + 1]), None
+            else:
+                own, at = np.unique(joined[lo: hi - size + 1], return_index=True)
+                yield own, summed[lo + at]
         elif hi > lo:
-            total = np.uint64(hi - lo)
+            total = hi - lo
             for h in words[lo:hi].tolist():
-                total = np.uint64((int(total) * int(_FOLD) + h) & 0xFFFFFFFFFFFFFFFF)
-            yield mix(np.array([total ^ np.uint64(0x5851F42D4C957F2D)]))
+                total = (total * int(_FOLD) + h) & 0xFFFFFFFFFFFFFFFF
+            yield mix(np.array([total ^ 0x5851F42D4C957F2D], "uint64")), None if points is None else points[lo:hi].sum(keepdims=True)
         else:
-            yield np.zeros(0, "uint64")
+            yield np.zeros(0, "uint64"), None if points is None else np.zeros(0, "int64")
 
 
 def signed(values: np.ndarray) -> pa.Array:

@@ -1,7 +1,7 @@
 """Similarity self-join of documents on word shingles, by token-combination prefixes.
 
 Shingles (64-bit hashes) have one global order: those that recur most in the
-corpus last, else by hash. Two sets that reach the similarity differ in at most
+corpus last, the others by how rare their words are, rarest first. Two sets that reach the similarity differ in at most
 ``m`` shingles of either one, so a prefix of ``m + 1`` shingles would do to meet.
 A frequent shingle makes a bucket of its own too large to say much; frequent ones
 are therefore indexed by pairs: the frequent shingles of a prefix fall into
@@ -20,6 +20,7 @@ each document, the root it is linked to and its number of links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -27,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.bitmaps import maybe_in
 from tidewheel.llm.components import connected_components
 from tidewheel.llm.hashing import mix, shingle_hashes, signed, word_hashes
 from tidewheel.session import materialize
 
 #: A shingle with this share of all shingles goes to the end of the order; so there are at most 2**14 of them.
 HEAVY_SHARE = Fraction(1, 2**14)
+#: Words with this share of all words have a known frequency, so 2**16 of them at most; the others count as rarer.
+WORD_SHARE = Fraction(1, 2**16)
 #: Documents whose prefixes hold a shingle, from which on it is indexed by pairs.
 FREQUENT = 32
 #: Shingles of all sets of one verification task.
@@ -43,7 +47,7 @@ _PAIR = np.uint64(0xA0761D6478BD642F)
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         words, bounds = word_hashes(batch.column("text"))
-        yield batch, list(shingle_hashes(words, bounds, size))
+        yield batch, [s for s, _ in shingle_hashes(words, bounds, size)]
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -63,40 +67,79 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
 
 
-def heavy_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles with at least ``HEAVY_SHARE`` of the corpus: lossy counts of every block of rows, added up.
+@dataclass(frozen=True)
+class Order:
+    """What the global order of shingles is made from; both parts have a bounded size."""
 
-    Each block names what reaches the share within it; one that reaches it in the
-    corpus does so in some block. Only steers the order, never the result.
+    words: np.ndarray  # hash of a known word by slot
+    rarity: np.ndarray  # its rarity, in bits
+    heavy: np.ndarray  # shingles that come last, ascending
+
+    def points(self, words: np.ndarray) -> np.ndarray:
+        slot = (words >> np.uint64(64 - SLOT_BITS)).astype("int64")
+        return np.where(self.words[slot] == words, self.rarity[slot], UNKNOWN)
+
+    def keys(self, shingles: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """A number for each shingle that sorts like the order."""
+        first = np.minimum(np.uint64(1) << np.uint64(8), points.astype("uint64"))
+        keys = (np.uint64(511) - first) << np.uint64(54) | shingles >> np.uint64(10)
+        if len(self.heavy):
+            late = self.heavy[np.minimum(np.searchsorted(self.heavy, shingles), len(self.heavy) - 1)] == shingles
+            keys[late] |= np.uint64(1) << np.uint64(63)
+        return keys
+
+
+SLOT_BITS = 18
+UNKNOWN = 20
+
+
+def shingle_order(docs: DataFrame, size: int) -> Order:
+    """The order for a corpus, from lossy counts of all its words and shingles.
+
+    Each block of rows names what reaches the share within it, and these counts are
+    added up; what reaches the share in the corpus does so in some block. The order only steers the work, never the result.
     """
-    share = float(HEAVY_SHARE)
+    shares = {"word": WORD_SHARE, "shingle": HEAVY_SHARE}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, weight = [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= max(4.0, share * weight)
-            return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([signed(keys[keep]), pa.array([None], pa.int64())]),
-                 pa.array(np.r_[counts[keep], weight], pa.int64())], ["token", "n"])
-
-        for _, sets in _sets(batches, size):
-            for s in sets:
-                held.append(s)
-                weight += len(s)
-                if weight >= 1 << 22:
-                    yield flush()
-                    held, weight = [], 0
-        if weight:
-            yield flush()
+        held: dict[str, list[np.ndarray]] = {"word": [], "shingle": []}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+                keep = counts >= max(4.0, float(shares[kind]) * counts.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * (keep.sum() + 1)), pa.concat_arrays([signed(keys[keep]), pa.array([None], pa.int64())]),
+                     pa.array(np.r_[counts[keep], counts.sum()], pa.int64())], ["kind", "token", "n"])
+                parts.clear()
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    # The row without token holds the total, and the other rows of a share of it are 1 / HEAVY_SHARE at most.
-    rows = counts.orderBy(F.desc("n")).limit(HEAVY_SHARE.denominator + 1).collect()
-    total = next((r["n"] for r in rows if r["token"] is None), 0)
-    found = [r["token"] for r in rows if r["token"] is not None and r["n"] >= share * total]
-    return np.sort(np.array(found, "int64").view("uint64"))
+        weight = 0
+        for batch in batches:
+            words, bounds = word_hashes(batch.column("text"))
+            held["word"].append(words)
+            held["shingle"] += [s for s, _ in shingle_hashes(words, bounds, size)]
+            weight += len(words)
+            if weight >= 1 << 22:
+                yield from flush()
+                weight = 0
+        if weight:
+            yield from flush()
+
+    counts = materialize(docs.select("text").mapInArrow(run, "kind string, token long, n long").groupBy("kind", "token").agg(
+        F.sum("n").alias("n")), "counts")
+    known = {}
+    for kind, share in shares.items():
+        # The row without token holds the total, and at most 1 / share others reach a share of it.
+        rows = counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(share.denominator + 1).toArrow()
+        token, n = rows["token"], rows["n"].to_numpy()
+        total = n[rows["token"].is_null().to_numpy()].sum()
+        keep = ~token.is_null().to_numpy() & (n >= float(share) * total)
+        known[kind] = (token.fill_null(0).to_numpy().view("uint64")[keep], -np.log2(n[keep] / max(total, 1)))
+    words, rarity = known["word"]
+    order = Order(np.zeros(1 << SLOT_BITS, "uint64"), np.zeros(1 << SLOT_BITS, "int64"), np.sort(known["shingle"][0]))
+    slot = (words >> np.uint64(64 - SLOT_BITS)).astype("int64")
+    order.words[slot[::-1]], order.rarity[slot[::-1]] = words[::-1], np.round(rarity[::-1])
+    return order
 
 
 def most_missing(size: int, least: Fraction) -> int:
@@ -114,27 +157,26 @@ def group_levels(size: int, least: Fraction) -> list[int]:
     return list(range(low, high + 1))
 
 
-def prefix_of(shingles: np.ndarray, heavy: np.ndarray, least: Fraction) -> np.ndarray:
-    size = len(shingles)
-    length = most_missing(size, least) + 1 + 2 ** group_levels(size, least)[-1]
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)
-        late = heavy[at] == shingles
-        shingles = np.concatenate([shingles[~late], shingles[late]])
-    return shingles[:length]
+def prefix_length(size: int, least: Fraction) -> int:
+    return min(size, most_missing(size, least) + 1 + 2 ** group_levels(size, least)[-1])
 
 
-def prefixes(docs: DataFrame, size: int, least: Fraction, heavy: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, size: int, least: Fraction, order: Order) -> DataFrame:
     """(token, node, n) of each document's prefix; a node that recurs within a batch comes once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, size):
-            unique = {node_of(s): s for s in sets if len(s)}
-            tokens = [prefix_of(s, heavy, least) for s in unique.values()]
-            if tokens:
-                reach = [len(t) for t in tokens]
+        for batch in batches:
+            words, bounds = word_hashes(batch.column("text"))
+            found: dict[int, tuple[int, np.ndarray]] = {}
+            for shingles, points in shingle_hashes(words, bounds, size, order.points(words)):
+                if len(shingles) and (node := node_of(shingles)) not in found:
+                    reach = prefix_length(len(shingles), least)
+                    first = np.argpartition(order.keys(shingles, points), reach - 1)[:reach]
+                    found[node] = len(shingles), shingles[first]
+            if found:
+                reach = [len(t) for _, t in found.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate(tokens)), pa.array(np.repeat(np.array(list(unique)), reach)),
-                     pa.array(np.repeat([len(s) for s in unique.values()], reach), pa.int32())], ["token", "node", "n"])
+                    [signed(np.concatenate([t for _, t in found.values()])), pa.array(np.repeat(np.array(list(found)), reach)),
+                     pa.array(np.repeat([n for n, _ in found.values()], reach), pa.int32())], ["token", "node", "n"])
 
     return docs.select("text").mapInArrow(run, "token long, node long, n int")
 
@@ -163,7 +205,7 @@ def pair_keys(frequent: DataFrame, least: Fraction) -> DataFrame:
 
 
 def _first_of_key(postings: DataFrame, key: str) -> DataFrame:
-    """Keys that two postings share, with their number and smallest node (aggregated before the shuffle)."""
+    """Keys that two nodes share, with their number of postings and smallest node (aggregated before the shuffle)."""
     return postings.groupBy(key).agg(
         F.count(F.lit(1)).alias("df"), F.min("node").alias("root"), F.max("node").alias("_last")
     ).filter(F.col("root") != F.col("_last")).drop("_last")
@@ -171,8 +213,11 @@ def _first_of_key(postings: DataFrame, key: str) -> DataFrame:
 
 def candidate_edges(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     """(node, root) edges that join all nodes sharing a key."""
-    postings = materialize(prefixes(docs, size, least, heavy_shingles(docs, size)), "prefixes")
-    met = materialize(postings.join(_first_of_key(postings, "token"), "token"), "met")
+    postings = materialize(prefixes(docs, size, least, shingle_order(docs, size)), "prefixes")
+    # Most shingles are in one prefix only: they go before nodes are looked at.
+    again = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1).select("token")
+    shared = materialize(postings.join(again, "token", "left_semi"), "shared")
+    met = materialize(shared.join(_first_of_key(shared, "token"), "token"), "met")
     pairs = pair_keys(met.filter(F.col("df") >= FREQUENT).select("node", "n", "token"), least)
     paired = pairs.join(_first_of_key(pairs, "key"), "key")
     single = met.filter(F.col("df") < FREQUENT)
@@ -262,7 +307,7 @@ def verified(docs: DataFrame, tasks: DataFrame, size: int, least: Fraction) -> D
         names = np.array([nodes[k] for k in rows], "int64")
         return pa.table({"node": names, "root": names[root], "links": degree})
 
-    placed = docs.join(tasks, "doc_id").select("text", "node", "block", "cls", "i", "j", "part", "old")
+    placed = docs.filter(maybe_in(tasks, "doc_id")).join(tasks, "doc_id").select("text", "node", "block", "cls", "i", "j", "part", "old")
     return placed.groupBy("block", "cls", "i", "j").applyInArrow(run, "node long, root long, links long")
 
 
@@ -283,7 +328,8 @@ def similarity_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4
     blocks = connected_components(candidate_edges(docs.filter(F.col("doc_id").isNotNull()), size, least), "blocks")
     placed = classes.withColumnsRenamed({"class_id": "doc_id", "n_shingles": "n"}).join(
         blocks.withColumnRenamed("component", "block"), "node")
-    checked = materialize(verified(docs, _tasks(placed, least), size, least), "links")
+    tasks = materialize(_tasks(placed, least), "tasks")
+    checked = materialize(verified(docs, tasks, size, least), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = connected_components(checked.filter(F.col("node") != F.col("root")).select("node", "root"), "components")
     reached = joined.join(classes, "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
