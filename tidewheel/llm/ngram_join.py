@@ -1,7 +1,7 @@
 """Similarity self-join of documents on word shingles, by token-combination prefixes.
 
-Shingles (64-bit hashes) have one global order: those that recur most in the
-corpus last, the others by how rare their words are, rarest first. Two sets that reach the similarity differ in at most
+Shingles (64-bit hashes) have one global order: rarest words first, and those last that turned out to recur in
+a first round of such prefixes. Two sets that reach the similarity differ in at most
 ``m`` shingles of either one, so a prefix of ``m + 1`` shingles would do to meet.
 A frequent shingle makes a bucket of its own too large to say much; frequent ones
 are therefore indexed by pairs: the frequent shingles of a prefix fall into
@@ -11,16 +11,18 @@ lost, so the prefix is extended by one shingle a class. Rare shingles are keys
 by themselves, and shingles that only one document has are none.
 
 Documents that share a key are put in one block (connected components over
-keys, so no pair is listed); each block is verified exactly by counting common
-shingles, over its whole sets. Blocks over a weight are cut by set size, and those
-again into parts of which each two meet in one task. A task returns, for
-each document, the root it is linked to and its number of links.
+keys, so no pair is listed). Blocks over a weight are cut along a second set of
+keys: the shingles of a whole set fall into more classes by hash than two similar sets
+can differ in, and all shingles of a class together are a key. Each block is then verified exactly by
+counting common shingles, over whole sets. What is still over the weight is cut by
+set size, and again into parts of which each two meet in one task. A task
+returns, for each set, the root it is linked to and its number of links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from fractions import Fraction
 
 import numpy as np
@@ -33,12 +35,12 @@ from tidewheel.llm.components import connected_components
 from tidewheel.llm.hashing import mix, shingle_hashes, signed, word_hashes
 from tidewheel.session import materialize
 
-#: A shingle with this share of all shingles goes to the end of the order; so there are at most 2**14 of them.
-HEAVY_SHARE = Fraction(1, 2**14)
+#: Recurring shingles that can be moved to the end of the order: those of the most documents.
+MAX_LATE = 1 << 20
 #: Words with this share of all words have a known frequency, so 2**16 of them at most; the others count as rarer.
 WORD_SHARE = Fraction(1, 2**16)
 #: Documents whose prefixes hold a shingle, from which on it is indexed by pairs.
-FREQUENT = 32
+FREQUENT = 8
 #: Shingles of all sets of one verification task.
 TASK_WEIGHT = 1 << 20
 _PAIR = np.uint64(0xA0761D6478BD642F)
@@ -73,7 +75,7 @@ class Order:
 
     words: np.ndarray  # hash of a known word by slot
     rarity: np.ndarray  # its rarity, in bits
-    heavy: np.ndarray  # shingles that come last, ascending
+    heavy: np.ndarray  # recurring shingles, which come last, ascending
 
     def points(self, words: np.ndarray) -> np.ndarray:
         slot = (words >> np.uint64(64 - SLOT_BITS)).astype("int64")
@@ -93,55 +95,52 @@ SLOT_BITS = 18
 UNKNOWN = 20
 
 
-def shingle_order(docs: DataFrame, size: int) -> Order:
-    """The order for a corpus, from lossy counts of all its words and shingles.
+def word_order(docs: DataFrame) -> Order:
+    """An order by the rarity of words, from lossy counts of all words of the corpus.
 
     Each block of rows names what reaches the share within it, and these counts are
     added up; what reaches the share in the corpus does so in some block. The order only steers the work, never the result.
     """
-    shares = {"word": WORD_SHARE, "shingle": HEAVY_SHARE}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {"word": [], "shingle": []}
+        held: list[np.ndarray] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, parts in held.items():
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                keep = counts >= max(4.0, float(shares[kind]) * counts.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * (keep.sum() + 1)), pa.concat_arrays([signed(keys[keep]), pa.array([None], pa.int64())]),
-                     pa.array(np.r_[counts[keep], counts.sum()], pa.int64())], ["kind", "token", "n"])
-                parts.clear()
+        def flush() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keep = counts >= max(4.0, float(WORD_SHARE) * counts.sum())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([signed(keys[keep]), pa.array([None], pa.int64())]),
+                                               pa.array(np.r_[counts[keep], counts.sum()], pa.int64())], ["word", "n"])
 
         weight = 0
         for batch in batches:
-            words, bounds = word_hashes(batch.column("text"))
-            held["word"].append(words)
-            held["shingle"] += [s for s, _ in shingle_hashes(words, bounds, size)]
-            weight += len(words)
+            held.append(word_hashes(batch.column("text"))[0])
+            weight += len(held[-1])
             if weight >= 1 << 22:
-                yield from flush()
+                yield flush()
                 weight = 0
         if weight:
-            yield from flush()
-
-    counts = materialize(docs.select("text").mapInArrow(run, "kind string, token long, n long").groupBy("kind", "token").agg(
-        F.sum("n").alias("n")), "counts")
-    known = {}
-    for kind, share in shares.items():
-        # The row without token holds the total, and at most 1 / share others reach a share of it.
-        rows = counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(share.denominator + 1).toArrow()
-        token, n = rows["token"], rows["n"].to_numpy()
-        total = n[rows["token"].is_null().to_numpy()].sum()
-        keep = ~token.is_null().to_numpy() & (n >= float(share) * total)
-        known[kind] = (token.fill_null(0).to_numpy().view("uint64")[keep], -np.log2(n[keep] / max(total, 1)))
-    words, rarity = known["word"]
-    order = Order(np.zeros(1 << SLOT_BITS, "uint64"), np.zeros(1 << SLOT_BITS, "int64"), np.sort(known["shingle"][0]))
+            yield flush()
+
+    counts = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # The row without word holds the total, and at most 1 / WORD_SHARE others reach a share of it.
+    rows = counts.orderBy(F.desc("n"), "word").limit(WORD_SHARE.denominator + 1).toArrow()
+    n, total_row = rows["n"].to_numpy(), rows["word"].is_null().to_numpy()
+    keep = ~total_row & (n >= float(WORD_SHARE) * n[total_row].sum())
+    words = rows["word"].fill_null(0).to_numpy().view("uint64")[keep][::-1]
     slot = (words >> np.uint64(64 - SLOT_BITS)).astype("int64")
-    order.words[slot[::-1]], order.rarity[slot[::-1]] = words[::-1], np.round(rarity[::-1])
+    order = Order(np.zeros(1 << SLOT_BITS, "uint64"), np.zeros(1 << SLOT_BITS, "int64"), np.zeros(0, "uint64"))
+    order.words[slot], order.rarity[slot] = words, np.round(-np.log2(n[keep][::-1] / max(n[total_row].sum(), 1)))
     return order
 
 
+def shingle_order(docs: DataFrame, size: int, least: Fraction) -> Order:
+    """The word order with the shingles at its end that are in ``FREQUENT`` prefixes under it, ``MAX_LATE`` at most."""
+    order = word_order(docs)
+    often = prefixes(docs, size, least, order).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= FREQUENT)
+    late = often.orderBy(F.desc("df"), "token").limit(MAX_LATE).select("token").toArrow()["token"].to_numpy()
+    return replace(order, heavy=np.sort(late.view("uint64")))
+
+
 def most_missing(size: int, least: Fraction) -> int:
     """Shingles of a set of this size that a similar set may lack."""
     return size - -(-size * least.numerator // least.denominator)
@@ -213,7 +212,7 @@ def _first_of_key(postings: DataFrame, key: str) -> DataFrame:
 
 def candidate_edges(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     """(node, root) edges that join all nodes sharing a key."""
-    postings = materialize(prefixes(docs, size, least, shingle_order(docs, size)), "prefixes")
+    postings = materialize(prefixes(docs, size, least, shingle_order(docs, size, least)), "prefixes")
     # Most shingles are in one prefix only: they go before nodes are looked at.
     again = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1).select("token")
     shared = materialize(postings.join(again, "token", "left_semi"), "shared")
@@ -224,6 +223,75 @@ def candidate_edges(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     return single.select("node", "root").union(paired.select("node", "root"))
 
 
+def most_different(smaller: int, least: Fraction) -> int:
+    """Shingles that two similar sets can differ in, the smaller one having this many."""
+    return smaller * (least.denominator - least.numerator) // least.numerator
+
+
+def class_counts(size: int, least: Fraction) -> list[int]:
+    """Class counts under which a set meets similar ones: in steps of a quarter, each above what a pair can differ in."""
+    def step(smaller: int) -> int:
+        classes = 2
+        while classes <= most_different(smaller, least):
+            classes = -(-classes * 5 // 4)
+        return classes
+
+    lowest = -(-size * least.numerator // least.denominator)
+    counts, top = [step(lowest)], step(size)
+    while counts[-1] < top:
+        counts.append(-(-counts[-1] * 5 // 4))
+    return counts
+
+
+def whole_classes(docs: DataFrame, wanted: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """(key, node) of the ``wanted`` nodes: all shingles of a class together, for each class of the whole set.
+
+    With more classes than two similar sets can differ in, one class is the same in both. Classes that a set has nothing
+    in are keys only for sets with too few others.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, size):
+            found: dict[int, np.ndarray] = {}
+            for s in sets:
+                if not len(s) or (node := node_of(s)) in found:
+                    continue
+                spread, keys = mix(s ^ _PAIR), []
+                for classes in class_counts(len(s), least):
+                    of = spread % np.uint64(classes)
+                    own, begin = np.unique(np.sort(of), return_index=True)
+                    sums = np.add.reduceat(spread[np.argsort(of, kind="stable")], begin)
+                    if len(own) <= most_different(len(s), least):
+                        own = np.arange(classes, dtype="uint64")
+                        full = np.zeros(classes, "uint64")
+                        full[np.unique(of)] = sums
+                        sums = full
+                    keys.append(mix(sums + own * _PAIR + np.uint64(classes)))
+                found[node] = np.concatenate(keys)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [signed(np.concatenate(list(found.values()))),
+                     pa.array(np.repeat(np.array(list(found)), [len(k) for k in found.values()]))], ["key", "node"])
+
+    rows = docs.filter(maybe_in(wanted, "doc_id")).select("text").mapInArrow(run, "key long, node long")
+    return rows.join(wanted.select("node"), "node", "left_semi")
+
+
+def refined(placed: DataFrame, docs: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """``placed`` (node, doc_id, n, block) with blocks over ``TASK_WEIGHT`` cut along the components of a second set of keys.
+
+    Prefixes let a block grow by chance along many texts; two sets must meet in both sets of keys to be similar.
+    """
+    weights = placed.groupBy("block").agg(F.sum("n").alias("weight"))
+    sized = materialize(placed.join(weights, "block"), "sized")
+    large = sized.filter(F.col("weight") > TASK_WEIGHT).drop("weight")
+    keys = whole_classes(docs, large, size, least)
+    again = materialize(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi"), "classes")
+    edges = again.join(_first_of_key(again, "key"), "key").select("node", "root")
+    finer = large.join(connected_components(edges, "finer"), "node").withColumn("block", F.xxhash64("block", "component"))
+    return sized.filter(F.col("weight") <= TASK_WEIGHT).select("node", "doc_id", "n", "block").union(
+        finer.select("node", "doc_id", "n", "block"))
+
+
 def _links(sets: list[np.ndarray], barred: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Exact links of a task's sets: root (place) and number of links of each.
 
@@ -328,7 +396,7 @@ def similarity_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4
     blocks = connected_components(candidate_edges(docs.filter(F.col("doc_id").isNotNull()), size, least), "blocks")
     placed = classes.withColumnsRenamed({"class_id": "doc_id", "n_shingles": "n"}).join(
         blocks.withColumnRenamed("component", "block"), "node")
-    tasks = materialize(_tasks(placed, least), "tasks")
+    tasks = materialize(_tasks(refined(placed, docs, size, least), least), "tasks")
     checked = materialize(verified(docs, tasks, size, least), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = connected_components(checked.filter(F.col("node") != F.col("root")).select("node", "root"), "components")
