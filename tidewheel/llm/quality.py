@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.llm.hashing import SLICE_BYTES, is_space, mix, segment_hashes, text_bytes
 
@@ -142,7 +143,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
                 [*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(points, -30, 30))), pa.float64())], [*batch.schema.names, "score"])
 
     kept = docs.drop("score")
-    return kept.mapInArrow(run, kept.schema.add("score", "double"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewheel.llm import packing, pii, quality, sharding, warc
+from tidewheel.llm.fingerprints import fingerprints
+from tidewheel.llm.line_templates import without_recurring_lines
 from tidewheel.llm.ngram_join import similarity_join
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +20,82 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of all documents: base spans, and those that the boosted trees add."""
+    return pii.find_pii(table(spark, folder, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents at a Jaccard similarity of 0.9 on three-word shingles."""
     return similarity_join(table(spark, folder, "documents"), size=3, least=Fraction(9, 10))
 
 
-QUERIES: dict[str, Run] = {
-    "op2_ngram_join": op2_ngram_join,
-}
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of all documents, of their edited texts and how near they are."""
+    return fingerprints(table(spark, folder, "documents"))
+
+
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of every document by its number."""
+    docs = table(spark, folder, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", sharding.lookup_table(spark))
+
+
+def op9_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without lines of recurring templates."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return without_recurring_lines(docs)
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages, written to archives and read back."""
+    return warc.archived(table(spark, folder, "pages"))
+
+
+QUERIES: dict[str, Run] = {run.__name__: run for run in (
+    op1_pii, op2_ngram_join, op3_packing, op4_quality, op7_fingerprints, op8_sharding, op9_line_templates, op10_warc)}
+
+#: The table is filled by a recursion over its slots, whose state is the table so far.
+SHARDING_SQL = f"""
+WITH RECURSIVE shards AS (
+  SELECT row_number() OVER (ORDER BY name) - 1 AS i, name FROM (SELECT unnest({list(sharding.SHARDS)!r}) AS name)),
+orders AS (
+  SELECT i, list((('0x' || substr(md5(name), 1, 8))::BIGINT % {sharding.SLOTS}
+    + j * (('0x' || substr(md5(name), 9, 8))::BIGINT % {sharding.SLOTS - 1} + 1)) % {sharding.SLOTS} ORDER BY j) AS slots
+  FROM shards, range({sharding.SLOTS}) t(j) GROUP BY i),
+fill(t, owner) AS (
+  SELECT 0::BIGINT, [-1::BIGINT for x in range({sharding.SLOTS})]
+  UNION ALL
+  SELECT t + 1, list_concat(list_concat(owner[1:free], [i]), owner[free + 2:])
+  FROM (SELECT t, owner, i, list_filter(slots, lambda s: owner[s + 1] = -1)[1] AS free
+        FROM fill JOIN orders ON i = t % {len(sharding.SHARDS)} WHERE t < {sharding.SLOTS})),
+lookup AS (
+  SELECT s.slot, name FROM (SELECT unnest(owner) AS i, generate_subscripts(owner, 1) - 1 AS slot
+                            FROM fill WHERE t = {sharding.SLOTS}) s JOIN shards USING (i))
+SELECT doc_id, slot::INTEGER AS slot, name AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {sharding.SLOTS} AS slot FROM documents)
+JOIN lookup USING (slot)
+"""
+
+#: Payloads by digest, as no archive is needed to tell what a page's record must be.
+WARC_SQL = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+own AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+               min(page_id) OVER (PARTITION BY body) AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.LEAST} AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.LEAST} AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM own
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_sharding": SHARDING_SQL, "op10_warc": WARC_SQL}

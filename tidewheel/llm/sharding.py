@@ -29,12 +29,12 @@ def lookup_table(spark: SparkSession, shards: tuple[str, ...] = SHARDS, slots: i
     names = sorted(set(shards))
     if not names or len(names) != len(shards) or slots < len(names) or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError("shards must have different names, and slots be a prime that is no smaller than their number")
-    one = spark.range(1).select(F.split(F.lit("\n".join(names)), "\n").alias("names"))
-    orders = one.select(
-        F.transform("names", lambda n: number_of(F.encode(n, "utf-8"), 1) % slots).alias("offset"),
-        F.transform("names", lambda n: number_of(F.encode(n, "utf-8"), 9) % (slots - 1) + 1).alias("step"), "names")
-    order = orders.select("names", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda s: F.transform(
-        F.sequence(F.lit(0), F.lit(slots - 1)), lambda j: ((F.get("offset", s) + j * F.get("step", s)) % slots).cast("int"))).alias("order"))
+    own = spark.createDataFrame([(n,) for n in names], "name string").withColumns({
+        "offset": number_of(F.encode("name", "utf-8"), 1) % slots, "step": number_of(F.encode("name", "utf-8"), 9) % (slots - 1) + 1})
+    orders = own.select("name", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda j: (
+        (F.col("offset") + j * F.col("step")) % slots).cast("int")).alias("slots"))
+    order = orders.agg(F.sort_array(F.collect_list(F.struct("name", "slots"))).alias("all")).select(
+        F.col("all.name").alias("names"), F.col("all.slots").alias("order"))
     # The state: shard of each slot (-1: free) and each shard's place in its order.
     start = F.struct(F.array_repeat(F.lit(-1), slots).alias("owner"), F.array_repeat(F.lit(0), len(names)).alias("place"))
 
