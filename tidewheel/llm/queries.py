@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm import packing, pii, quality, sharding, warc
+from tidewheel.llm.bpe import encoded
 from tidewheel.llm.fingerprints import fingerprints
 from tidewheel.llm.line_templates import without_recurring_lines
 from tidewheel.llm.ngram_join import similarity_join
+from tidewheel.llm.permutation_index import nearest
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +42,16 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents and the bytes that they decode to."""
+    return encoded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op6_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return nearest(table(spark, folder, "embeddings"))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Sketches of all documents, of their edited texts and how near they are."""
     return fingerprints(table(spark, folder, "documents"))
@@ -63,7 +75,8 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {run.__name__: run for run in (
-    op1_pii, op2_ngram_join, op3_packing, op4_quality, op7_fingerprints, op8_sharding, op9_line_templates, op10_warc)}
+    op1_pii, op2_ngram_join, op3_packing, op4_quality, op5_bpe, op6_permutation_index,
+    op7_fingerprints, op8_sharding, op9_line_templates, op10_warc)}
 
 #: The table is filled by a recursion over its slots, whose state is the table so far.
 SHARDING_SQL = f"""
