@@ -80,8 +80,9 @@ CTES["titled"] = f"SELECT pos, {_head('title_raw')} AS title FROM entries"
 CTES["doc_classes"] = _classified("titled", EVENT_WORDS, METAL_WORDS, dims.countries())
 CTES["doc_default_classes"] = _classified("titled", dims.event_types(), dims.metal_keywords(), dims.countries())
 CTES["feed_classes"] = _classified("items", EVENT_WORDS, METAL_WORDS, dims.countries())
-CTES["latest"] = """SELECT *, row_number() OVER (ORDER BY pub_sort DESC, etype <> 'General' DESC, ingest_ord) AS place
-FROM feed_classes QUALIFY place <= 70"""
+CTES["placed"] = """SELECT *, row_number() OVER (ORDER BY pub_sort DESC, etype <> 'General' DESC, ingest_ord) AS place
+FROM feed_classes"""
+CTES["latest"] = "SELECT * FROM placed WHERE place <= 70"
 
 # Inputs -----------------------------------------------------------------------
 
@@ -99,6 +100,11 @@ def _latest(spark: SparkSession, d: str) -> DataFrame:
     return ev.latest_events(_items(spark, d), EVENT_WORDS, METAL_WORDS, dims.countries())
 
 
+def _feed(spark: SparkSession, d: str) -> DataFrame:
+    """The whole classified feed, without the cap of the shown one."""
+    return text.classify(_items(spark, d), EVENT_WORDS, METAL_WORDS, dims.countries())
+
+
 def _titled(spark: SparkSession, d: str) -> DataFrame:
     return t.feed_entries(spark, d).select("pos", text.headline(F.col("title_raw")).alias("title"))
 
@@ -223,20 +229,20 @@ def event_attributes(spark: SparkSession, d: str) -> DataFrame:
     return ev.attach_attributes(counts, types).select("etype", "pressure", "color", "n")
 
 
-@query("event_type_histogram", "SELECT etype, count(*) AS n FROM latest GROUP BY etype")
+@query("event_type_histogram", "SELECT etype, count(*) AS n FROM feed_classes GROUP BY etype")
 def event_type_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return ev.type_histogram(_latest(spark, d))
+    return ev.type_histogram(_feed(spark, d))
 
 
-@query("pressure_counts", "SELECT count(*) FILTER (WHERE pressure = 'UP') AS up_count, count(*) AS total FROM latest")
+@query("pressure_counts", "SELECT count(*) FILTER (WHERE pressure = 'UP') AS up_count, count(*) AS total FROM feed_classes")
 def pressure_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ev.pressure_counts(_latest(spark, d))
+    return ev.pressure_counts(_feed(spark, d))
 
 
-@query("event_filter", """SELECT title, etype FROM latest WHERE etype = 'Closure'
+@query("event_filter", """SELECT title, etype FROM feed_classes WHERE etype = 'Closure'
 AND len([m FOR m IN metals IF contains(lower(m), 'asia') OR contains('asia', lower(m))]) > 0""")
 def event_filter(spark: SparkSession, d: str) -> DataFrame:
-    return ev.filter_events(_latest(spark, d), "Asia", "Closure").select("title", "etype")
+    return ev.filter_events(_feed(spark, d), "Asia", "Closure").select("title", "etype")
 
 
 @query("document_event_filter", """SELECT pos FROM doc_classes WHERE etype = 'Strike'
@@ -245,12 +251,12 @@ def document_event_filter(spark: SparkSession, d: str) -> DataFrame:
     return ev.filter_events(_classified_docs(spark, d), "Asia/Europe", "Strike").select("pos")
 
 
-CTES["metal_event_rows"] = """SELECT s.name, e.* FROM latest e JOIN sectors s ON list_contains(e.metals, s.name)"""
+CTES["metal_event_rows"] = """SELECT s.name, e.* FROM placed e JOIN sectors s ON list_contains(e.metals, s.name)"""
 
 
 @query("metal_event_pairs", "SELECT name, ingest_ord, pressure FROM metal_event_rows")
 def metal_event_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return ev.metal_events(t.metal_dim(spark, d), _latest(spark, d)).select("name", "ingest_ord", "pressure")
+    return ev.metal_events(t.metal_dim(spark, d), _feed(spark, d)).select("name", "ingest_ord", "pressure")
 
 
 CTES["briefs"] = """SELECT name, CASE WHEN up > down THEN 'Supply pressure ↑' WHEN down > up THEN 'Supply easing ↓'
@@ -263,14 +269,14 @@ CTES["briefs"] = """SELECT name, CASE WHEN up > down THEN 'Supply pressure ↑'
 @query("supply_briefs", """SELECT name, sentiment, up, down, n, coalesce(array_to_string(causes, '; '), '') AS causes
 FROM briefs""")
 def supply_briefs(spark: SparkSession, d: str) -> DataFrame:
-    briefs = ev.supply_briefs(t.metal_dim(spark, d), _latest(spark, d))
+    briefs = ev.supply_briefs(t.metal_dim(spark, d), _feed(spark, d))
     return briefs.withColumn("causes", F.array_join("causes", "; "))
 
 
 @query("brief_payload", """SELECT '{"name":"' || name || '","sentiment":"' || sentiment || '","up":' || up || ',"down":' ||
   down || ',"n":' || n || '}' AS json FROM briefs""")
 def brief_payload(spark: SparkSession, d: str) -> DataFrame:
-    briefs = ev.supply_briefs(t.metal_dim(spark, d), _latest(spark, d))
+    briefs = ev.supply_briefs(t.metal_dim(spark, d), _feed(spark, d))
     return sinks.json_rows(briefs, "name", "sentiment", "up", "down", "n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.operators.frames import as_bench, rotation_frame, trend_frame
+from tidewheel.operators.frames import MIN_BARS, as_bench, rotation_frame, trend_frame
 from tidewheel.operators.layout import WHOLE
 from tidewheel.plans import lookup, rotation
 from tidewheel.session import materialize
@@ -47,14 +47,14 @@ def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(t.order_bars(spark, folder), "bars")
 
 
-def own(spark: SparkSession, folder: str) -> DataFrame:
+def own(spark: SparkSession, folder: str, min_bars: int = MIN_BARS) -> DataFrame:
     """Daily bars are unique per (symbol, day): one task per series is enough."""
-    return trend_frame(t.order_bars(spark, folder), WHOLE)
+    return trend_frame(t.order_bars(spark, folder), WHOLE, min_bars=min_bars)
 
 
-def aligned(spark: SparkSession, folder: str) -> DataFrame:
+def aligned(spark: SparkSession, folder: str, min_bars: int = MIN_BARS) -> DataFrame:
     bars = stored_bars(spark, folder)
-    return rotation_frame(bars, as_bench(bars, BENCH), WHOLE)
+    return rotation_frame(bars, as_bench(bars, BENCH), WHOLE, min_bars=min_bars)
 
 
 def sector_table(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from tidewheel.functions.labels import hit_grade, quadrant, signal_context, vola
 from tidewheel.functions.numbers import clip, pct_change, round_to
 from tidewheel.operators import backtest as bt
 from tidewheel.operators import recurrences as rec
-from tidewheel.operators.frames import as_bench, align, rotation_frame, trend_frame
+from tidewheel.operators.frames import MIN_BARS, as_bench, align, rotation_frame, trend_frame
 from tidewheel.operators.layout import WHOLE, Layout, arrange, number_rows, rolling, series_window
 from tidewheel.plans.rotation import rotation_summary, trend_summary
 from tidewheel.session import new_path
@@ -21,7 +21,7 @@ from tidewheel.sources import bars as b
 from tidewheel.sources import tables as t
 from tidewheel.sources.dimensions import all_symbols
 
-SPLIT = Layout(block_rows=256, before=1024, after=40, chunk_seconds=90 * 86400)
+SPLIT = Layout(block_rows=64)
 D = sql_day()
 
 
@@ -138,7 +138,7 @@ def bar_changes(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS pos FROM bars)
 WINDOW w AS (PARTITION BY symbol ORDER BY dt)""")
 def rolling_statistics(spark: SparkSession, d: str) -> DataFrame:
-    w = series_window(WHOLE)
+    w = series_window()
     return t.order_bars(spark, d).select(
         "symbol", day(), round_to(rolling(F.avg("volume"), 20, w, F.col("volume")), 2).alias("vol_mean20"),
         rolling(F.min("close"), 50, w, F.col("close")).alias("low50"),
@@ -154,19 +154,19 @@ def row_numbers_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ema_series", f"SELECT symbol, {D} AS dt, {rnd('ema50', 3)} AS ema50 FROM rot")
 def ema_series(spark: SparkSession, d: str) -> DataFrame:
-    frame = arrange(t.order_bars(spark, d)).filter(F.col("n_bars") >= 200)
+    frame = arrange(t.order_bars(spark, d))
     return rec.with_smoothing(frame, {"ema50": ("close", rec.span_alpha(50))}).select(
         "symbol", day(), round_to(F.col("ema50"), 3).alias("ema50"))
 
 
 @query("rsi_series", f"SELECT symbol, {D} AS dt, {rnd('rsi', 4)} AS rsi FROM smoothed")
 def rsi_series(spark: SparkSession, d: str) -> DataFrame:
-    return own(spark, d).select("symbol", day(), round_to(F.col("rsi"), 4).alias("rsi"))
+    return own(spark, d, 1).select("symbol", day(), round_to(F.col("rsi"), 4).alias("rsi"))
 
 
 @query("atr_series", f"SELECT symbol, {D} AS dt, {rnd('atr', 3)} AS atr, {rnd('ema55', 3)} AS ema55 FROM smoothed")
 def atr_series(spark: SparkSession, d: str) -> DataFrame:
-    return own(spark, d).select("symbol", day(), round_to(F.col("atr"), 3).alias("atr"),
+    return own(spark, d, 1).select("symbol", day(), round_to(F.col("atr"), 3).alias("atr"),
                                 round_to(F.col("ema55"), 3).alias("ema55"))
 
 
@@ -187,14 +187,14 @@ def _rrg_rows(frame: DataFrame) -> DataFrame:
 
 @query("rrg_series", _RRG_SQL)
 def rrg_series(spark: SparkSession, d: str) -> DataFrame:
-    return _rrg_rows(aligned(spark, d))
+    return _rrg_rows(aligned(spark, d, 1))
 
 
 @query("rrg_series_split", _RRG_SQL)
 def rrg_series_split(spark: SparkSession, d: str) -> DataFrame:
-    """The same series cut into blocks, as for a symbol too long for one task."""
+    """The same series in many small blocks."""
     bars = stored_bars(spark, d)
-    return _rrg_rows(rotation_frame(bars, as_bench(bars, BENCH), SPLIT))
+    return _rrg_rows(rotation_frame(bars, as_bench(bars, BENCH), SPLIT, min_bars=1))
 
 
 @query("sector_rrg_snapshot", f"""SELECT s.etf, s.name, {rnd('ratio', 3)} AS rs_ratio, {rnd('mom', 3)} AS rs_mom, quad,
@@ -212,7 +212,7 @@ def sector_rrg_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 @query("quadrant_history", """SELECT symbol, quad, count(*) AS n FROM rot GROUP BY ALL""")
 def quadrant_history(spark: SparkSession, d: str) -> DataFrame:
-    return aligned(spark, d).groupBy("symbol", quadrant(F.col("ratio"), F.col("mom")).alias("quad")).agg(
+    return aligned(spark, d, 1).groupBy("symbol", quadrant(F.col("ratio"), F.col("mom")).alias("quad")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -225,7 +225,7 @@ def band_multiplier(spark: SparkSession, d: str) -> DataFrame:
 def band_multiplier_windows(spark: SparkSession, d: str) -> DataFrame:
     """The multiplier from ATR and base line by rolling window frames."""
     frame = own(spark, d).withColumn("rel", F.coalesce(F.try_divide("atr", "ema55"), F.lit(0.0)))
-    w = series_window(WHOLE)
+    w = series_window()
     low, high = (rolling(f("rel"), 50, w, F.col("rel")) for f in (F.min, F.max))
     scaled = 1 + 4 * (F.col("rel") - low) / (high - low + rec.EPSILON)
     mult = F.when(low.isNotNull(), clip(scaled, rec.MIN_MULT, rec.MAX_MULT))
@@ -252,18 +252,21 @@ def trend_series_split(spark: SparkSession, d: str) -> DataFrame:
     return _trend_rows(trend_frame(stored_bars(spark, d), SPLIT))
 
 
-@query("trend_signal", "SELECT symbol, signal FROM trend_sum")
+@query("trend_signal", "SELECT symbol, coalesce(signal, 'FLAT') AS signal FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN trend_sum USING (symbol)")
 def trend_signal(spark: SparkSession, d: str) -> DataFrame:
-    return own(spark, d).groupBy("symbol").agg(bt.at_last(bt.is_buy()).alias("_buy")).select(
+    """Short series have no trend and are FLAT."""
+    buy = bt.is_buy() & (F.col("n_bars") >= MIN_BARS)
+    return own(spark, d, 1).groupBy("symbol").agg(bt.at_last(buy).alias("_buy")).select(
         "symbol", F.when(F.col("_buy"), "BUY").otherwise("FLAT").alias("signal"))
 
 
-@query("volume_surge", "SELECT symbol, vol_surge FROM trend_sum")
+@query("volume_surge", "SELECT symbol, coalesce(vol_surge, false) AS vol_surge FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN trend_sum USING (symbol)")
 def volume_surge(spark: SparkSession, d: str) -> DataFrame:
-    w = series_window(WHOLE)
+    w = series_window()
     frame = arrange(t.order_bars(spark, d)).withColumn(
-        "vol_mean20", rolling(F.avg("volume"), 20, w, F.col("volume"))).filter(F.col("n_bars") >= 200)
-    return frame.groupBy("symbol").agg(bt.at_last(bt.volume_over_mean(1.5)).alias("vol_surge"))
+        "vol_mean20", rolling(F.avg("volume"), 20, w, F.col("volume")))
+    surge = bt.volume_over_mean(1.5) & (F.col("n_bars") >= MIN_BARS)
+    return frame.groupBy("symbol").agg(bt.at_last(surge).alias("vol_surge"))
 
 
 @query("four_factors", "SELECT symbol, f_price, f_volume, f_roc, f_mom, n_sigs, level FROM rot_last")
@@ -273,7 +276,7 @@ def four_factors(spark: SparkSession, d: str) -> DataFrame:
         "symbol", "f_price", "f_volume", "f_roc", "f_mom", "n_sigs", "level")
 
 
-@query("leading_entries", f"SELECT symbol, {D} AS dt, pos = 0 AS is_seed FROM rot WHERE {_LEAD}")
+@query("leading_entries", f"SELECT symbol, {D} AS dt, pos = 0 AS is_seed FROM rot WHERE n >= 200 AND {_LEAD}")
 def leading_entries(spark: SparkSession, d: str) -> DataFrame:
     return aligned(spark, d).filter(bt.leading_entry()).select("symbol", day(), (F.col("pos") == 0).alias("is_seed"))
 
@@ -295,7 +298,7 @@ def entry_gate(spark: SparkSession, d: str) -> DataFrame:
 def forward_returns(spark: SparkSession, d: str) -> DataFrame:
     from tidewheel.operators.frames import forward_returns as fwd
 
-    frame = arrange(t.order_bars(spark, d)).withColumns(fwd(series_window(WHOLE))).filter(F.col("n_bars") >= 200)
+    frame = arrange(t.order_bars(spark, d)).withColumns(fwd(series_window()))
     return frame.select("symbol", day(), *[round_to(F.col(c), 3).alias(c) for c in
                                            ("fwd_5", "fwd_10", "fwd_20", "fwd_30")])
 
@@ -357,11 +360,13 @@ def annual_volatility(spark: SparkSession, d: str) -> DataFrame:
         "symbol", round_to(vol, 1).alias("ann_vol"), volatility_bucket(vol).alias("vol_bucket"))
 
 
-@query("year_return", """SELECT symbol, ret_1y FROM trend_sum""")
+@query("year_return", f"""SELECT symbol,
+  {rnd("(arg_max(close, pos) / any_value(CASE WHEN pos = n - 1 THEN close_year_ago END) - 1) * 100", 1)} AS ret_1y
+FROM own GROUP BY symbol""")
 def year_return(spark: SparkSession, d: str) -> DataFrame:
-    w = series_window(WHOLE)
+    w = series_window()
     frame = arrange(t.order_bars(spark, d)).withColumn("close_year_ago", F.lag("close", 251).over(w))
-    return frame.filter(F.col("n_bars") >= 200).groupBy("symbol").agg(bt.year_return().alias("ret_1y"))
+    return frame.groupBy("symbol").agg(bt.year_return().alias("ret_1y"))
 
 
 @query("rrg_trail", "SELECT symbol, back, ratio, mom FROM trails")

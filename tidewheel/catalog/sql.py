@@ -54,7 +54,7 @@ SELECT *, symbol AS k FROM (
          close / lag(close) OVER w - 1 AS ret, lag(close, 251) OVER w AS close_year_ago,
          CASE WHEN count(*) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20
               THEN avg(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS vol_mean20, {_FWD}
-  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)) WHERE n >= 200"""
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt))"""
 
 _ALIGNED = f"""
 SELECT * FROM (
@@ -68,7 +68,7 @@ SELECT * FROM (
 CTES["joined"] = """
 SELECT b.*, b.symbol AS k, a.close AS bench_close
 FROM bars b JOIN bars a ON a.symbol = 'ALL' AND a.dt = b.dt"""
-CTES["aligned"] = _ALIGNED % ("joined", 200)
+CTES["aligned"] = _ALIGNED % ("joined", 1)
 
 CTES["pair_joined"] = """
 SELECT b.*, s.symbol || '|' || b.symbol AS k, s.close AS bench_close
@@ -128,7 +128,7 @@ SELECT *, (high + low) / 2 - mult * atr AS raw_up, (high + low) / 2 + mult * atr
   SELECT *, CASE WHEN pos >= 49 THEN least(greatest(1 + 4 * (rel - rel_min) / (rel_max - rel_min + 1e-9), 1e0), 5e0)
             END AS mult
   FROM (SELECT *, min(rel) OVER w AS rel_min, max(rel) OVER w AS rel_max
-        FROM (SELECT *, coalesce(atr / nullif(ema55, 0), 0) AS rel FROM smoothed)
+        FROM (SELECT *, coalesce(atr / nullif(ema55, 0), 0) AS rel FROM smoothed WHERE n >= 200)
         WINDOW w AS (PARTITION BY k ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)))"""
 
 CTES["band_rec"] = """
@@ -185,7 +185,7 @@ SELECT *, CASE WHEN n_sigs >= 4 THEN 'STRONG' WHEN n_sigs = 3 THEN 'ALERT' WHEN
   AS level FROM (
   SELECT *, f_price::INT + f_volume::INT + f_roc::INT + f_mom::INT AS n_sigs FROM (
     SELECT symbol, quad, {rnd("ratio", 3)} AS rs_ratio, {rnd("mom", 3)} AS rs_mom, {_FLAGS}
-    FROM rot WHERE pos = n - 1))"""
+    FROM rot WHERE pos = n - 1 AND n >= 200))"""
 
 _LEAD = "quad = 'Leading' AND coalesce(quad_prev, '') <> 'Leading'"
 _LEAD_OK = f"(count(*) FILTER (WHERE {_LEAD}) >= 3 AND max(n) >= 300)"
@@ -193,11 +193,11 @@ CTES["transitions"] = f"""
 SELECT symbol, CASE WHEN {_LEAD_OK} THEN count(*) FILTER (WHERE {_LEAD}) END AS n_entries, {_stats(_LEAD, _LEAD_OK)},
   CASE WHEN {_LEAD_OK} AND arg_max(quad, pos) = 'Leading'
        THEN CAST(date_diff('day', max(dt) FILTER (WHERE {_LEAD}), max(dt)) AS INTEGER) END AS days_in_leading
-FROM rot GROUP BY symbol"""
+FROM rot WHERE n >= 200 GROUP BY symbol"""
 
 CTES["trails"] = f"""
 SELECT symbol, n - pos AS back, {rnd("ratio", 3)} AS ratio, {rnd("mom", 3)} AS mom
-FROM rot WHERE n - pos IN (1, 5, 10, 15, 20, 25, 30, 35, 40)"""
+FROM rot WHERE n >= 200 AND n - pos IN (1, 5, 10, 15, 20, 25, 30, 35, 40)"""
 
 CTES["sectors"] = """
 SELECT r_name AS etf, array_to_string([x[1] || lower(x[2:]) FOR x IN string_split(r_name, ' ')], ' ') AS name, r_regionkey AS ord FROM region"""
@@ -219,7 +219,7 @@ def _reason(with_sector: bool) -> str:
       CASE WHEN quad IN ('Leading', 'Improving') THEN 'Outperforming ALL (' ELSE 'Underperforming ALL (' END
         || quad || ')',
       {sector if with_sector else ''}
-      CASE WHEN signal = 'BUY' THEN 'Trend active' ELSE 'No trend signal' END,
+      CASE WHEN signal = 'BUY' THEN 'StealthTrail active' ELSE 'No trend signal' END,
       CASE WHEN level IN ('STRONG', 'ALERT') THEN n_sigs || '/4 confirmation signals' END,
       CASE WHEN ret_1y > 20 THEN '+' || printf('%.1f', ret_1y) || '% 1Y momentum'
            WHEN ret_1y < 0 THEN printf('%.1f', ret_1y) || '% 1Y (negative)' END)"""

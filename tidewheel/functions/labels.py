@@ -13,6 +13,7 @@ BENCH_POINTS = {"Leading": 3, "Improving": 2, "Weakening": 1, "Lagging": 0}
 PEER_POINTS = {"Leading": 2, "Improving": 2, "Weakening": 1, "Lagging": 0}
 LEVEL_POINTS = {"STRONG": 4, "ALERT": 2, "WATCH": 1, "NONE": 0}
 BUY_POINTS = 3
+TREND_NAME = "StealthTrail"
 SECTOR_ALERTS = [(12, "ROTATING ★★★"), (9, "ROTATING ★★"), (6, "WATCH ★")]
 SECTOR_AVOID = "AVOID"
 STOCK_RECS = [(12, "★★★ STRONG BUY"), (9, "★★  BUY"), (6, "★   WATCH")]
@@ -97,7 +98,7 @@ def signal_context(current: Column, average: Column, age_days: Column) -> Column
 
 
 def reason(quad_bench: Column, quad_sector: Column | None, signal: Column, level: Column,
-           signals: Column, ret_1y: Column, benchmark: str = "SPY", trend_name: str = "Trend") -> Column:
+           signals: Column, ret_1y: Column, benchmark: str = "SPY", trend_name: str = TREND_NAME) -> Column:
     """Optional phrases in fixed order; ``quad_sector=None`` leaves out the in-sector phrase."""
     strong, weak = ("Leading", "Improving"), ("Weakening", "Lagging")
 

@@ -1,7 +1,7 @@
 """Window columns over arranged bars, and the two indicator frames built on them.
 
 A frame needs one shuffle: windows, gate and recurrence share the clustering by
-series (or series block).
+series.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def trend_frame(bars: DataFrame, layout: Layout = WHOLE, key: Sequence[str] = ("
     go through Arrow.
     """
     needed = bars.drop("open")
-    framed = arrange(needed, layout, key).withColumns(own_columns(series_window(layout, key)))
+    framed = arrange(needed, key).withColumns(own_columns(series_window(key)))
     return with_trend(framed.filter(F.col("n_bars") >= min_bars), layout, key, detail)
 
 
@@ -76,8 +76,8 @@ def rotation_frame(bars: DataFrame, bench: DataFrame, layout: Layout = WHOLE,
                    key: Sequence[str] = ("symbol",), on: Sequence[str] = ("dt",),
                    min_bars: int = MIN_BARS, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Benchmark-aligned frame: forward returns, factors' inputs, ratio, momentum, quadrant."""
-    arranged = arrange(align(bars.drop("open", "high", "low"), bench, on), layout, key)
-    framed = arranged.withColumns(aligned_columns(series_window(layout, key), horizons))
+    arranged = arrange(align(bars.drop("open", "high", "low"), bench, on), key)
+    framed = arranged.withColumns(aligned_columns(series_window(key), horizons))
     rotated = with_rotation(framed.filter(F.col("n_bars") >= min_bars), layout, key)
     return rotated.withColumns({
         "quad": quadrant(F.col("ratio"), F.col("mom")),

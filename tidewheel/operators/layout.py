@@ -1,64 +1,29 @@
-"""How a table of ordered series is spread over tasks.
+"""Order of the rows of a series, and the frames over them.
 
 Every indicator looks at one series (``key``) in time order. Bars are unique per
-(key, grain), so daily bars stay under 366 rows per series and year and one task
-per series is enough. A finer grain has no such bound: one symbol can then hold
-a third of all rows. ``measure_layout`` checks the largest series, and beyond the
-limit the series is cut into blocks of ``block_rows`` rows. Each block also gets
-copies of the ``before`` rows ahead of it and the ``after`` rows behind it, so
-frames and warm-up of the recurrences see what they need, and every block is a
-task of its own.
+(key, grain), so the grain bounds a series; the recurrences take it block by block
+with the exact state carried over, in memory of one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-MAX_SERIES_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Layout:
-    """``block_rows=None`` keeps a series whole; otherwise it is cut into blocks."""
+    """``block_rows`` bounds the rows of a block; by default a block is an Arrow batch. The result is the same for any."""
 
     block_rows: int | None = None
-    before: int = 4096
-    after: int = 64
-    chunk_seconds: int = 30 * 86400
-
-    @property
-    def split(self) -> bool:
-        return self.block_rows is not None
-
-    def group_keys(self, key: Sequence[str]) -> list[str]:
-        return [*key, "blk"] if self.split else list(key)
 
 
 WHOLE = Layout()
 
 
-def measure_layout(bars: DataFrame, key: Sequence[str] = ("symbol",), order: str = "dt",
-                   max_rows: int = MAX_SERIES_ROWS) -> Layout:
-    """Pick a layout from the length of the longest series (reads two columns)."""
-    seconds = F.unix_timestamp(F.col(order).cast("timestamp"))
-    sizes = bars.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), (F.max(seconds) - F.min(seconds)).alias("span"))
-    longest = sizes.agg(F.max("n").alias("n"), F.max_by("span", "n").alias("span")).first()
-    if longest is None or longest["n"] is None or longest["n"] <= max_rows:
-        return WHOLE
-    chunks = -(-longest["n"] // max_rows)
-    return Layout(block_rows=max_rows, before=min(65536, max_rows),
-                  chunk_seconds=max(1, longest["span"] // chunks))
-
-
-def resolve_layout(layout: Layout | None, bars: DataFrame, key: Sequence[str] = ("symbol",)) -> Layout:
-    return measure_layout(bars, key) if layout is None else layout
-
-
 def number_rows(bars: DataFrame, key: Sequence[str], order: str, chunk_seconds: int) -> DataFrame:
     """Add ``pos`` (0-based row number in the series) and ``n_bars`` without one task per series.
 
@@ -83,36 +48,15 @@ def number_rows(bars: DataFrame, key: Sequence[str], order: str, chunk_seconds:
     )
 
 
-def arrange(bars: DataFrame, layout: Layout = WHOLE, key: Sequence[str] = ("symbol",),
-            order: str = "dt") -> DataFrame:
-    """Add ``pos`` and ``n_bars``; in a split layout also ``blk`` and ``own`` with edge copies."""
-    if not layout.split:
-        series = Window.partitionBy(*key)
-        return (
-            bars.withColumn("pos", F.row_number().over(series.orderBy(order)).cast("long") - 1)
-            .withColumn("n_bars", F.count(F.lit(1)).over(series))
-        )
-    size = layout.block_rows
-    numbered = number_rows(bars, key, order, layout.chunk_seconds)
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - layout.after) / size))
-    last = F.least(F.floor((F.col("pos") + layout.before) / size), F.floor((F.col("n_bars") - 1) / size))
-    return (
-        numbered.withColumn("blk", F.explode(F.sequence(first, last)))
-        .withColumn("own", F.floor(F.col("pos") / size) == F.col("blk"))
-    )
-
-
-def series_window(layout: Layout, key: Sequence[str] = ("symbol",), order: str = "dt") -> WindowSpec:
-    return Window.partitionBy(*layout.group_keys(key)).orderBy(order)
-
-
-def trim(df: DataFrame, layout: Layout) -> DataFrame:
-    """Drop the edge copies of a split layout."""
-    return df.filter("own").drop("blk", "own") if layout.split else df
+def arrange(bars: DataFrame, key: Sequence[str] = ("symbol",), order: str = "dt") -> DataFrame:
+    """Add ``pos`` and ``n_bars``; the rows of a series come out in order."""
+    series = Window.partitionBy(*key)
+    counted = bars.withColumn("n_bars", F.count(F.lit(1)).over(series))
+    return counted.withColumn("pos", F.row_number().over(series.orderBy(order)).cast("long") - 1)
 
 
-def without_context(layout: Layout) -> Layout:
-    return replace(layout, before=0, after=0)
+def series_window(key: Sequence[str] = ("symbol",), order: str = "dt") -> WindowSpec:
+    return Window.partitionBy(*key).orderBy(order)
 
 
 def rolling(agg: Column, rows: int, window: WindowSpec, counted: Column) -> Column:

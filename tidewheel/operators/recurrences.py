@@ -1,25 +1,25 @@
-"""Recurrences that no SQL frame can express, as one grouped Arrow function per series block.
+"""Recurrences that no SQL frame can express, as a fold over the blocks of a series.
 
 Smoothing, relative rotation and the ratcheting trend band need the previous
-*result*, not the previous row. Spark partitions and orders the rows; the task
-only walks one block of one series.
+*result*, not the previous row. Spark partitions and orders the rows; a task
+takes one series block by block and carries the exact state from one to the next: the last
+value of each average, the tails of the frames, the last bands and trend. So
+there is one path for every length: time is linear in the rows, memory is one block's.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidewheel.operators.layout import WHOLE, Layout
-from tidewheel.session import materialize
 
 # Executors get these functions with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,151 +47,188 @@ def _arrow_column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind, from_pandas=True)
 
 
-def per_series(df: DataFrame, keys: Sequence[str], inputs: Sequence[str],
-               outputs: Mapping[str, T.DataType],
-               fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> DataFrame:
-    """Append ``outputs`` computed by ``fn`` from the ``inputs`` of each group in ``pos`` order."""
+Columns = dict[str, np.ndarray]
+Step = Callable[[Columns], Columns]
+
+
+def per_series(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], outputs: Mapping[str, T.DataType],
+               fold: Callable[[], Step], block_rows: int | None = None) -> DataFrame:
+    """Append ``outputs``; ``fold`` makes a step for a series, which gets the ``inputs`` of its blocks in ``pos`` order.
+
+    A block is an Arrow batch, or at most ``block_rows`` rows of it. The rows of a series come in the order of the windows that
+    numbered them; any other order is refused.
+    """
     schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in outputs.items()])
     arrow_types = {n: _ARROW[t] for n, t in outputs.items()}
 
-    def run(table: pa.Table) -> pa.Table:
-        if (np.diff(table["pos"].to_numpy()) < 0).any():
-            table = table.sort_by("pos")
-        result = fn({c: table[c].to_numpy() for c in inputs})
-        for name, kind in arrow_types.items():
-            table = table.append_column(name, _arrow_column(result[name], kind))
-        return table
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, reached = fold(), -1
+        for batch in batches:
+            size = block_rows or max(batch.num_rows, 1)
+            for begin in range(0, batch.num_rows, size):
+                block = batch.slice(begin, size)
+                pos = block.column("pos").to_numpy()
+                if pos[0] <= reached or (np.diff(pos) < 1).any():
+                    raise ValueError("the rows of a series are out of order")
+                reached = pos[-1]
+                result = step({c: block.column(c).to_numpy(zero_copy_only=False) for c in inputs})
+                yield pa.RecordBatch.from_arrays(
+                    [*block.columns, *(_arrow_column(result[n], kind) for n, kind in arrow_types.items())],
+                    [*block.schema.names, *arrow_types])
 
     return df.groupBy(*keys).applyInArrow(run, schema)
 
 
-def smooth(values: np.ndarray, alpha: float) -> np.ndarray:
-    """Exponential smoothing seeded by the first value that is present."""
-    return pd.Series(values).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+#: Rows without a value after which a previous value has no weight left in a double.
+_FORGOTTEN = 65536
+
+
+class Smoother:
+    """Exponential smoothing seeded by the first value that is present, continued from block to block."""
+
+    def __init__(self, alpha: float) -> None:
+        self.alpha, self.last, self.gap = alpha, float("nan"), 0
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        # Rows without a value weaken the previous one, so those at the end of the last block are repeated.
+        ahead = np.r_[self.last, np.full(self.gap, np.nan)]
+        out = pd.Series(np.r_[ahead, values]).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(ahead):]
+        there = np.flatnonzero(~np.isnan(values))
+        if len(there):
+            self.last, self.gap = out[-1], min(len(values) - 1 - int(there[-1]), _FORGOTTEN)
+        elif self.last == self.last:
+            self.gap = min(self.gap + len(values), _FORGOTTEN)
+        return out
+
+
+class Lag:
+    """The values ``rows`` earlier; ``first`` ahead of the series."""
+
+    def __init__(self, rows: int = 1, first: float = float("nan")) -> None:
+        self.tail = np.full(rows, first)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        joined = np.r_[self.tail, values]
+        self.tail = joined[len(values):]
+        return joined[: len(values)]
 
 
 def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
-def shifted(values: np.ndarray, rows: int) -> np.ndarray:
-    out = np.full(len(values), np.nan)
-    if rows < len(values):
-        out[rows:] = values[: len(values) - rows]
-    return out
+def smoothed_range(span: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Average true range; the first bar has no previous close and counts high - low."""
+    previous, smooth = Lag(), Smoother(span_alpha(span))
 
+    def step(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
+        before = previous(close)
+        return smooth(np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before))))
 
-def smoothed_range(high: np.ndarray, low: np.ndarray, close: np.ndarray, span: int) -> np.ndarray:
-    """Average true range; the first bar has no previous close and counts high - low."""
-    before = shifted(close, 1)
-    reach = np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
-    return smooth(reach, span_alpha(span))
+    return step
 
 
-def strength_index(close: np.ndarray, span: int) -> np.ndarray:
+def strength_index(span: int) -> Callable[[np.ndarray], np.ndarray]:
     """RSI by 1/span smoothing; missing on the first bar, 0 for a flat series."""
-    step = close - shifted(close, 1)
-    gain = smooth(np.where(np.isnan(step), np.nan, np.maximum(step, 0.0)), 1.0 / span)
-    loss = smooth(np.where(np.isnan(step), np.nan, np.maximum(-step, 0.0)), 1.0 / span)
-    return 100 - 100 / (1 + gain / (loss + EPSILON))
+    previous, gains, losses = Lag(), Smoother(1.0 / span), Smoother(1.0 / span)
 
+    def step(close: np.ndarray) -> np.ndarray:
+        change = close - previous(close)
+        gain = gains(np.where(np.isnan(change), np.nan, np.maximum(change, 0.0)))
+        loss = losses(np.where(np.isnan(change), np.nan, np.maximum(-change, 0.0)))
+        return 100 - 100 / (1 + gain / (loss + EPSILON))
 
-def rotation(close: np.ndarray, bench: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Relative-strength ratio and momentum around 100."""
-    def spread(x: np.ndarray) -> np.ndarray:
-        fast, slow = smooth(x, span_alpha(FAST_SPAN)), smooth(x, span_alpha(SLOW_SPAN))
-        return 100 + (fast - slow) / slow * 100
+    return step
 
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = spread(100 * close / bench)
-        return ratio, spread(ratio)
 
+def spread() -> Callable[[np.ndarray], np.ndarray]:
+    """Fast against slow average, around 100."""
+    fast, slow = Smoother(span_alpha(FAST_SPAN)), Smoother(span_alpha(SLOW_SPAN))
 
-def band_multiplier(atr: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Range relative to the base line, scaled by its own 50-bar extent to [1, 5]."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rel = pd.Series(atr / base).fillna(0)
-        low, high = rel.rolling(BAND_FRAME).min(), rel.rolling(BAND_FRAME).max()
-        scaled = MIN_MULT + (MAX_MULT - MIN_MULT) * (rel - low) / (high - low + EPSILON)
-    return scaled.clip(MIN_MULT, MAX_MULT).to_numpy()
+    def step(x: np.ndarray) -> np.ndarray:
+        base = slow(x)
+        return 100 + (fast(x) - base) / base * 100
 
+    return step
 
-def _settled_at(raw: list[float], close: list[float], start: int, side: int) -> int:
-    """First row whose band is the same whatever the band was before ``start``.
 
-    All values the band could hold are tracked: an unknown earlier level survives
-    only between the tightest raw band and the closes seen since. Once it is shut
-    out and a single candidate is left, the band is known. ``side`` is 1 for the
-    lower band and -1 for the upper one. Returns the row count if never settled.
-    """
-    count = len(raw)
-    while start < count and raw[start] != raw[start]:
-        start += 1
-    if start >= count:
-        return count
-    candidates = [side * raw[start]]
-    floor, ceiling = candidates[0], float("inf")
-    for i in range(start + 1, count):
-        level, edge = side * raw[i], side * close[i - 1]
-        candidates = [v for v in candidates if level < v < edge] + [level]
-        floor, ceiling = max(floor, level), min(ceiling, edge)
-        if floor >= ceiling and len(candidates) == 1:
-            return i
-    return count
-
-
-def _ratchet(raw: list[float], close: list[float], start: int, side: int) -> list[float]:
-    """Band that only tightens while the previous close stays on its side of it."""
-    band = list(raw)
-    for i in range(start + 1, len(raw)):
-        held, level = side * band[i - 1], side * raw[i]
-        if side * close[i - 1] > held and not level > held:
-            band[i] = band[i - 1] if level == level else raw[i]
-    return band
-
-
-def trend_states(cols: dict[str, np.ndarray], own: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """RSI, bands and trend of one block.
-
-    ``trend`` is 1 or -1, and missing where it depends on an earlier block;
-    ``trend_prev`` is 0 on the first bar of the series. ``proven`` tells that the
-    bands do not depend on rows ahead of the block's copies.
-    """
-    high, low, close = (np.asarray(cols[c], dtype="float64") for c in ("high", "low", "close"))
-    count = len(close)
-    starts_series = cols["pos"][0] == 0
-    atr = smoothed_range(high, low, close, ATR_SPAN)
-    base = smooth(close, span_alpha(BASE_SPAN))
-    mult = band_multiplier(atr, base)
-    middle = (high + low) / 2
-    closes = close.tolist()
-    raw_up, raw_dn = (middle - mult * atr).tolist(), (middle + mult * atr).tolist()
-    at_up = 0 if starts_series else _settled_at(raw_up, closes, 0, 1)
-    at_dn = 0 if starts_series else _settled_at(raw_dn, closes, 0, -1)
-    up = np.array(_ratchet(raw_up, closes, at_up, 1))
-    dn = np.array(_ratchet(raw_dn, closes, at_dn, -1))
-    known = 0 if starts_series else max(at_up, at_dn)
-
-    flips = np.where(close > shifted(dn, 1), 1, np.where(close < shifted(up, 1), -1, 0))
-    flips[: min(known + 1, count)] = 0
-    if starts_series:
-        flips[0] = 1
-    last_flip = np.maximum.accumulate(np.where(flips != 0, np.arange(count), -1))
-    trend = np.where(last_flip >= 0, flips[np.maximum(last_flip, 0)], np.nan)
-    before = shifted(trend, 1)
-    if starts_series:
-        before[0] = 0
-    first_own = 0 if own is None else int(np.argmax(own))
-    proven = np.full(count, starts_series or known < first_own)
-    return {"rsi": strength_index(close, RSI_SPAN), "atr": atr, "ema55": base, "mult": mult,
-            "band_up": up, "band_dn": dn, "trend": trend, "trend_prev": before, "proven": proven}
+def band_multiplier() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Range relative to the base line, scaled by its own 50-bar extent to [1, 5]."""
+    tail = np.zeros(0)
+
+    def step(atr: np.ndarray, base: np.ndarray) -> np.ndarray:
+        nonlocal tail
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rel = pd.Series(np.r_[tail, pd.Series(atr / base).fillna(0)])
+            low, high = rel.rolling(BAND_FRAME).min(), rel.rolling(BAND_FRAME).max()
+            scaled = MIN_MULT + (MAX_MULT - MIN_MULT) * (rel - low) / (high - low + EPSILON)
+        begin, tail = len(tail), rel.to_numpy()[-(BAND_FRAME - 1):]
+        return scaled.clip(MIN_MULT, MAX_MULT).to_numpy()[begin:]
+
+    return step
+
+
+def ratchet(side: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Band that only tightens while the previous close stays on its side of it; 1 for the lower band, -1 for the upper one."""
+    held = edge = float("nan")
+
+    def step(raw: np.ndarray, close: np.ndarray) -> np.ndarray:
+        nonlocal held, edge
+        band = raw.tolist()
+        for i, (level, now) in enumerate(zip(band, close.tolist(), strict=True)):
+            if side * edge > side * held and not side * level > side * held and level == level:
+                band[i] = held
+            held, edge = band[i], now
+        return np.array(band)
+
+    return step
+
+
+def trend_fold() -> Step:
+    """RSI, ATR, base line, bands and trend (1 or -1); ``trend_prev`` is 0 on the first bar of the series."""
+    ranges, index, base_of, mult_of = smoothed_range(ATR_SPAN), strength_index(RSI_SPAN), Smoother(span_alpha(BASE_SPAN)), band_multiplier()
+    lower, upper, up_before, dn_before = ratchet(1), ratchet(-1), Lag(), Lag()
+    trend_before, trend_now = Lag(first=0.0), 0.0
+
+    def step(cols: Columns) -> Columns:
+        nonlocal trend_now
+        high, low, close = (np.asarray(cols[c], dtype="float64") for c in ("high", "low", "close"))
+        atr, base = ranges(high, low, close), base_of(close)
+        mult = mult_of(atr, base)
+        middle = (high + low) / 2
+        up, dn = lower(middle - mult * atr, close), upper(middle + mult * atr, close)
+        flips = np.where(close > dn_before(dn), 1.0, np.where(close < up_before(up), -1.0, 0.0))
+        if trend_now == 0:
+            flips[0] = 1.0
+        last_flip = np.maximum.accumulate(np.where(flips != 0, np.arange(len(close)), -1))
+        trend = np.where(last_flip >= 0, flips[np.maximum(last_flip, 0)], trend_now)
+        trend_now = trend[-1]
+        return {"rsi": index(close), "atr": atr, "ema55": base, "mult": mult, "band_up": up, "band_dn": dn,
+                "trend": trend, "trend_prev": trend_before(trend)}
+
+    return step
+
+
+def rotation_fold() -> Step:
+    """Relative-strength ratio and momentum around 100 with earlier values, and EMA50."""
+    ratio_of, mom_of, base_of = spread(), spread(), Smoother(span_alpha(50))
+    ratio_before, mom_before, mom_earlier = Lag(), Lag(), Lag(4)
+
+    def step(cols: Columns) -> Columns:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = ratio_of(100 * cols["close"] / cols["bench_close"])
+            mom = mom_of(ratio)
+        return {"ratio": ratio, "mom": mom, "ratio_prev": ratio_before(ratio), "mom_prev": mom_before(mom),
+                "mom_lag4": mom_earlier(mom), "ema50": base_of(cols["close"])}
+
+    return step
 
 
 TREND_FIELDS = {"rsi": T.DoubleType(), "atr": T.DoubleType(), "ema55": T.DoubleType(),
                 "mult": T.DoubleType(), "band_up": T.DoubleType(), "band_dn": T.DoubleType(),
-                "trend": T.IntegerType(), "trend_prev": T.IntegerType(), "proven": T.BooleanType()}
+                "trend": T.IntegerType(), "trend_prev": T.IntegerType()}
 
-TREND_CORE = ("rsi", "trend", "trend_prev", "proven")
+TREND_CORE = ("rsi", "trend", "trend_prev")
 
 ROTATION_FIELDS = {"ratio": T.DoubleType(), "mom": T.DoubleType(), "ratio_prev": T.DoubleType(),
                    "mom_prev": T.DoubleType(), "mom_lag4": T.DoubleType(), "ema50": T.DoubleType()}
@@ -199,55 +236,22 @@ ROTATION_FIELDS = {"ratio": T.DoubleType(), "mom": T.DoubleType(), "ratio_prev":
 
 def with_rotation(frame: DataFrame, layout: Layout = WHOLE, key: Sequence[str] = ("symbol",)) -> DataFrame:
     """Add ratio, momentum, their previous values and EMA50 to arranged, benchmark-aligned rows."""
-    def walk(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        ratio, mom = rotation(cols["close"], cols["bench_close"])
-        return {"ratio": ratio, "mom": mom, "ratio_prev": shifted(ratio, 1), "mom_prev": shifted(mom, 1),
-                "mom_lag4": shifted(mom, 4), "ema50": smooth(cols["close"], span_alpha(50))}
-
-    out = per_series(frame, layout.group_keys(key), ["close", "bench_close"], ROTATION_FIELDS, walk)
-    return out.filter("own").drop("blk", "own") if layout.split else out
+    return per_series(frame, key, ["close", "bench_close"], ROTATION_FIELDS, rotation_fold, layout.block_rows)
 
 
 def with_trend(frame: DataFrame, layout: Layout = WHOLE, key: Sequence[str] = ("symbol",),
                detail: bool = True) -> DataFrame:
     """Add RSI and trend to arranged rows, with ``detail`` also ATR, base line and bands."""
     fields = {n: f for n, f in TREND_FIELDS.items() if detail or n in TREND_CORE}
-    if not layout.split:
-        return per_series(frame, key, ["high", "low", "close", "pos"], fields, trend_states).drop("proven")
-
-    def walk(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        return trend_states(cols, cols["own"])
-
-    folded = per_series(frame, layout.group_keys(key), ["high", "low", "close", "pos", "own"], fields, walk)
-    folded = materialize(folded.filter("own").drop("own"), "trend-blocks")
-
-    # A series with an unproven block, whose copies never pinned the band down, is walked whole.
-    loose = folded.filter(~F.col("proven")).select(*key).distinct()
-    firm = folded.join(loose, list(key), "left_anti")
-    plain = [f.name for f in frame.schema.fields if f.name not in ("blk", "own")]
-    rest = folded.join(loose, list(key), "left_semi").select(*plain)
-    rest = with_trend(rest, WHOLE, key, detail)
-
-    # Trend of rows ahead of a block's first flip: the last flip of an earlier block, 1 at the start.
-    ends = firm.groupBy(*key, "blk").agg(F.max_by("trend", "pos").alias("end_trend"))
-    earlier = Window.partitionBy(*key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*key, "blk", F.coalesce(
-        F.last("end_trend", ignorenulls=True).over(earlier), F.lit(1)).alias("_carry"))
-    firm = (
-        firm.join(carry, [*key, "blk"])
-        .withColumn("trend", F.coalesce("trend", "_carry"))
-        .withColumn("trend_prev", F.coalesce("trend_prev", "_carry"))
-        .drop("blk", "_carry", "proven")
-    )
-    return firm.unionByName(rest)
+    return per_series(frame, key, ["high", "low", "close"], fields, trend_fold, layout.block_rows)
 
 
 def with_smoothing(frame: DataFrame, columns: Mapping[str, tuple[str, float]], layout: Layout = WHOLE,
                    key: Sequence[str] = ("symbol",)) -> DataFrame:
     """Add exponential smoothings: ``{output: (input column, alpha)}``."""
-    def walk(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        return {out: smooth(cols[src], alpha) for out, (src, alpha) in columns.items()}
+    def fold() -> Step:
+        smoothers = {out: Smoother(alpha) for out, (_, alpha) in columns.items()}
+        return lambda cols: {out: smoothers[out](cols[src]) for out, (src, _) in columns.items()}
 
     inputs = sorted({src for src, _ in columns.values()})
-    out = per_series(frame, layout.group_keys(key), inputs, {n: T.DoubleType() for n in columns}, walk)
-    return out.filter("own").drop("blk", "own") if layout.split else out
+    return per_series(frame, key, inputs, {n: T.DoubleType() for n in columns}, fold, layout.block_rows)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.numbers import pct_from, round_to
-from tidewheel.operators.layout import WHOLE, arrange
+from tidewheel.operators.layout import arrange
 
 MIN_PRICES = 5
 METAL_HORIZONS = {"ch1d": 1, "ch7d": 7, "ch1m": 21, "ch2m": 42}
@@ -20,7 +20,7 @@ def price_changes(recent_bars: DataFrame, horizons: Mapping[str, int], last_name
 
     Months of daily bars per symbol; the bases are picked by one aggregation.
     """
-    arranged = arrange(recent_bars, WHOLE).filter(F.col("n_bars") >= MIN_PRICES)
+    arranged = arrange(recent_bars).filter(F.col("n_bars") >= MIN_PRICES)
 
     def base(rows: int):
         wanted = F.greatest(F.lit(0), F.col("n_bars") - 1 - rows)

@@ -9,9 +9,10 @@ from tidewheel.functions import labels
 from tidewheel.functions.numbers import finite, round_to
 from tidewheel.operators import backtest as bt
 from tidewheel.operators.frames import as_bench, rotation_frame, trend_frame
-from tidewheel.operators.layout import WHOLE, Layout, resolve_layout
+from tidewheel.operators.layout import WHOLE, Layout
 
 MIN_SECTOR_PAIR_BARS = 201
+TREND_NAME = labels.TREND_NAME
 
 
 def trend_summary(bars: DataFrame, layout: Layout = WHOLE) -> DataFrame:
@@ -84,10 +85,9 @@ def factor_summary(bars: DataFrame, bench: DataFrame, layout: Layout = WHOLE) ->
     return stats.select("symbol", *rotation_columns())
 
 
-def sector_rotation(bars: DataFrame, sectors: DataFrame, benchmark: str, layout: Layout | None = None,
-                    trend_name: str = "Trend") -> DataFrame:
+def sector_rotation(bars: DataFrame, sectors: DataFrame, benchmark: str, layout: Layout = WHOLE,
+                    trend_name: str = TREND_NAME) -> DataFrame:
     """Scored sector table: ``sectors(etf, name, ord)`` against the benchmark, one row per sector."""
-    layout = resolve_layout(layout, bars)
     members = bars.join(sectors.select(F.col("etf").alias("symbol")), "symbol", "left_semi")
     rotation = rotation_summary(members, as_bench(bars, benchmark), layout)
     trend = trend_summary(members, layout).select("symbol", "signal", "vol_surge", "ret_1y", "vol_bucket", "ann_vol")
@@ -128,14 +128,13 @@ def sector_pair_quadrant(bars: DataFrame, members: DataFrame, layout: Layout = W
 
 
 def stock_drilldown(bars: DataFrame, universe: DataFrame, rotating_sectors: DataFrame, names: DataFrame,
-                    benchmark: str, layout: Layout | None = None, keep_duplicates: bool = False,
-                    trend_name: str = "Trend") -> DataFrame:
+                    benchmark: str, layout: Layout = WHOLE, keep_duplicates: bool = False,
+                    trend_name: str = TREND_NAME) -> DataFrame:
     """Scored members of the rotating sectors, one row per membership.
 
     Indicators run once per distinct ticker; the semi join on the rotating sectors
     comes before any recurrence.
     """
-    layout = resolve_layout(layout, bars)
     chosen = universe.join(rotating_sectors.select("etf"), "etf", "left_semi")
     members = chosen if keep_duplicates else unique_members(chosen)
     wanted = members.select(F.col("ticker").alias("symbol")).distinct()
