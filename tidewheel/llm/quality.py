@@ -23,7 +23,7 @@ from tidewheel.llm.hashing import SLICE_BYTES, is_space, mix, segment_hashes, te
 BITS = 18
 #: Labelled rows that training reads at most, those of the smallest hash of doc_id.
 MAX_LABELS = 6000
-EPOCHS = 3
+EPOCHS = 10
 #: Score from which on a text counts as good.
 KEEP = 0.3
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
