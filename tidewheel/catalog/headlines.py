@@ -292,7 +292,7 @@ def streamed_headlines(spark: SparkSession, d: str) -> DataFrame:
     t.feed_entries(spark, d).write.parquet(inbox)
     schema = t.feed_entries(spark, d).schema
     stream = classified_stream(spark.readStream.schema(schema).parquet(inbox), EVENT_WORDS, METAL_WORDS,
-                               dims.countries(), delay="100000 days")
+                               dims.countries())
     written = (
         stream.select("etype", "pressure", F.array_join("metals", ", ").alias("metals"), "cause", "country")
         .writeStream.format("parquet").option("checkpointLocation", new_path(spark, "headline-state"))

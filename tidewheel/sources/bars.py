@@ -15,6 +15,26 @@ def drop_incomplete(bars: DataFrame) -> DataFrame:
     return bars.dropna(subset=[*PRICES, "volume"])
 
 
+#: Day, time of day to the minute or second, and a zone, which is dropped; the later parts may be missing.
+TIME_TEXT = (r"^\s*(\d{4}-\d{2}-\d{2})(?:[T\x20](\d{2}:\d{2})(:\d{2})?(?:\.\d+)?)?"
+             r"\s*(?:Z|UTC|[+-]\d{2}:?\d{2}(?::\d{2})?)?\s*$")
+
+
+def wall_time(text: Column) -> Column:
+    """Wall time of a time text, null where it has another form."""
+    day, minute, second = (F.regexp_extract(text, TIME_TEXT, k) for k in (1, 2, 3))
+    filled = F.concat(day, F.lit(" "), F.when(minute == "", "00:00").otherwise(minute), F.when(second == "", ":00").otherwise(second))
+    return F.when(day != "", F.try_to_timestamp(filled, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
+def whole_number(text: Column) -> Column:
+    """A whole number, null for NaN or unreadable text; a fraction ends the job, as it has no place in a bigint."""
+    number = F.nanvl(text.try_cast("double"), F.lit(None))
+    whole = number.try_cast("bigint")
+    return F.when(number.isNull() | (whole == number), whole).otherwise(
+        F.raise_error(F.concat(F.lit("volume is no whole number: "), text.cast("string"))).cast("bigint"))
+
+
 def conform_bars(raw: DataFrame) -> DataFrame:
     """Text or numeric columns in any letter case to the bar schema.
 
@@ -22,12 +42,10 @@ def conform_bars(raw: DataFrame) -> DataFrame:
     parse count as missing.
     """
     lower = raw.toDF(*[c.lower() for c in raw.columns])
-    wall = F.try_to_timestamp(F.rpad(F.substring(F.col("dt").cast("string"), 1, 19), 19, " 00:00:00"))
-    day = F.try_to_timestamp(F.substring(F.col("dt").cast("string"), 1, 10))
     typed = lower.select(
-        "symbol", F.coalesce(wall, day).alias("dt"),
-        *[F.col(c).try_cast("double").alias(c) for c in PRICES],
-        F.col("volume").try_cast("double").cast("bigint").alias("volume"))
+        "symbol", wall_time(F.col("dt").cast("string")).alias("dt"),
+        *[F.nanvl(F.col(c).try_cast("double"), F.lit(None)).alias(c) for c in PRICES],
+        whole_number(F.col("volume")).alias("volume"))
     return drop_incomplete(typed).dropna(subset=["dt"])
 
 

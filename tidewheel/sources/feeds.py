@@ -10,7 +10,9 @@ from tidewheel.functions import text
 FEED_CAP = 6
 LINK_CAP = 20
 MIN_LINK_CHARS = 30
-HEADING_LINK = r"(?is)<h[234]\b[^>]*>(?:(?!</h[234]>).)*?(<a\b[^>]*>.*?</a>)"
+HEADING = r"(?is)<h[234]\b[^>]*>(.*?)</h[234]\s*>"
+ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
+HREF = r"(?is)^<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 ITEM_COLUMNS = ["ingest_ord", "title_raw", "title", "source", "link", "pub_str", "pub_sort"]
 
 
@@ -41,29 +43,31 @@ def feed_items(entries: DataFrame, sources: DataFrame, cap: int = FEED_CAP) -> D
     )
 
 
-def page_links(pages: DataFrame, base: str, pattern: str = HEADING_LINK, cap: int = LINK_CAP,
+def page_links(pages: DataFrame, base: str, within: str = HEADING, cap: int = LINK_CAP,
                min_chars: int = MIN_LINK_CHARS) -> DataFrame:
-    """First ``cap`` links of each page matched by ``pattern``, with long enough text and a target.
+    """First ``cap`` links of each page, with long enough text and a target.
 
-    Group 1 of ``pattern`` is the anchor element. One pass over the page text in
-    the JVM; the cap counts matches before the filters.
+    Group 1 of ``within`` is a part of the page, by default a heading's body; all
+    anchors of it count. One pass over the page text in the JVM; the cap counts anchors before the filters.
     """
-    anchors = F.slice(F.regexp_extract_all("html", F.lit(pattern), 1), 1, cap)
-    href = F.regexp_extract("anchor", r"(?is)^<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']", 1)
-    label = text.strip(F.regexp_replace(F.regexp_replace("anchor", r"(?s)<[^>]*>", ""), r"&amp;", "&"))
+    parts = F.regexp_extract_all("html", F.lit(within), 1)
+    anchors = F.flatten(F.transform(parts, lambda part: F.regexp_extract_all(part, F.lit(ANCHOR), F.lit(0))))
+    href = F.coalesce(*[F.nullif(F.regexp_extract("anchor", HREF, k), F.lit("")) for k in (1, 2, 3)])
+    label = text.strip(text.decode_signs(F.regexp_replace("anchor", r"(?s)<[^>]*>", "")))
     return (
-        pages.select("page_id", F.posexplode(anchors).alias("link_no", "anchor"))
-        .select("page_id", "link_no", label.alias("title"), href.alias("href"))
+        pages.select("page_id", F.posexplode(F.slice(anchors, 1, cap)).alias("link_no", "anchor"))
+        .select("page_id", "link_no", label.alias("title"), text.decode_signs(href).alias("href"))
         .filter((F.length("title") > min_chars) & (F.length("href") > 0))
         .withColumn("link", text.absolute_link(F.col("href"), base))
     )
 
 
-def link_items(links: DataFrame, source: str) -> DataFrame:
-    """Page links as undated items that come after all feed items."""
+def link_items(links: DataFrame, source: str, cap: int = LINK_CAP) -> DataFrame:
+    """Page links as undated items that come after all feed items; ``cap`` is that of the links."""
     after_feeds = F.shiftleft(F.lit(1).cast("bigint"), 62)
+    place = F.shiftleft(F.col("page_id"), max(5, (cap - 1).bit_length()))
     return links.select(
-        (after_feeds + F.col("page_id") * 32 + F.col("link_no")).alias("ingest_ord"),
+        (after_feeds + place + F.col("link_no")).alias("ingest_ord"),
         F.col("title").alias("title_raw"), "title", F.lit(source).alias("source"), "link",
         F.lit("").alias("pub_str"), F.lit(0.0).alias("pub_sort"),
     )

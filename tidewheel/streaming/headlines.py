@@ -15,15 +15,16 @@ def classified_stream(entries: DataFrame, types: Sequence, metals: Sequence, pla
     """Classify streamed entries ``(title_raw, published, ...)``, each raw title once per watermark.
 
     Arrival order decides which copy is first. State holds a digest per title, not
-    the text, and is dropped once the watermark has passed.
+    the text, and is dropped once the watermark has passed. Entries without a readable
+    time have no place in that order: they pass as they come, repeats included.
     """
     timed = (
         entries.withColumn("title_raw", text.strip(F.col("title_raw")))
         .filter(F.length("title_raw") > 0)
         .withColumn("seen_at", text.published_at(F.col("published")))
         .withColumn("title_digest", F.sha2("title_raw", 256))
-        .withWatermark("seen_at", delay)
-        .dropDuplicatesWithinWatermark(["title_digest"])
     )
-    titled = timed.select("*", text.headline(F.col("title_raw")).alias("title"))
+    dated = timed.filter(F.col("seen_at").isNotNull()).withWatermark("seen_at", delay)
+    once = dated.dropDuplicatesWithinWatermark(["title_digest"]).unionByName(timed.filter(F.col("seen_at").isNull()))
+    titled = once.select("*", text.headline(F.col("title_raw")).alias("title"))
     return text.classify(titled, types, metals, places).drop("title_digest")

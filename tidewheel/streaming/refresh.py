@@ -16,9 +16,9 @@ def refresh_stream(spark: SparkSession, inbox: str, target: str, wanted: DataFra
     """Process everything landed since the last run and stop.
 
     One batch holds the full history of its symbols (``inbox`` gets whole
-    histories). Freshness is read from the stored table at the start of the
-    run's batch; a repeated batch writes the same partitions again, so a retry
-    after a lost executor or driver changes nothing.
+    histories). Freshness is read from the stored table at the start of each
+    batch. A repeated batch finds what it has written fresh and leaves it, and
+    writes whatever it had not; so the table is the same after a retry.
     """
     def replace_stale(batch: DataFrame, _batch_id: int) -> None:
         # The list is written out first: the partitions it was read from get overwritten below.
