@@ -46,6 +46,13 @@ TASK_WEIGHT = 1 << 20
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, as hashes and their sums take several times the memory of a text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         words, bounds = word_hashes(batch.column("text"))
@@ -60,7 +67,7 @@ def node_of(shingles: np.ndarray) -> int:
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, node of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, size):
+        for batch, sets in _sets(small(batches), size):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
@@ -112,7 +119,7 @@ def word_order(docs: DataFrame) -> Order:
                                                pa.array(np.r_[counts[keep], counts.sum()], pa.int64())], ["word", "n"])
 
         weight = 0
-        for batch in batches:
+        for batch in small(batches):
             held.append(word_hashes(batch.column("text"))[0])
             weight += len(held[-1])
             if weight >= 1 << 22:
@@ -163,7 +170,7 @@ def prefix_length(size: int, least: Fraction) -> int:
 def prefixes(docs: DataFrame, size: int, least: Fraction, order: Order) -> DataFrame:
     """(token, node, n) of each document's prefix; a node that recurs within a batch comes once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             words, bounds = word_hashes(batch.column("text"))
             found: dict[int, tuple[int, np.ndarray]] = {}
             for shingles, points in shingle_hashes(words, bounds, size, order.points(words)):
@@ -250,7 +257,7 @@ def whole_classes(docs: DataFrame, wanted: DataFrame, size: int, least: Fraction
     in are keys only for sets with too few others.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, size):
+        for batch, sets in _sets(small(batches), size):
             found: dict[int, np.ndarray] = {}
             for s in sets:
                 if not len(s) or (node := node_of(s)) in found:
