@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.catalog.inputs import EVENT_WORDS, LIST_LINK, METAL_WORDS, MIN_LINK, PAGE_BASE, PAGE_SOURCE
 from tidewheel.catalog.registry import query
-from tidewheel.catalog.sql import CTES, quote, strip
+from tidewheel.catalog.sql import CTES, json_of, quote, strip
 from tidewheel.functions import text
 from tidewheel.plans import events as ev
 from tidewheel.session import new_path
@@ -273,11 +273,20 @@ def supply_briefs(spark: SparkSession, d: str) -> DataFrame:
     return briefs.withColumn("causes", F.array_join("causes", "; "))
 
 
-@query("brief_payload", """SELECT '{"name":"' || name || '","sentiment":"' || sentiment || '","up":' || up || ',"down":' ||
-  down || ',"n":' || n || '}' AS json FROM briefs""")
+_BRIEF = ("name", "sentiment", "up", "down", "n", "causes")
+_EVENT_ROW = ("title", "source", "link", "pub_str", "pub_sort", "etype", "color", "pressure", "metals", "cause", "country")
+
+
+@query("brief_payload", f"SELECT {json_of(*_BRIEF)} FROM (SELECT * REPLACE (coalesce(causes, []) AS causes) FROM briefs)")
 def brief_payload(spark: SparkSession, d: str) -> DataFrame:
-    briefs = ev.supply_briefs(t.metal_dim(spark, d), _feed(spark, d))
-    return sinks.json_rows(briefs, "name", "sentiment", "up", "down", "n")
+    return sinks.json_rows(ev.supply_briefs(t.metal_dim(spark, d), _feed(spark, d)), *_BRIEF)
+
+
+@query("event_payload", f"SELECT ingest_ord, {json_of(*_EVENT_ROW)} FROM latest".replace("'pub_sort': \"pub_sort\"", "'pub_sort': pub_sort::BIGINT"))
+def event_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Whole rows of the shown feed, with arrays and nulls; whole seconds, as SQL writes large doubles in another form."""
+    rows = _latest(spark, d).withColumn("pub_sort", F.col("pub_sort").cast("bigint"))
+    return rows.select("ingest_ord", sinks.json_object(*_EVENT_ROW).alias("json"))
 
 
 CTES["streamed"] = _classified("streamed_titles", EVENT_WORDS, METAL_WORDS, dims.countries())

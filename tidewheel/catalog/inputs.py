@@ -42,9 +42,15 @@ def stamp(column: str = "dt") -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm").alias(column)
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily bars built once and stored, for queries that read them in several places."""
-    return materialize(t.order_bars(spark, folder), "bars")
+    """Daily bars built and stored once for an application, for queries that read them in several places."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        _STORED[key] = materialize(t.order_bars(spark, folder).repartitionByRange("symbol", "dt"), "bars")
+    return _STORED[key]
 
 
 def own(spark: SparkSession, folder: str, min_bars: int = MIN_BARS) -> DataFrame:
@@ -63,13 +69,14 @@ def sector_table(spark: SparkSession, folder: str, bars: DataFrame | None = None
 
 
 def drilldown(spark: SparkSession, folder: str, min_score: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(sector table, ranked drill-down); the few sector rows are stored before members are chosen by them."""
+    """(sector table, drill-down); the few sector rows are stored before members are chosen by them."""
     bars = stored_bars(spark, folder)
     sectors = materialize(sector_table(spark, folder, bars), "sectors")
     drill = rotation.stock_drilldown(
         bars, t.universe_dim(spark, folder), rotation.rotating(sectors, min_score), t.name_dim(spark, folder),
         BENCH, WHOLE)
-    return sectors, rotation.ranked_stocks(drill)
+    # The finished table is small and read in several places: its folds run once.
+    return sectors, materialize(drill, "drilldown")
 
 
 def lookup_table(spark: SparkSession, folder: str, sectors: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.catalog.inputs import BENCH, drilldown, lookup_table, sector_table, stored_bars
 from tidewheel.catalog.registry import query
-from tidewheel.catalog.sql import CTES, rnd
+from tidewheel.catalog.sql import CTES, json_of, rnd
 from tidewheel.functions.labels import ticker_label
 from tidewheel.plans import lookup, metals, rotation, signals
 from tidewheel.plans.events import filter_by_metal
@@ -88,7 +88,7 @@ def trail_extents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stock_drilldown", f"SELECT {_STOCK} FROM drill")
 def stock_drilldown(spark: SparkSession, d: str) -> DataFrame:
-    return _stock_rows(drilldown(spark, d)[1])
+    return _stock_rows(rotation.ranked_stocks(drilldown(spark, d)[1]))
 
 
 @query("member_scores", f"SELECT {_STOCK} FROM drill_all")
@@ -293,19 +293,24 @@ def price_metal_filter(spark: SparkSession, d: str) -> DataFrame:
     return filter_by_metal(board, "name", "Africa/Asia").select("name")
 
 
-@query("price_payload", """SELECT '{"name":"' || name || '","ticker":"' || ticker || '","proxy":false,"ord":' || ord || '}'
-AS json FROM metal_dim m JOIN metal_changes c ON c.symbol = m.ticker""")
+_PRICE = ("name", "ticker", "unit", "symbol", "proxy", "ord", "spot", "ch1d", "ch7d", "ch1m", "ch2m")
+_COMPANY = ("group", "name", "ticker", "country", "exchange", "price", "ch10d", "ch20d", "ch1m", "ch2m")
+_LOOKUP = ("ticker", "name", "sector_etf", "sector_name", "rotating", "quad", "score", "alert")
+
+
+@query("price_payload", f"SELECT {json_of(*_PRICE)} FROM metal_dim m JOIN metal_changes c ON c.symbol = m.ticker".replace('"symbol"', "m.symbol"))
 def price_payload(spark: SparkSession, d: str) -> DataFrame:
-    board = metals.price_board(t.metal_dim(spark, d), _recent(spark, d))
-    return sinks.json_rows(board, "name", "ticker", "proxy", "ord")
+    return sinks.json_rows(metals.price_board(t.metal_dim(spark, d), _recent(spark, d)), *_PRICE)
+
+
+@query("company_payload", f"SELECT {json_of(*_COMPANY)} FROM company_board")
+def company_payload(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.json_rows(_board(spark, d), *_COMPANY)
 
 
-@query("lookup_payload", """SELECT '{"ticker":"' || ticker || '","name":"' || name || '","sector_etf":"' || sector_etf ||
-  '","rotating":' || CASE WHEN rotating THEN 'true' ELSE 'false' END || ',"quad":"' || quad || '","score":' || score || '}'
-  AS json FROM looked""")
+@query("lookup_payload", f"SELECT {json_of(*_LOOKUP)} FROM looked")
 def lookup_payload(spark: SparkSession, d: str) -> DataFrame:
-    table = lookup_table(spark, d, sector_table(spark, d))
-    return sinks.json_rows(table, "ticker", "name", "sector_etf", "rotating", "quad", "score")
+    return sinks.json_rows(lookup_table(spark, d, sector_table(spark, d)), *_LOOKUP)
 
 
 # Refresh ----------------------------------------------------------------------

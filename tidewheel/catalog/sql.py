@@ -25,6 +25,11 @@ def strip(value: str) -> str:
     return f"trim({value}, {chars})"
 
 
+def json_of(*columns: str) -> str:
+    """One JSON object of the columns, null fields kept."""
+    return "CAST(to_json({" + ", ".join(f"'{c}': \"{c}\"" for c in columns) + "}) AS VARCHAR) AS json"
+
+
 CTES: dict[str, str] = {}
 
 CTES["cells"] = """

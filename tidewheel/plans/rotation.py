@@ -119,7 +119,9 @@ def unique_members(universe: DataFrame) -> DataFrame:
 def sector_pair_quadrant(bars: DataFrame, members: DataFrame, layout: Layout = WHOLE) -> DataFrame:
     """Last quadrant of every (etf, ticker) against its own sector, if they share > 200 dates."""
     stock = members.select("etf", "ticker").join(bars.withColumnRenamed("symbol", "ticker"), "ticker")
-    sector = bars.select(F.col("symbol").alias("etf"), "dt", F.col("close").alias("bench_close"))
+    # Only bars of the sectors can match: what is left of the table decides how it is joined.
+    sector = bars.select(F.col("symbol").alias("etf"), "dt", F.col("close").alias("bench_close")).join(
+        members.select("etf").distinct(), "etf", "left_semi")
     frame = rotation_frame(stock, sector, layout, key=("etf", "ticker"), on=("etf", "dt"),
                            min_bars=MIN_SECTOR_PAIR_BARS, horizons=())
     last = frame.groupBy("etf", "ticker").agg(
