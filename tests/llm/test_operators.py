@@ -278,14 +278,14 @@ def test_sharding(spark):
 
 def test_line_templates(spark, rows):
     note = "Copyright {} by the house of words all rights"
-    texts = [f"unique words of text number {w} alone\n{note.format(2000 + i)}\nend" for i, w in enumerate("abcdef")] + [None, "", "short\nshort"]
+    texts = [f"{w}{w} opens a text of its own\n{note.format(2000 + i)}\nend" for i, w in enumerate("abcdef")] + [None, "", "short\nshort"]
     lines = "this line is the same in every text"
-    texts += [f"{lines}\n{lines}\nmore {w} {w} {w}" for w in "ghi"]
+    texts += [f"{lines}\n{lines}\n{w}{w}{w} more of {w}" for w in "ghi"]
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_dropped int")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.without_recurring_lines(docs).collect()}
     assert got[0] == (texts[0], 0) and got[3] == (texts[3].replace(note.format(2003) + "\n", ""), 1)
     assert got[6] == (None, 0) and got[7] == ("", 0) and got[8] == ("short\nshort", 0)
-    assert got[9] == (texts[9], 0) and got[10] == ("more h h h", 2)
+    assert got[9] == (texts[9], 0) and got[10] == ("hhh more of h", 2)
     assert line_templates.without_recurring_lines(docs.filter("false")).count() == 0
 
 

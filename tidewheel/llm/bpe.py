@@ -13,12 +13,12 @@ looks up each id's bytes and concatenates them.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.columns import let
+
 #: Words whose ids are in the plan; all others are encoded in their place.
 MAX_WORDS = 1 << 18
 #: Slots of a literal map.
@@ -45,11 +45,6 @@ def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
     return (pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once: a lambda over one element names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def literal_map(entries: list[tuple[str, str]], slots: list[int], count: int, marks: tuple[str, str, str]) -> Column:
     """Array of slots; a slot has its entries as text."""
     parts = [""] * count

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.bitmaps import maybe_in
+from tidewheel.llm.columns import let
 from tidewheel.session import materialize
 
 DEPTH = 3
@@ -35,14 +36,17 @@ BLANK = "<*>"
 
 def masked(line: Column) -> Column:
     """Tokens with one blank between them, those with digits as ``<*>``; most lines need neither pattern."""
-    plain = F.trim(F.when(line.rlike(r"[\t\r]|\x20\x20"), F.regexp_replace(line, r"[\x20\t\r]+", " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^\x20]*[0-9][^\x20]*", BLANK)).otherwise(plain)
+    plain = F.when(line.rlike(r"[\t\r]|\x20\x20"), F.regexp_replace(line, r"[\x20\t\r]+", " ")).otherwise(line)
+    return let(F.trim(plain), lambda own: F.when(own.rlike("[0-9]"), F.regexp_replace(own, r"[^\x20]*[0-9][^\x20]*", BLANK)).otherwise(own))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), line (masked), leaf, key of each line of at least ``MIN_TOKENS`` tokens."""
-    lines = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", masked(F.col("line")))
+    """doc_id, pos (from 0), line (masked), leaf, key of each line of at least ``MIN_TOKENS`` tokens.
+
+    Lines are masked before they become rows, so no later filter or column repeats that work.
+    """
+    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.transform(F.split("text", "\n"), masked).alias("lines"))
+    lines = own.select("doc_id", F.posexplode("lines").alias("pos", "line"))
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     return lines.withColumn("count", count).filter(F.col("count") >= MIN_TOKENS).select(
         "doc_id", "pos", "line", F.xxhash64("count", F.substring_index("line", " ", DEPTH)).alias("leaf"),
