@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import boosting
+from tidewheel.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose candidates the trees are grown on, those of the smallest hash of doc_id; and candidates at most of one kind.
@@ -172,7 +173,8 @@ def sample(docs: DataFrame, max_docs: int = MAX_SAMPLE_DOCS, most: int = MAX_SAM
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["kind", "label", "described"])
 
-    found = docs.filter(place <= F.lit(last)).select("text").mapInArrow(run, "kind string, label long, described array<double>")
+    found = materialize(docs.filter(place <= F.lit(last)).select("text").mapInArrow(
+        run, "kind string, label long, described array<double>"), "candidates")
     share = [found.filter((F.col("kind") == k) & (F.col("label") == v)).orderBy(F.xxhash64("described"), "described").limit(most // 2)
              for k in KINDS for v in (0, 1)]
     out = share[0]
