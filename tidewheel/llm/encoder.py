@@ -2,7 +2,8 @@
 
 A text is cut ahead of each blank between two non-blank signs. The split pattern of this family of
 tokenizers always breaks there, so the parts are encoded independently. Hashes of the parts find their ids in a
-direct-mapped cache; missing parts go to the encoder in one call. Texts where a blank touches other white space go to the encoder whole.
+direct-mapped cache; missing parts go to the encoder in one call. Texts where a blank touches other white space or ends the text
+go to the encoder whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import tiktoken
 
 from tidewheel.llm.hashing import SLICE_BYTES, segment_hashes
 
-_TOUCHING = re.compile(r"\s\x20|\x20\s")
+_TOUCHING = re.compile(r"\s\x20|\x20\s|\x20\Z")
 _SLOT_BITS = 18
 _STORE = 1 << 21
 

@@ -41,15 +41,15 @@ def masked(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), line (masked), leaf, key of each line of at least ``MIN_TOKENS`` tokens.
+    """doc_id, body (hash of the text), pos (from 0), line (masked), leaf, key of each line of at least ``MIN_TOKENS`` tokens.
 
     Lines are masked before they become rows, so no later filter or column repeats that work.
     """
-    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.transform(F.split("text", "\n"), masked).alias("lines"))
-    lines = own.select("doc_id", F.posexplode("lines").alias("pos", "line"))
+    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), masked).alias("lines"))
+    lines = own.select("doc_id", "body", F.posexplode("lines").alias("pos", "line"))
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     return lines.withColumn("count", count).filter(F.col("count") >= MIN_TOKENS).select(
-        "doc_id", "pos", "line", F.xxhash64("count", F.substring_index("line", " ", DEPTH)).alias("leaf"),
+        "doc_id", "body", "pos", "line", F.xxhash64("count", F.substring_index("line", " ", DEPTH)).alias("leaf"),
         F.xxhash64("line").alias("key"))
 
 
@@ -68,10 +68,10 @@ def _templates(variants: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id and the sorted positions of its dropped lines, for documents that lose any."""
-    hashed = materialize(lines_of(docs).select("doc_id", "pos", "leaf", "key"), "lines")
+    """doc_id, body and the positions of dropped lines, for texts that lose any."""
+    hashed = materialize(lines_of(docs).select("doc_id", "body", "pos", "leaf", "key"), "lines")
     once = hashed.groupBy("leaf", "key", "doc_id").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    variants = once.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+    variants = once.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs"))
     leaves = variants.groupBy("leaf").agg(
         F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("kinds")).filter(F.col("leaf_docs") >= min_docs)
     crowded = materialize(variants.join(leaves, "leaf"), "leaves")
@@ -79,12 +79,15 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     words = lines_of(docs).filter(maybe_in(mixed, "leaf")).groupBy("leaf", "key").agg(F.first("line").alias("line"))
     templates = _templates(mixed.join(words, ["leaf", "key"]))
     named = crowded.join(templates, ["leaf", "key"], "left").withColumn("name", F.when(
-        F.col("share") >= SIMILARITY, F.xxhash64("leaf", "template")).otherwise(F.col("key")))
-    named = materialize(named.select("key", "name", "docs", "first_doc"), "templates")
-    recurring = named.groupBy("name").agg(F.sum("docs").alias("n"), F.min("first_doc").alias("kept_in")).filter(F.col("n") >= min_docs)
-    keys = named.join(recurring, "name").select("key", "kept_in")
-    return hashed.select("doc_id", "pos", "key").join(keys, "key").filter(F.col("doc_id") != F.col("kept_in")).groupBy(
-        "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
+        F.col("share") >= SIMILARITY, F.xxhash64("leaf", "template")).otherwise(F.col("key"))).select("key", "name", "docs")
+    named = materialize(named, "templates")
+    # A document may have several lines of one template: first by their sum, then by documents.
+    likely = named.groupBy("name").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("name")
+    hits = hashed.select("doc_id", "body", "pos", "key").join(named.join(likely, "name").select("key", "name"), "key")
+    recurring = hits.groupBy("name").agg(
+        F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("kept_in")).filter(F.col("n") >= min_docs)
+    return hits.join(recurring, "name").filter(F.col("doc_id") != F.col("kept_in")).groupBy("doc_id", "body").agg(
+        F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
 def _without(lines: Column, dropped: Column) -> Column:
@@ -97,12 +100,13 @@ def _without(lines: Column, dropped: Column) -> Column:
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and ``n_dropped``, the number of lines lost.
 
-    A document that several rows name counts once. A null or empty text stays as it is, as does a row
+    A document that several rows name counts once, and each of its texts loses its own lines. A null or empty text stays as it is, as does a row
     without doc_id; a text of nothing but dropped lines becomes empty. Further columns stay, but for one named ``n_dropped``.
     """
     docs = docs.drop("n_dropped")
-    lost = dropped_lines(docs.select("doc_id", "text"), min_docs).select(F.col("doc_id").alias("_doc"), F.array_distinct("dropped").alias("_dropped"))
-    joined = docs.join(lost, F.col("doc_id") == F.col("_doc"), "left")
+    lost = dropped_lines(docs.select("doc_id", "text"), min_docs).select(
+        F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("dropped").alias("_dropped"))
+    joined = docs.join(lost, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_body")), "left")
     kept = F.concat_ws("\n", _without(F.split("text", "\n"), F.col("_dropped")))
     return joined.withColumns({
         "text": F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept),
