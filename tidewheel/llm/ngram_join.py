@@ -42,7 +42,7 @@ WORD_SHARE = Fraction(1, 2**16)
 #: Documents whose prefixes hold a shingle, from which on it is indexed by pairs.
 FREQUENT = 8
 #: Shingles of all sets of one verification task.
-TASK_WEIGHT = 1 << 20
+TASK_WEIGHT = 1 << 21
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
 
