@@ -71,3 +71,20 @@ def test_default_sentence(spark):
 def test_dimensions_are_reached(spark):
     assert len(dimensions.countries()) == 44
     assert sum(len(k[3]) for k in dimensions.event_types()) == 95
+
+
+def test_options_of_keyword_matching(spark):
+    df = spark.createDataFrame([(0, "Award for a thousand"), (1, "DR Congo strike"), (2, "EPA rules")], "i int, title string")
+    args = (dimensions.event_types(), dimensions.metal_keywords(), dimensions.countries())
+    plain = {r.i: r for r in text.classify(df, *args).collect()}
+    strict = {r.i: r for r in text.classify(df, *args, match=text.Match(word_boundary=True, fold_case=True, longest_match=True)).collect()}
+    assert plain[0].country == "USA" and strict[0].country is None
+    assert plain[1].country == "Congo" and strict[1].country == "DR Congo"
+    assert plain[2].etype == "General" and strict[2].etype != "General"
+
+
+def test_business_days(spark):
+    row = spark.sql("select date'2024-01-05' as friday, date'2024-01-08' as monday, date'2024-01-19' as later").select(
+        bars.days_between(F.col("friday"), F.col("monday")).alias("a"), bars.days_between(F.col("friday"), F.col("monday"), True).alias("b"),
+        bars.days_between(F.col("friday"), F.col("later"), True).alias("c")).first()
+    assert tuple(row) == (3, 1, 10)

@@ -7,6 +7,7 @@ no Python per row, and every keyword is looked up in the whole text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,22 +48,40 @@ def publisher(raw: Column) -> Column:
     return F.when(raw.contains(SEPARATOR), strip(F.substring_index(raw, SEPARATOR, -1))).otherwise("")
 
 
-def hits(lowered: Column, keywords: Sequence[str]) -> Column:
-    """How many of the keywords occur; only the text is lower-cased."""
-    found = [lowered.contains(k).cast("int") for k in keywords]
+@dataclass(frozen=True)
+class Match:
+    """How keywords are found: by default as substrings, and only the text is lower-cased."""
+
+    word_boundary: bool = False
+    fold_case: bool = False
+    longest_match: bool = False
+
+    def found(self, lowered: Column, keyword: str) -> Column:
+        keyword = keyword.lower() if self.fold_case else keyword
+        if not self.word_boundary:
+            return lowered.contains(keyword)
+        return lowered.rlike(r"(?<![\p{L}\p{N}])\Q" + keyword + r"\E(?![\p{L}\p{N}])")
+
+
+SUBSTRINGS = Match()
+
+
+def hits(lowered: Column, keywords: Sequence[str], match: Match = SUBSTRINGS) -> Column:
+    """How many of the keywords occur."""
+    found = [match.found(lowered, k).cast("int") for k in keywords]
     return sum(found[1:], found[0])
 
 
-def any_hit(lowered: Column, keywords: Sequence[str]) -> Column:
-    out = lowered.contains(keywords[0])
+def any_hit(lowered: Column, keywords: Sequence[str], match: Match = SUBSTRINGS) -> Column:
+    out = match.found(lowered, keywords[0])
     for k in keywords[1:]:
-        out = out | lowered.contains(k)
+        out = out | match.found(lowered, k)
     return out
 
 
-def metal_tags(lowered: Column, dictionary: Sequence[tuple[str, Sequence[str]]]) -> Column:
+def metal_tags(lowered: Column, dictionary: Sequence[tuple[str, Sequence[str]]], match: Match = SUBSTRINGS) -> Column:
     """All metals with a keyword in the text, in dictionary order."""
-    found = F.array_compact(F.array(*[F.when(any_hit(lowered, keys), metal) for metal, keys in dictionary]))
+    found = F.array_compact(F.array(*[F.when(any_hit(lowered, keys, match), metal) for metal, keys in dictionary]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_METAL)))
 
 
@@ -72,17 +91,18 @@ def cause(title: Column) -> Column:
     return F.substring(F.get(F.filter(captures, lambda c: F.length(c) > 5), F.lit(0)), 1, 70)
 
 
-def country(lowered: Column, names: Sequence[str]) -> Column:
-    """First listed country whose lower-cased name occurs in the text."""
-    return F.coalesce(*[F.when(lowered.contains(n.lower()), n) for n in names])
+def country(lowered: Column, names: Sequence[str], match: Match = SUBSTRINGS) -> Column:
+    """First listed country whose lower-cased name occurs in the text; with ``longest_match`` the longest one."""
+    order = sorted(names, key=len, reverse=True) if match.longest_match else names
+    return F.coalesce(*[F.when(match.found(lowered, n.lower()), n) for n in order])
 
 
 def classify(items: DataFrame, types: Sequence[tuple[str, str, str, Sequence[str]]],
              metals: Sequence[tuple[str, Sequence[str]]], places: Sequence[str],
-             title: str = "title") -> DataFrame:
+             title: str = "title", match: Match = SUBSTRINGS) -> DataFrame:
     """Add etype, pressure, color, metals, cause and country to titled items."""
     scored = items.withColumn("_low", F.lower(title)).withColumns(
-        {f"_s{i}": hits(F.col("_low"), t[3]) for i, t in enumerate(types)})
+        {f"_s{i}": hits(F.col("_low"), t[3], match) for i, t in enumerate(types)})
     scores = [F.col(f"_s{i}") for i in range(len(types))]
     scored = scored.withColumn("_best", F.greatest(*scores) if len(scores) > 1 else scores[0])
 
@@ -96,9 +116,9 @@ def classify(items: DataFrame, types: Sequence[tuple[str, str, str, Sequence[str
         "etype": of_best(0, NO_EVENT),
         "pressure": of_best(1, NO_PRESSURE),
         "color": of_best(2, NO_COLOR),
-        "metals": metal_tags(F.col("_low"), metals),
+        "metals": metal_tags(F.col("_low"), metals, match),
         "cause": cause(F.col(title)),
-        "country": country(F.col("_low"), places),
+        "country": country(F.col("_low"), places, match),
     }).drop("_low", "_best", *[f"_s{i}" for i in range(len(types))])
 
 

@@ -78,10 +78,19 @@ def data_as_of(bars: DataFrame, benchmark: str) -> DataFrame:
     return bars.filter(F.col("symbol") == benchmark).agg(F.to_date(F.max("dt")).alias("as_of"))
 
 
-def freshness(bars: DataFrame, symbols: DataFrame, as_of: Column, max_age_days: int = 1) -> DataFrame:
+def days_between(last: Column, as_of: Column, business_days: bool = False) -> Column:
+    """Calendar days from ``last`` to ``as_of``; with ``business_days`` only those from Monday to Friday."""
+    if not business_days:
+        return F.datediff(as_of, last)
+    whole, rest = F.floor(F.datediff(as_of, last) / 7), F.datediff(as_of, last) % 7
+    tail = F.when(rest > 0, F.sequence(F.date_add(last, 1), F.date_add(last, rest.cast("int")))).otherwise(F.array().cast("array<date>"))
+    return F.when(F.datediff(as_of, last) > 0, 5 * whole + F.size(F.filter(tail, lambda d: F.weekday(d) < 5))).otherwise(0).cast("int")
+
+
+def freshness(bars: DataFrame, symbols: DataFrame, as_of: Column, max_age_days: int = 1, business_days: bool = False) -> DataFrame:
     """Every wanted symbol with its last bar day and whether it is stale; no bars is stale."""
     last = bars.groupBy("symbol").agg(F.to_date(F.max("dt")).alias("last_day"))
-    age = F.datediff(as_of, F.col("last_day"))
+    age = days_between(F.col("last_day"), as_of, business_days)
     return symbols.join(last, "symbol", "left").select(
         "symbol", "last_day", F.coalesce(age > max_age_days, F.lit(True)).alias("stale"))
 
