@@ -102,7 +102,7 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> Iterator[Span]:
     """Proposed spans, overlapping each other and the base ones."""
-    if "@" in text or "at" in text:
+    if "@" in text or "(at)" in text or "[at]" in text:
         for m in _LOOSE_EMAIL.finditer(text):
             yield "email", *m.span()
     for run in _DIGIT_RUN.finditer(text):
