@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 K = 64
 SHINGLE = 5
 #: Consecutive document numbers that are put in order together.
-RANGE = 1 << 12
+RANGE = 1 << 9
 
 
 def with_sketch(rows: DataFrame, text: str, out: str, size: int = SHINGLE, k: int = K) -> DataFrame:
