@@ -3,7 +3,7 @@
 A piece of bytes is a string with one sign (U+0000 to U+00FF) for each byte, and a word an array of
 pieces that starts as single bytes. The fold takes the adjacent pair whose joined bytes have the smallest rank, leftmost first, and
 joins it, until no pair has a rank. Ranks are a literal map in the plan: slots by hash, so that a look-up reads
-one slot. An id is one sign too, followed by U+0000, so that ids in UTF-16LE are little-endian 32-bit numbers.
+two at most. An id is one sign too, followed by U+0000, so that ids in UTF-16LE are little-endian 32-bit numbers.
 
 Words are counted over the corpus and the ``MAX_WORDS`` most frequent are folded once; their ids are a literal of
 bounded size as well. A rarer word is folded where it stands, so texts never go through a shuffle. Decoding
@@ -22,11 +22,11 @@ from tidewheel.llm.columns import let
 #: Words whose ids are in the plan; all others are encoded in their place.
 MAX_WORDS = 1 << 18
 #: Slots of a literal map.
-RANK_SLOTS, WORD_SLOTS = 1 << 17, 1 << 18
+RANK_SLOTS, WORD_SLOTS = 1 << 18, 1 << 19
 # Signs beyond those of bytes, to part the entries of a literal.
-_ENTRY, _VALUE, _SLOT = "\u0100", "\u0101", "\u0102"
+_SLOT, _FREE = "\u0100", "\u0101"
 # Private-use signs for words, which may hold any sign; words with one of these are not in the literal.
-_WORD_ENTRY, _WORD_VALUE, _WORD_SLOT = "\ue000", "\ue001", "\ue002"
+_WORD_SLOT, _WORD_FREE = "\ue000", "\ue001"
 #: White space of the split pattern: the Unicode property, which Java's \s is not.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -45,20 +45,47 @@ def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
     return (pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
 
 
-def literal_map(entries: list[tuple[str, str]], slots: list[int], count: int, marks: tuple[str, str, str]) -> Column:
-    """Array of slots; a slot has its entries as text."""
-    parts = [""] * count
-    for (key, value), at in zip(entries, slots, strict=True):
-        parts[at] += f"{marks[0]}{key}{marks[1]}{value}"
-    return F.split(F.lit(marks[2].join(parts)), marks[2])
-
-
-def look_up(table: Column, count: int, marks: tuple[str, str, str], key: Column) -> Column:
-    """The value of ``key``, or null."""
-    entry = F.concat(F.lit(marks[0]), key, F.lit(marks[1]))
-    slot = F.get(table, F.pmod(F.xxhash64(key), F.lit(count)).cast("int"))
-    return let(slot, lambda s: F.when(F.contains(s, entry), F.substring_index(
-        F.call_function("substring_index", s, entry, F.lit(-1)), marks[0], 1)))
+def slots_of(key: Column, count: int) -> tuple[Column, Column]:
+    """The two slots that a key may be in."""
+    return (F.pmod(F.xxhash64(key), F.lit(count)).cast("int"),
+            F.pmod(F.shiftrightunsigned(F.xxhash64(key), 24), F.lit(count)).cast("int"))
+
+
+def placed(slots: list[tuple[int, int]], count: int, moves: int = 200) -> dict[int, int]:
+    """Key by slot, each key in one of its two; one that finds no place after many moves is left out."""
+    at: dict[int, int] = {}
+    for key in range(len(slots)):
+        one, to = key, slots[key][0]
+        for _ in range(moves):
+            if to not in at:
+                at[to] = one
+                break
+            at[to], one = one, at[to]
+            to = slots[one][1] if slots[one][0] == to else slots[one][0]
+    return at
+
+
+class LiteralMap:
+    """Keys and values in arrays of the plan; a look-up reads two slots at most."""
+
+    def __init__(self, keys: list[str], values: list[str], slots: list[tuple[int, int]], count: int, marks: tuple[str, str],
+                 kind: str = "string", whole: bool = False) -> None:
+        at = placed(slots, count)
+        if whole and len(at) < len(keys):
+            raise ValueError("the slots are too few for the keys")
+        self.count = count
+        # A free slot holds a mark, which no key is.
+        self.keys = F.split(F.lit(marks[0].join(keys[at[k]] if k in at else marks[1] for k in range(count))), marks[0])
+        self.values = F.split(F.lit(marks[0].join(values[at[k]] if k in at else ("" if kind == "string" else "0") for k in range(count))), marks[0])
+        if kind != "string":
+            self.values = self.values.cast(f"array<{kind}>")
+
+    def __call__(self, key: Column) -> Column:
+        """The value of ``key``, or null."""
+        first, second = slots_of(key, self.count)
+        return F.coalesce(
+            let(first, lambda k: F.when(F.get(self.keys, k) == key, F.get(self.values, k))),
+            let(second, lambda k: F.when(F.get(self.keys, k) == key, F.get(self.values, k))))
 
 
 class Tokenizer:
@@ -75,13 +102,9 @@ class Tokenizer:
         # Spark hashes the keys, so that look-ups find the same slots.
         spark = docs.sparkSession
         hashed = spark.createDataFrame(pieces, "piece string, rank int").select(
-            "piece", "rank", F.pmod(F.xxhash64("piece"), F.lit(RANK_SLOTS)).alias("slot")).toArrow().to_pydict()
-        self.ranks = literal_map([(p, str(r)) for p, r in zip(hashed["piece"], hashed["rank"], strict=True)],
-                                 hashed["slot"], RANK_SLOTS, (_ENTRY, _VALUE, _SLOT))
-        self.known: Column | None = None
-
-    def rank(self, piece: Column) -> Column:
-        return look_up(self.ranks, RANK_SLOTS, (_ENTRY, _VALUE, _SLOT), piece).cast("int")
+            "piece", "rank", F.array(*slots_of(F.col("piece"), RANK_SLOTS)).alias("slots")).toArrow().to_pydict()
+        self.rank = LiteralMap(hashed["piece"], [str(r) for r in hashed["rank"]], hashed["slots"], RANK_SLOTS, (_SLOT, _FREE), "int", whole=True)
+        self.known: LiteralMap | None = None
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -124,19 +147,18 @@ class Tokenizer:
     def learn_words(self, docs: DataFrame, most: int = MAX_WORDS) -> None:
         """Put the ids of the most frequent words of all texts into the plan of later columns."""
         counts = docs.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").count()
-        marks = f"[{_WORD_ENTRY}{_WORD_VALUE}{_WORD_SLOT}]"
-        top = counts.filter(~F.col("word").rlike(marks) & (F.col("count") > 1)).orderBy(F.desc("count"), "word").limit(most)
+        top = counts.filter(~F.col("word").rlike(f"[{_WORD_SLOT}{_WORD_FREE}]") & (F.col("count") > 1)).orderBy(
+            F.desc("count"), "word").limit(most)
         rows = top.repartition(F.col("word")).select(
-            "word", self.fold(F.col("word")).alias("ids"), F.pmod(F.xxhash64("word"), F.lit(WORD_SLOTS)).alias("slot")).toArrow().to_pydict()
-        self.known = literal_map(list(zip(rows["word"], rows["ids"], strict=True)), rows["slot"], WORD_SLOTS,
-                                 (_WORD_ENTRY, _WORD_VALUE, _WORD_SLOT))
+            "word", "count", self.fold(F.col("word")).alias("ids"), F.array(*slots_of(F.col("word"), WORD_SLOTS)).alias("slots")).toArrow().to_pydict()
+        self.known = LiteralMap(rows["word"], rows["ids"], rows["slots"], WORD_SLOTS, (_WORD_SLOT, _WORD_FREE))
 
     def encode(self, text: Column) -> Column:
         """Array of the ids of each word, as signs."""
         def ids(word: Column) -> Column:
             if self.known is None:
                 return self.fold(word)
-            return F.coalesce(look_up(self.known, WORD_SLOTS, (_WORD_ENTRY, _WORD_VALUE, _WORD_SLOT), word), self.fold(word))
+            return F.coalesce(self.known(word), self.fold(word))
 
         return F.transform(self.words(text), ids)
 
