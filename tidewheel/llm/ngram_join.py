@@ -36,7 +36,9 @@ from tidewheel.llm.hashing import mix, shingle_hashes, signed, word_hashes
 from tidewheel.session import materialize
 
 #: Recurring shingles that can be moved to the end of the order: those of the most documents.
-MAX_LATE = 1 << 20
+MAX_LATE = 1 << 21
+#: Prefixes of the first round that hold such a shingle, and how many times longer these prefixes are.
+LATE_FROM, LATE_REACH = 2, 2
 #: Words with this share of all words have a known frequency, so 2**16 of them at most; the others count as rarer.
 WORD_SHARE = Fraction(1, 2**16)
 #: Documents whose prefixes hold a shingle, from which on it is indexed by pairs.
@@ -141,11 +143,14 @@ def word_order(docs: DataFrame) -> Order:
 
 
 def shingle_order(docs: DataFrame, size: int, least: Fraction) -> Order:
-    """The word order with the shingles at its end that are in ``FREQUENT`` prefixes under it, ``MAX_LATE`` at most."""
+    """The word order with the shingles at its end that recur in prefixes under it, those of most documents first.
+
+    So a passage that documents share is no part of their prefixes, as long as they have enough shingles of their own.
+    """
     order = word_order(docs)
-    often = prefixes(docs, size, least, order).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= FREQUENT)
-    late = often.orderBy(F.desc("df"), "token").limit(MAX_LATE).select("token").toArrow()["token"].to_numpy()
-    return replace(order, heavy=np.sort(late.view("uint64")))
+    counts = prefixes(docs, size, least, order, LATE_REACH).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    late = counts.filter(F.col("df") >= LATE_FROM).orderBy(F.desc("df"), "token").limit(MAX_LATE).select("token").toArrow()
+    return replace(order, heavy=np.sort(late["token"].to_numpy().view("uint64")))
 
 
 def most_missing(size: int, least: Fraction) -> int:
@@ -167,15 +172,15 @@ def prefix_length(size: int, least: Fraction) -> int:
     return min(size, most_missing(size, least) + 1 + 2 ** group_levels(size, least)[-1])
 
 
-def prefixes(docs: DataFrame, size: int, least: Fraction, order: Order) -> DataFrame:
-    """(token, node, n) of each document's prefix; a node that recurs within a batch comes once."""
+def prefixes(docs: DataFrame, size: int, least: Fraction, order: Order, times: int = 1) -> DataFrame:
+    """(token, node, n) of each document's prefix, or of one ``times`` as long; a node that recurs within a batch comes once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             words, bounds = word_hashes(batch.column("text"))
             found: dict[int, tuple[int, np.ndarray]] = {}
             for shingles, points in shingle_hashes(words, bounds, size, order.points(words)):
                 if len(shingles) and (node := node_of(shingles)) not in found:
-                    reach = prefix_length(len(shingles), least)
+                    reach = min(len(shingles), times * prefix_length(len(shingles), least))
                     first = np.argpartition(order.keys(shingles, points), reach - 1)[:reach]
                     found[node] = len(shingles), shingles[first]
             if found:
