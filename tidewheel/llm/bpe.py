@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from tidewheel.llm.columns import let
 
 #: Words whose ids are in the plan; all others are encoded in their place.
-MAX_WORDS = 1 << 18
+MAX_WORDS = 1 << 17
 #: Slots of a literal map.
-RANK_SLOTS, WORD_SLOTS = 1 << 18, 1 << 19
+RANK_SLOTS, WORD_SLOTS = 1 << 17, 1 << 18
 # Signs beyond those of bytes, to part the entries of a literal.
 _SLOT, _FREE = "\u0100", "\u0101"
 # Private-use signs for words, which may hold any sign; words with one of these are not in the literal.
@@ -66,7 +66,10 @@ def placed(slots: list[tuple[int, int]], count: int, moves: int = 200) -> dict[i
 
 
 class LiteralMap:
-    """Keys and values in arrays of the plan; a look-up reads two slots at most."""
+    """Keys and values in arrays of the plan; a look-up reads two slots at most.
+
+    The arrays are one literal, ``table``, which an expression names once (``let``): each mention of it would be a copy.
+    """
 
     def __init__(self, keys: list[str], values: list[str], slots: list[tuple[int, int]], count: int, marks: tuple[str, str],
                  kind: str = "string", whole: bool = False) -> None:
@@ -75,17 +78,14 @@ class LiteralMap:
             raise ValueError("the slots are too few for the keys")
         self.count = count
         # A free slot holds a mark, which no key is.
-        self.keys = F.split(F.lit(marks[0].join(keys[at[k]] if k in at else marks[1] for k in range(count))), marks[0])
-        self.values = F.split(F.lit(marks[0].join(values[at[k]] if k in at else ("" if kind == "string" else "0") for k in range(count))), marks[0])
-        if kind != "string":
-            self.values = self.values.cast(f"array<{kind}>")
+        own = F.split(F.lit(marks[0].join(keys[at[k]] if k in at else marks[1] for k in range(count))), marks[0])
+        held = F.split(F.lit(marks[0].join(values[at[k]] if k in at else ("" if kind == "string" else "0") for k in range(count))), marks[0])
+        self.table = F.struct(own.alias("keys"), (held if kind == "string" else held.cast(f"array<{kind}>")).alias("values"))
 
-    def __call__(self, key: Column) -> Column:
-        """The value of ``key``, or null."""
+    def find(self, table: Column, key: Column) -> Column:
+        """The value of ``key``, or null; ``table`` is what names this map's literal."""
         first, second = slots_of(key, self.count)
-        return F.coalesce(
-            let(first, lambda k: F.when(F.get(self.keys, k) == key, F.get(self.values, k))),
-            let(second, lambda k: F.when(F.get(self.keys, k) == key, F.get(self.values, k))))
+        return F.coalesce(*(let(slot, lambda k: F.when(F.get(table["keys"], k) == key, F.get(table["values"], k))) for slot in (first, second)))
 
 
 class Tokenizer:
@@ -103,13 +103,13 @@ class Tokenizer:
         spark = docs.sparkSession
         hashed = spark.createDataFrame(pieces, "piece string, rank int").select(
             "piece", "rank", F.array(*slots_of(F.col("piece"), RANK_SLOTS)).alias("slots")).toArrow().to_pydict()
-        self.rank = LiteralMap(hashed["piece"], [str(r) for r in hashed["rank"]], hashed["slots"], RANK_SLOTS, (_SLOT, _FREE), "int", whole=True)
+        self.ranks = LiteralMap(hashed["piece"], [str(r) for r in hashed["rank"]], hashed["slots"], RANK_SLOTS, (_SLOT, _FREE), "int", whole=True)
         self.known: LiteralMap | None = None
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _merge(self, state: Column) -> Column:
+    def _merge(self, table: Column, state: Column) -> Column:
         """One step of the fold: the pair of the smallest rank becomes one piece; ``ranks`` has each piece's rank with the next."""
         pieces, ranks = state["pieces"], state["ranks"]
 
@@ -117,27 +117,27 @@ class Tokenizer:
             return let(F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1)), lambda new: F.struct(
                 F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(new), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
                 F.concat(
-                    F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(self.rank(F.concat(F.get(pieces, at - 2), new)))))
+                    F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(self.ranks.find(table, F.concat(F.get(pieces, at - 2), new)))))
                     .otherwise(F.array().cast("array<int>")),
-                    F.when(at + 1 < F.size(pieces), F.concat(F.array(self.rank(F.concat(new, F.get(pieces, at + 1)))),
+                    F.when(at + 1 < F.size(pieces), F.concat(F.array(self.ranks.find(table, F.concat(new, F.get(pieces, at + 1)))),
                                                              F.slice(ranks, at + 2, F.size(ranks))))
                     .otherwise(F.array().cast("array<int>"))).alias("ranks")))
 
         best = F.array_min(ranks)
         return F.when(best.isNull(), state).otherwise(let(F.array_position(ranks, best).cast("int"), joined))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of a word, as signs."""
+    def fold(self, table: Column, word: Column) -> Column:
+        """Ids of a word, as signs; ``table`` names the ranks."""
         def split(raw: Column) -> Column:
             return let(F.split(raw, "(?!^)"), lambda bytes_: F.aggregate(
                 F.sequence(F.lit(2), F.greatest(F.size(bytes_), F.lit(2))),
-                F.struct(bytes_.alias("pieces"), F.transform(F.slice(bytes_, F.lit(2), F.size(bytes_)), lambda b, i: self.rank(
-                    F.concat(F.get(bytes_, i), b))).alias("ranks")),
-                lambda state, _: self._merge(state),
-                lambda state: F.array_join(F.transform(state["pieces"], lambda p: self._sign(self.rank(p))), "")))
+                F.struct(bytes_.alias("pieces"), F.transform(F.slice(bytes_, F.lit(2), F.size(bytes_)), lambda b, i: self.ranks.find(
+                    table, F.concat(F.get(bytes_, i), b))).alias("ranks")),
+                lambda state, _: self._merge(table, state),
+                lambda state: F.array_join(F.transform(state["pieces"], lambda p: self._sign(self.ranks.find(table, p))), "")))
 
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        return let(raw, lambda r: let(self.rank(r), lambda whole: F.when(whole.isNotNull(), self._sign(whole)).otherwise(split(r))))
+        return let(raw, lambda r: let(self.ranks.find(table, r), lambda whole: F.when(whole.isNotNull(), self._sign(whole)).otherwise(split(r))))
 
     @staticmethod
     def _sign(rank: Column) -> Column:
@@ -150,17 +150,16 @@ class Tokenizer:
         top = counts.filter(~F.col("word").rlike(f"[{_WORD_SLOT}{_WORD_FREE}]") & (F.col("count") > 1)).orderBy(
             F.desc("count"), "word").limit(most)
         rows = top.repartition(F.col("word")).select(
-            "word", "count", self.fold(F.col("word")).alias("ids"), F.array(*slots_of(F.col("word"), WORD_SLOTS)).alias("slots")).toArrow().to_pydict()
+            "word", let(self.ranks.table, lambda t: self.fold(t, F.col("word"))).alias("ids"), F.array(*slots_of(F.col("word"), WORD_SLOTS)).alias("slots")).toArrow().to_pydict()
         self.known = LiteralMap(rows["word"], rows["ids"], rows["slots"], WORD_SLOTS, (_WORD_SLOT, _WORD_FREE))
 
     def encode(self, text: Column) -> Column:
         """Array of the ids of each word, as signs."""
-        def ids(word: Column) -> Column:
-            if self.known is None:
-                return self.fold(word)
-            return F.coalesce(self.known(word), self.fold(word))
-
-        return F.transform(self.words(text), ids)
+        if self.known is None:
+            return let(self.ranks.table, lambda t: F.transform(self.words(text), lambda word: self.fold(t, word)))
+        both = F.struct(self.ranks.table.alias("ranks"), self.known.table.alias("words"))
+        return let(both, lambda t: F.transform(self.words(text), lambda word: F.coalesce(
+            self.known.find(t["words"], word), self.fold(t["ranks"], word))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids as signs, as binary."""
