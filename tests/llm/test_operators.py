@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewheel.llm import boosting, bpe, fingerprints, line_templates, ngram_join, packing, permutation_index, pii, quality, sharding, warc
+from tidewheel.llm import boosting, bpe, fingerprints, line_templates, ngram_join, packing, permutation_index, pii, quality, queries, sharding, warc
 from tidewheel.llm.components import connected_components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -289,6 +289,16 @@ def test_line_templates(spark, rows):
     assert line_templates.without_recurring_lines(docs.filter("false")).count() == 0
 
 
+def test_short_lines_recur_too(spark, tmp_path):
+    texts = [f"{w} opens\n\n \nshare this\nLes.\n{n}\n{w} ends here" for n, w in enumerate(["one", "two", "three", "four"])]
+    folder = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in queries.op9_line_templates(spark, folder).collect()}
+    assert got[0] == (texts[0], 0)
+    # Numbers that stand alone are not one line, and lines without any token stay.
+    assert all(got[i] == (texts[i].replace("share this\nLes.\n", ""), 2) for i in (1, 2, 3))
+
+
 @pytest.mark.parametrize("chunk", [7, 1 << 18])
 def test_archives(spark, tmp_path, chunk):
     body = "<html>" + "é\r\nWARC/1.1\r\n\r\n" * 12 + "\r"

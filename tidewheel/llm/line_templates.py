@@ -27,7 +27,7 @@ from tidewheel.session import materialize
 
 DEPTH = 3
 MIN_DOCS = 3
-#: Lines of fewer tokens say too little to be boilerplate.
+#: Lines of fewer tokens are left out unless the caller asks for them; they are never masked.
 MIN_TOKENS = 3
 #: Share of constant places that an instance of a template must have.
 SIMILARITY = 0.7
@@ -35,20 +35,23 @@ BLANK = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """Tokens with one blank between them, those with digits as ``<*>``; most lines need neither pattern."""
+    """Tokens with one blank between them, those with digits as ``<*>``; most lines need neither pattern.
+
+    A line of one or two tokens keeps its digits: with a blank it would have too few constant places.
+    """
     plain = F.when(line.rlike(r"[\t\r]|\x20\x20"), F.regexp_replace(line, r"[\x20\t\r]+", " ")).otherwise(line)
-    return let(F.trim(plain), lambda own: F.when(own.rlike("[0-9]"), F.regexp_replace(own, r"[^\x20]*[0-9][^\x20]*", BLANK)).otherwise(own))
+    return let(F.trim(plain), lambda own: F.when(own.rlike("[0-9]") & own.rlike(r"\x20[^\x20]*\x20"), F.regexp_replace(own, r"[^\x20]*[0-9][^\x20]*", BLANK)).otherwise(own))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, body (hash of the text), pos (from 0), line (masked), leaf, key of each line of at least ``MIN_TOKENS`` tokens.
+def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """doc_id, body (hash of the text), pos (from 0), line (masked), leaf, key of each line of at least ``min_tokens`` tokens.
 
     Lines are masked before they become rows, so no later filter or column repeats that work.
     """
     own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), masked).alias("lines"))
     lines = own.select("doc_id", "body", F.posexplode("lines").alias("pos", "line"))
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return lines.withColumn("count", count).filter(F.col("count") >= MIN_TOKENS).select(
+    return lines.withColumn("count", count).filter((F.col("count") >= min_tokens) & (F.col("line") != "")).select(
         "doc_id", "body", "pos", "line", F.xxhash64("count", F.substring_index("line", " ", DEPTH)).alias("leaf"),
         F.xxhash64("line").alias("key"))
 
@@ -67,9 +70,9 @@ def _templates(variants: DataFrame) -> DataFrame:
         F.array_join("template", " ").alias("template"))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, body and the positions of dropped lines, for texts that lose any."""
-    hashed = materialize(lines_of(docs).select("doc_id", "body", "pos", "leaf", "key"), "lines")
+    hashed = materialize(lines_of(docs, min_tokens).select("doc_id", "body", "pos", "leaf", "key"), "lines")
     once = hashed.groupBy("leaf", "key", "doc_id").agg(F.count(F.lit(1)).alias("n")).drop("n")
     variants = once.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs"))
     leaves = variants.groupBy("leaf").agg(
@@ -97,14 +100,14 @@ def _without(lines: Column, dropped: Column) -> Column:
         lines, bound[i] + 2, bound[i + 1] - bound[i] - 1)))
 
 
-def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and ``n_dropped``, the number of lines lost.
 
     A document that several rows name counts once, and each of its texts loses its own lines. A null or empty text stays as it is, as does a row
     without doc_id; a text of nothing but dropped lines becomes empty. Further columns stay, but for one named ``n_dropped``.
     """
     docs = docs.drop("n_dropped")
-    lost = dropped_lines(docs.select("doc_id", "text"), min_docs).select(
+    lost = dropped_lines(docs.select("doc_id", "text"), min_docs, min_tokens).select(
         F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("dropped").alias("_dropped"))
     joined = docs.join(lost, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_body")), "left")
     kept = F.concat_ws("\n", _without(F.split("text", "\n"), F.col("_dropped")))

@@ -64,9 +64,9 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_line_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents without lines of recurring templates."""
+    """All documents without lines of recurring templates, however short."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return without_recurring_lines(docs)
+    return without_recurring_lines(docs, min_tokens=1)
 
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
