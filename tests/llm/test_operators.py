@@ -299,6 +299,18 @@ def test_short_lines_recur_too(spark, tmp_path):
     assert all(got[i] == (texts[i].replace("share this\nLes.\n", ""), 2) for i in (1, 2, 3))
 
 
+def test_lines_recur_from_two_documents_on(spark):
+    words = np.random.default_rng(6).choice(WORDS, 60).tolist()
+    edited = [*words[:30], "edited", *words[31:]]
+    same = "these words stand in just two texts"
+    texts = [f"first text\n{same}\n{' '.join(words)}", f"second text\n{' '.join(edited)}\n{same}", "he saw the old dog", "he saw the old cat"]
+    texts += [f"these words stand {w}{w} {w} {w}{w}{w} texts" for w in "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_recurring_lines(docs).collect()}
+    # Two short lines that differ in a word are no template.
+    assert got == {i: t for i, t in enumerate(texts)} | {1: "second text"}
+
+
 @pytest.mark.parametrize("chunk", [7, 1 << 18])
 def test_archives(spark, tmp_path, chunk):
     body = "<html>" + "é\r\nWARC/1.1\r\n\r\n" * 12 + "\r"

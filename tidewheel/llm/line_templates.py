@@ -8,7 +8,9 @@ place is variable and ``<*>`` in the line's template. A line with too many varia
 places is no instance of a template and stands for itself.
 
 A template that recurs in ``min_docs`` documents is dropped everywhere but in the
-first document that has it (the smallest doc_id), so no passage is lost altogether.
+first document that has it (the smallest doc_id), so no passage is lost altogether. Two short
+lines that differ in a word don't show that this word is a variable: a template with blanks for words
+needs a document more, unless it has ``LONG_TOKENS`` tokens.
 
 All lines go through the shuffle as hashes only. The words are needed just for
 lines of leaves with several masked lines; a bitmap of fixed size over those leaves
@@ -26,7 +28,9 @@ from tidewheel.llm.columns import let
 from tidewheel.session import materialize
 
 DEPTH = 3
-MIN_DOCS = 3
+MIN_DOCS = 2
+#: Tokens from which a template with blanks for words needs no more documents than an exact line.
+LONG_TOKENS = 20
 #: Lines of fewer tokens are left out unless the caller asks for them; they are never masked.
 MIN_TOKENS = 3
 #: Share of constant places that an instance of a template must have.
@@ -57,17 +61,18 @@ def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
 
 
 def _templates(variants: DataFrame) -> DataFrame:
-    """leaf, key, share (of constant places), template of masked lines (leaf, key, line, docs, leaf_docs)."""
+    """leaf, key, share (of constant places), template, more (documents it needs beyond others) of masked lines (leaf, key, line, docs, leaf_docs)."""
     placed = variants.select("leaf", "docs", "leaf_docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
     support = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("held"), F.first("leaf_docs").alias("leaf_docs"))
     most = support.groupBy("leaf", "place").agg(F.max_by("token", F.struct("held", "token")).alias("token"),
-                                                (2 * F.max("held") >= F.first("leaf_docs")).alias("constant"))
+                                                ((2 * F.max("held") >= F.first("leaf_docs")) & (F.max("held") > 1)).alias("constant"))
     shapes = most.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct(
         "place", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(BLANK)).alias("token")))).alias("shape"))
     template = F.zip_with(F.split("line", " "), F.col("shape.token"), lambda own, constant: F.when(own == constant, own).otherwise(F.lit(BLANK)))
     return variants.join(shapes, "leaf").withColumn("template", template).select(
-        "leaf", "key", (1 - F.size(F.filter("template", lambda t: t == BLANK)) / F.size("template")).alias("share"),
-        F.array_join("template", " ").alias("template"))
+        "leaf", "key", "docs", (1 - F.size(F.filter("template", lambda t: t == BLANK)) / F.size("template")).alias("share"),
+        F.array_join("template", " ").alias("template"),
+        ((F.size("template") < LONG_TOKENS) & (F.array_join("template", " ") != F.col("line"))).cast("int").alias("more"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -81,14 +86,16 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     mixed = crowded.filter(F.col("kinds") > 1)
     words = lines_of(docs).filter(maybe_in(mixed, "leaf")).groupBy("leaf", "key").agg(F.first("line").alias("line"))
     templates = _templates(mixed.join(words, ["leaf", "key"]))
-    named = crowded.join(templates, ["leaf", "key"], "left").withColumn("name", F.when(
-        F.col("share") >= SIMILARITY, F.xxhash64("leaf", "template")).otherwise(F.col("key"))).select("key", "name", "docs")
-    named = materialize(named, "templates")
+    # Every line goes by its key too: the copies of one line recur, whatever becomes of its template.
+    named = materialize(crowded.filter(F.col("docs") >= min_docs).select("key", F.col("key").alias("name"), "docs", F.lit(0).alias("more")).union(
+        templates.filter(F.col("share") >= SIMILARITY).select("key", F.xxhash64("leaf", "template").alias("name"), "docs", "more")), "templates")
     # A document may have several lines of one template: first by their sum, then by documents.
-    likely = named.groupBy("name").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("name")
-    hits = hashed.select("doc_id", "body", "pos", "key").join(named.join(likely, "name").select("key", "name"), "key")
+    likely = named.groupBy("name").agg(F.sum("docs").alias("n"), F.max("more").alias("least")).withColumn(
+        "least", F.col("least") + min_docs).filter(F.col("n") >= F.col("least")).select("name", "least")
+    hits = hashed.select("doc_id", "body", "pos", "key").join(named.join(likely, "name").select("key", "name", "least"), "key")
     recurring = hits.groupBy("name").agg(
-        F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("kept_in")).filter(F.col("n") >= min_docs)
+        F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("kept_in"), F.first("least").alias("least")).filter(
+        F.col("n") >= F.col("least")).select("name", "kept_in")
     return hits.join(recurring, "name").filter(F.col("doc_id") != F.col("kept_in")).groupBy("doc_id", "body").agg(
         F.sort_array(F.collect_set("pos")).alias("dropped"))
 
