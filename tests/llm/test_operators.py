@@ -311,6 +311,18 @@ def test_lines_recur_from_two_documents_on(spark):
     assert got == {i: t for i, t in enumerate(texts)} | {1: "second text"}
 
 
+def test_templates_in_a_full_leaf(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 8))
+    forms = ["this page is kept by {} for all friends of the house", "this page is sold by {} at the price of {} coins"]
+    texts = [forms[k % 2].format(word(), word()) for k in range(8)]
+    texts += ["this page is " + " ".join(word() for _ in range(len(forms[0].split()) - 3)) for _ in range(60)]
+    assert len({len(t.split()) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_recurring_lines(docs).collect()}
+    assert got == {i: "" if 2 <= i < 8 else t for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("chunk", [7, 1 << 18])
 def test_archives(spark, tmp_path, chunk):
     body = "<html>" + "é\r\nWARC/1.1\r\n\r\n" * 12 + "\r"

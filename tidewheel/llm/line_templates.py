@@ -2,17 +2,19 @@
 
 A line is cut at blanks; tokens with digits (numbers, dates, addresses, ids) are
 masked as ``<*>``. The tree has a level for the token count and ``DEPTH`` levels for
-the leading tokens. Lines of one leaf are compared place by place: a token that
-at least half of the leaf's documents have at its place is constant, any other
-place is variable and ``<*>`` in the line's template. A line with too many variable
-places is no instance of a template and stands for itself.
+the leading tokens. A leaf may hold many templates, so its lines meet in several groups: all of them,
+those that agree but for one place, and those that agree in one of as many runs of places as a
+template may have variable ones and one more, so that all instances of a template share a group. Lines of one group
+are compared place by place: a token that at least half of the group's documents have at its place
+is constant, any other place is variable and ``<*>`` in the line's template. A line with too many variable
+places is no instance of that template. A line may have several templates, and its own key always counts.
 
 A template that recurs in ``min_docs`` documents is dropped everywhere but in the
 first document that has it (the smallest doc_id), so no passage is lost altogether. Two short
 lines that differ in a word don't show that this word is a variable: a template with blanks for words
 needs a document more, unless it has ``LONG_TOKENS`` tokens.
 
-All lines go through the shuffle as hashes only. The words are needed just for
+All lines go through the shuffle as hashes only. The words and the groups are needed just for
 lines of leaves with several masked lines; a bitmap of fixed size over those leaves
 keeps most other lines out of that shuffle. Counts are partial before every
 shuffle, so a line that a third of all documents share costs a row per task.
@@ -60,16 +62,44 @@ def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
         F.xxhash64("line").alias("key"))
 
 
-def _templates(variants: DataFrame) -> DataFrame:
-    """leaf, key, share (of constant places), template, more (documents it needs beyond others) of masked lines (leaf, key, line, docs, leaf_docs)."""
-    placed = variants.select("leaf", "docs", "leaf_docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    support = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("held"), F.first("leaf_docs").alias("leaf_docs"))
-    most = support.groupBy("leaf", "place").agg(F.max_by("token", F.struct("held", "token")).alias("token"),
-                                                ((2 * F.max("held") >= F.first("leaf_docs")) & (F.max("held") > 1)).alias("constant"))
-    shapes = most.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct(
+def _groups(tokens: Column) -> Column:
+    """Hashes of the groups of a line within its leaf, from its tokens; the leading ``DEPTH`` are the same in all of them."""
+    def of_rest(hashes: Column) -> Column:
+        n = F.size(hashes)
+        whole = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+        runs = F.least(n, F.floor(F.round((n + DEPTH) * (1 - SIMILARITY), 6)).cast("int") + 1)
+        bound = lambda k: F.floor(k * n / runs).cast("int")
+        but_one = F.transform(hashes, lambda h, i: F.xxhash64(F.lit("but"), i, whole.bitwiseXOR(h)))
+        own_run = F.when(n > 1, F.transform(F.sequence(F.lit(0), runs - 1), lambda k: F.xxhash64(
+            F.lit("run"), k, F.slice(hashes, bound(k) + 1, bound(k + 1) - bound(k))))).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(F.array(F.xxhash64(F.lit("all"))), but_one, own_run)
+
+    return let(F.transform(F.slice(tokens, DEPTH + 1, F.size(tokens)), lambda t, i: F.xxhash64(i, t)), of_rest)
+
+
+def _grouped(variants: DataFrame) -> DataFrame:
+    """leaf, key, line, docs, group, group_docs of masked lines (leaf, key, line, docs), one row for each group with other lines.
+
+    Groups of the same lines of a leaf count once.
+    """
+    member = materialize(variants.select("leaf", "key", "docs", F.explode(_groups(F.split("line", " "))).alias("group")).withColumn(
+        "group", F.xxhash64("leaf", "group")), "groups")
+    sizes = member.groupBy("group").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("group_docs"),
+                                        F.bit_xor(F.xxhash64("key")).alias("own")).filter(F.col("kinds") > 1)
+    chosen = sizes.groupBy("leaf", "kinds", "group_docs", "own").agg(F.min("group").alias("group")).select("group", "group_docs")
+    return materialize(member.join(chosen, "group").select("key", "group", "group_docs").join(variants, "key"), "grouped")
+
+
+def _templates(grouped: DataFrame) -> DataFrame:
+    """leaf, key, docs, share (of constant places), template, more (documents it needs beyond others) of each line in each of its groups."""
+    placed = grouped.select("group", "docs", "group_docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    support = placed.groupBy("group", "place", "token").agg(F.sum("docs").alias("held"), F.first("group_docs").alias("group_docs"))
+    most = support.groupBy("group", "place").agg(F.max_by("token", F.struct("held", "token")).alias("token"),
+                                                 ((2 * F.max("held") >= F.first("group_docs")) & (F.max("held") > 1)).alias("constant"))
+    shapes = most.groupBy("group").agg(F.sort_array(F.collect_list(F.struct(
         "place", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(BLANK)).alias("token")))).alias("shape"))
     template = F.zip_with(F.split("line", " "), F.col("shape.token"), lambda own, constant: F.when(own == constant, own).otherwise(F.lit(BLANK)))
-    return variants.join(shapes, "leaf").withColumn("template", template).select(
+    return grouped.join(shapes, "group").withColumn("template", template).select(
         "leaf", "key", "docs", (1 - F.size(F.filter("template", lambda t: t == BLANK)) / F.size("template")).alias("share"),
         F.array_join("template", " ").alias("template"),
         ((F.size("template") < LONG_TOKENS) & (F.array_join("template", " ") != F.col("line"))).cast("int").alias("more"))
@@ -85,10 +115,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     crowded = materialize(variants.join(leaves, "leaf"), "leaves")
     mixed = crowded.filter(F.col("kinds") > 1)
     words = lines_of(docs).filter(maybe_in(mixed, "leaf")).groupBy("leaf", "key").agg(F.first("line").alias("line"))
-    templates = _templates(mixed.join(words, ["leaf", "key"]))
+    variants = materialize(mixed.join(words, ["leaf", "key"]).select("leaf", "key", "docs", "line"), "variants")
+    templates = _templates(_grouped(variants))
     # Every line goes by its key too: the copies of one line recur, whatever becomes of its template.
     named = materialize(crowded.filter(F.col("docs") >= min_docs).select("key", F.col("key").alias("name"), "docs", F.lit(0).alias("more")).union(
-        templates.filter(F.col("share") >= SIMILARITY).select("key", F.xxhash64("leaf", "template").alias("name"), "docs", "more")), "templates")
+        templates.filter(F.col("share") >= SIMILARITY).select(
+            "key", F.xxhash64("leaf", "template").alias("name"), "docs", "more").distinct()), "templates")
     # A document may have several lines of one template: first by their sum, then by documents.
     likely = named.groupBy("name").agg(F.sum("docs").alias("n"), F.max("more").alias("least")).withColumn(
         "least", F.col("least") + min_docs).filter(F.col("n") >= F.col("least")).select("name", "least")
