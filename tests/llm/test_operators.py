@@ -139,6 +139,20 @@ def test_judged_spans_are_added_without_overlap():
     assert added and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_judges_add_what_the_base_rules_miss(spark):
+    rng = np.random.default_rng(8)
+    n = lambda k: "".join(map(str, rng.integers(1, 10, k)))
+    w = lambda: " ".join(rng.choice(WORDS, 6))
+    texts = [f"{w()} and so. {w()} call +{n(2)} {n(3)} {n(7)} or write to {rng.choice(WORDS)}.{n(2)}@host{n(1)}.example.org {w()} order {n(12)} of {n(9)} {w()}"
+             for _ in range(400)]
+    missed = ["49 170 1234567", "jane.12 (at) host3 (dot) example (dot) org"]
+    texts.append(f"{w()} call {missed[0]} or write to {missed[1]} {w()} order {n(12)} {w()}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = pii.judges(pii.sample(docs))
+    assert pii.base_spans(texts[-1]) == []
+    assert {texts[-1][s:e] for _, s, e in pii.added_spans(texts[-1], [], known)} == set(missed)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
 def test_quality_on_held_out_labels(spark):
     folder = FOLDER.replace("0.001", "0.01")
