@@ -350,3 +350,19 @@ def test_archives(spark, tmp_path, chunk):
     assert last == sorted(want)
     assert chunk > 100 or max(r.chunk_bytes for r in chunks) <= 4 * chunk
     assert sum(r.chunk_bytes for r in chunks if r.page_id == 2) == 2 * len(body.encode())
+
+
+def test_cut_archives_stop_the_job(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    warc.write_archives(spark.createDataFrame([(1, "u", "abcdefghijklmnop")], "page_id long, url string, html string").coalesce(1), path, 7)
+    lines = [(r.value.encode(), "f") for r in spark.read.option("lineSep", "\r\n").text(path).collect()]
+    heads = [i for i, (v, _) in enumerate(lines) if v.startswith(b"WARC/")]
+    for rest in (lines[:heads[-1]], lines[:heads[-1] + 2], lines[:heads[-1]] + lines[:heads[-1]], lines[:heads[-1]] + [(v, "g") for v, _ in lines]):
+        reader = warc._Reader()
+        with pytest.raises(ValueError):
+            for value, file in rest:
+                reader.line(file, value)
+            reader.end()
+    reader = warc._Reader()
+    assert [bool(r["last"]) for value, file in lines if (r := reader.line(file, value))][-1]
+    reader.end()

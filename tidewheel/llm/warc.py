@@ -106,6 +106,7 @@ class _Reader:
 
     def line(self, file: str, value: bytes) -> dict | None:
         if file != self.file:
+            self.end()
             self.file, self.head, self.left = file, None, -1
         if self.head is None:
             if not value:
@@ -121,6 +122,7 @@ class _Reader:
                 return None
             self.left = int(self.head["Content-Length"])
             if self.head["WARC-Type"] != "continuation":
+                self._whole()
                 self.state, self.digest, self.no, self.bytes = self.head, hashlib.sha256(), 0, 0
             elif self.head["WARC-Segment-Origin-ID"] != self.state.get("WARC-Record-ID"):
                 raise ValueError(f"{file}: a segment doesn't follow its record")
@@ -134,6 +136,17 @@ class _Reader:
         self._take(value)
         return self._closed() if self.left == 0 else None
 
+    def end(self) -> None:
+        """To be called after the last line of a file, which must not end inside a record."""
+        if self.head is not None:
+            raise ValueError(f"{self.file}: ends inside a record")
+        self._whole()
+        self.state = {}
+
+    def _whole(self) -> None:
+        if self.state.get("WARC-Type") == "response" and self.bytes < int(self.state["X-Payload-Length"]):
+            raise ValueError(f"{self.file}: {self.state['WARC-Record-ID']} has a shorter payload than declared")
+
     def _take(self, value: bytes) -> None:
         if len(value) > self.left:
             raise ValueError(f"{self.file}: a payload is longer than declared")
@@ -183,6 +196,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if row := reader.line(file, value.as_py()):
                     rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, CHUNK_ROW)
+        reader.end()
 
     return lines.mapInArrow(run, "page_id long, chunk int, chunk_bytes long, digest string, last boolean, record_type string, "
                                  "payload_bytes long, payload_digest string, refers_to long")
