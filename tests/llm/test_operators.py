@@ -366,3 +366,14 @@ def test_cut_archives_stop_the_job(spark, tmp_path):
     reader = warc._Reader()
     assert [bool(r["last"]) for value, file in lines if (r := reader.line(file, value))][-1]
     reader.end()
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, z = "a " * 3 + "text of its own in here", "another one that has nothing of it", "and a third one all alone here"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, b), (5, b), (5, a), (7, a), (9, z), (9, z), (11, near), (11, near + " more"), (12, near), (13, None), (13, ""), (None, a), (None, a)]
+    got = ngram_join.near_duplicate_free(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, r.text) for r in got)
+    kept = [t for i, t in got.elements() if i in (11, 12)]
+    assert len(kept) == 1 and kept[0].startswith(near)
+    assert {k: n for k, n in got.items() if k[0] != 11} == {(3, b): 1, (5, a): 1, (9, z): 1, (13, None): 1, (13, ""): 1, (None, a): 2}

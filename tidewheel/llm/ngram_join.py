@@ -401,6 +401,11 @@ def similarity_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4
     shingles and links with nothing. Rows with one doc_id are taken as separate texts of that
     id; a row without doc_id gets its counts, takes no part in links and has no component.
     """
+    return _joined(docs, size, least).drop("node", "component")
+
+
+def _joined(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """The columns of ``similarity_join``, node, and component (a node that all texts linked to this one share)."""
     docs = docs.select("doc_id", "text")
     sets = materialize(shingle_sets(docs, size), "sets")
     known = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -415,15 +420,32 @@ def similarity_join(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4
     reached = joined.join(classes, "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
     found = classes.join(links, "node", "left").join(joined, "node", "left").join(reached, "component", "left").select(
         "node", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("component_id", "class_id").alias("component_id"))
-    with_words = known.join(found, ["node", "n_shingles"]).select("doc_id", "n_shingles", "class_id", "n_links", "component_id")
+        F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component", "node").alias("component"))
+    with_words = known.join(found, ["node", "n_shingles"]).select(
+        "doc_id", "n_shingles", "class_id", "n_links", "component_id", "node", "component")
     rest = sets.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-        F.col("doc_id").alias("component_id"))
+        F.col("doc_id").alias("component_id"), "node", F.col("node").alias("component"))
     return with_words.union(rest)
 
 
 def near_duplicate_free(docs: DataFrame, size: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The rows of ``docs`` but for near duplicates: of each component the row of the smallest doc_id stays."""
-    dropped = similarity_join(docs, size, least).filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The rows of ``docs`` but for near duplicates: of each component one row of the smallest doc_id stays.
+
+    Rows of a repeated doc_id go or stay each for its own text, by its set of shingles. Rows without
+    doc_id or without words all stay.
+    """
+    joined = materialize(_joined(docs, size, least), "near")
+    again = materialize(joined.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > 1).select("doc_id"), "repeated")
+    dropped = joined.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    once = docs.join(again, "doc_id", "left_anti").join(dropped, "doc_id", "left_anti")
+    # The rows of a repeated doc_id are numbered, as their texts alone don't tell them apart.
+    rows = materialize(docs.join(again, "doc_id", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    nodes = shingle_sets(rows.select(F.col("_row").alias("doc_id"), "text"), size).withColumnsRenamed({"doc_id": "_row", "n_shingles": "_n", "node": "_node"})
+    first = joined.filter((F.col("component_id") == F.col("doc_id")) & (F.col("n_shingles") > 0)).join(again, "doc_id", "left_semi").groupBy(
+        "doc_id", "component").agg(F.min("node").alias("_node")).select(F.col("doc_id").alias("_doc"), "_node")
+    named = materialize(rows.select("_row", F.col("doc_id").alias("_doc")).join(nodes, "_row"), "nodes")
+    stay = named.join(first, ["_doc", "_node"]).groupBy("_doc", "_node").agg(F.min("_row").alias("_row")).select("_row").union(
+        named.filter(F.col("_n") == 0).select("_row"))
+    return once.select(*docs.columns).union(rows.join(stay, "_row", "left_semi").select(*docs.columns))
