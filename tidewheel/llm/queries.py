@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import packing, pii, quality, sharding, warc
+from tidewheel.llm import merkle, packing, pii, quality, sharding, warc
 from tidewheel.llm.bpe import encoded
 from tidewheel.llm.fingerprints import fingerprints
 from tidewheel.llm.line_templates import without_recurring_lines
@@ -74,9 +74,14 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all documents in their manifest, some of them tampered with."""
+    return merkle.verified_rows(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Run] = {run.__name__: run for run in (
     op1_pii, op2_ngram_join, op3_packing, op4_quality, op5_bpe, op6_permutation_index,
-    op7_fingerprints, op8_sharding, op9_line_templates, op10_warc)}
+    op7_fingerprints, op8_sharding, op9_line_templates, op10_warc, op13_merkle)}
 
 #: The table is filled by a recursion over its slots, whose state is the table so far.
 SHARDING_SQL = f"""
@@ -111,4 +116,61 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM own
 """
 
-ORACLES: dict[str, str] = {"op8_sharding": SHARDING_SQL, "op10_warc": WARC_SQL}
+#: CRC-32 of the decimal digits of ``doc_id``, as the database has no function for it.
+CRC_SQL = """crc_table AS (
+  SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda r, x: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) ORDER BY c) AS t
+  FROM range(256) r(c)),
+crcs AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, [ord(s)::BIGINT for s in string_split(doc_id::VARCHAR, '')]),
+                                 lambda r, b: xor(r >> 8, t[(xor(r, b) & 255) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table)"""
+
+
+def _cell(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _row_hash(text: str) -> str:
+    return "sha256(" + " || ".join(_cell(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Every level of the trees is kept here, level by level upward.
+MERKLE_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS id
+  FROM (SELECT doc_id, lang, {_row_hash('text')} AS leaf,
+               CASE WHEN crc % 3 = 0 THEN {_row_hash("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS edited
+        FROM documents LEFT JOIN crcs USING (doc_id))),
+nodes(lang, k, i, h, n) AS (
+  SELECT lang, 0, i, leaf, count(*) OVER (PARTITION BY lang) FROM leaves
+  UNION ALL
+  SELECT lang, k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, k, i // 8, n),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM nodes WHERE n = 1),
+tops(k, i, h, n) AS (
+  SELECT 0, place, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY k, i // 8, n),
+runs AS (SELECT lang, k, i // 8 AS run, list(h ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY ALL),
+top_runs AS (SELECT k, i // 8 AS run, list(h ORDER BY i) AS hs FROM tops WHERE n > 1 GROUP BY ALL),
+places AS (
+  SELECT id, k, hs, (l.i // (8 ** k)::BIGINT) % 8 AS p
+  FROM leaves l JOIN runs r ON r.lang IS NOT DISTINCT FROM l.lang AND r.run = l.i // (8 ** (k + 1))::BIGINT
+  UNION ALL
+  SELECT id, 1000 + k, hs, (s.place // (8 ** k)::BIGINT) % 8
+  FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN top_runs r ON r.run = s.place // (8 ** (k + 1))::BIGINT),
+steps AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS k, array_to_string(hs[1:p], '') AS a, array_to_string(hs[p + 2:], '') AS b
+  FROM places),
+folds(id, k, h) AS (
+  SELECT id, 0::BIGINT, coalesce(edited, leaf) FROM leaves
+  UNION ALL
+  SELECT f.id, f.k + 1, sha256(a || h || b) FROM folds f JOIN steps s ON s.id = f.id AND s.k = f.k),
+folded AS (SELECT id, arg_max(h, k) AS folded_root FROM folds GROUP BY id),
+proofs AS (SELECT id, sha256(string_agg(a || b, '' ORDER BY k)) AS proof FROM steps GROUP BY id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN folded USING (id) LEFT JOIN proofs USING (id),
+     (SELECT h AS root FROM tops WHERE n = 1)
+"""
+
+ORACLES: dict[str, str] = {"op8_sharding": SHARDING_SQL, "op10_warc": WARC_SQL, "op13_merkle": MERKLE_SQL}
