@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import merkle, packing, pii, quality, sharding, warc
+from tidewheel.llm import merkle, packing, periodic_runs, pii, quality, sharding, warc
 from tidewheel.llm.bpe import encoded
 from tidewheel.llm.fingerprints import fingerprints
 from tidewheel.llm.line_templates import without_recurring_lines
@@ -74,6 +74,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of periodic words of all documents, every tenth of which is made periodic first."""
+    docs = periodic_runs.with_repetition(table(spark, folder, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """Proofs of all documents in their manifest, some of them tampered with."""
     return merkle.verified_rows(table(spark, folder, "documents"))
@@ -81,7 +87,7 @@ def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {run.__name__: run for run in (
     op1_pii, op2_ngram_join, op3_packing, op4_quality, op5_bpe, op6_permutation_index,
-    op7_fingerprints, op8_sharding, op9_line_templates, op10_warc, op13_merkle)}
+    op7_fingerprints, op8_sharding, op9_line_templates, op10_warc, op11_periodic_runs, op13_merkle)}
 
 #: The table is filled by a recursion over its slots, whose state is the table so far.
 SHARDING_SQL = f"""
