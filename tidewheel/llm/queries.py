@@ -12,6 +12,7 @@ from tidewheel.llm import merkle, packing, periodic_runs, pii, quality, sharding
 from tidewheel.llm.bpe import encoded
 from tidewheel.llm.fingerprints import fingerprints
 from tidewheel.llm.line_templates import without_recurring_lines
+from tidewheel.llm.lsh_forest import near_duplicates
 from tidewheel.llm.ngram_join import similarity_join
 from tidewheel.llm.permutation_index import nearest
 
@@ -80,6 +81,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
 
 
+def op12_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents at a Jaccard similarity of 0.85 on three-word shingles, and the one document of each that stays."""
+    return near_duplicates(table(spark, folder, "documents"), size=3, least=Fraction(17, 20))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """Proofs of all documents in their manifest, some of them tampered with."""
     return merkle.verified_rows(table(spark, folder, "documents"))
@@ -87,7 +93,7 @@ def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {run.__name__: run for run in (
     op1_pii, op2_ngram_join, op3_packing, op4_quality, op5_bpe, op6_permutation_index,
-    op7_fingerprints, op8_sharding, op9_line_templates, op10_warc, op11_periodic_runs, op13_merkle)}
+    op7_fingerprints, op8_sharding, op9_line_templates, op10_warc, op11_periodic_runs, op12_lsh_forest, op13_merkle)}
 
 #: The table is filled by a recursion over its slots, whose state is the table so far.
 SHARDING_SQL = f"""
@@ -179,4 +185,32 @@ FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN folded
      (SELECT h AS root FROM tops WHERE n = 1)
 """
 
-ORACLES: dict[str, str] = {"op8_sharding": SHARDING_SQL, "op10_warc": WARC_SQL, "op13_merkle": MERKLE_SQL}
+def components_sql(least: Fraction) -> str:
+    """All columns of the joins, by counting the common three-word shingles of all sets that share one."""
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                        ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM words),
+sets AS (SELECT DISTINCT doc_id, g FROM grams),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+one_way AS (
+  SELECT a, b, x.n = common AND y.n = common AS same FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE {least.denominator} * common >= {least.numerator} * (x.n + y.n - common)),
+links AS (SELECT a, b, same FROM one_way UNION ALL SELECT b, a, same FROM one_way),
+classes AS (SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS class_id FROM documents LEFT JOIN links ON a = doc_id AND same GROUP BY doc_id),
+degrees AS (SELECT a AS doc_id, count(DISTINCT class_id) AS n_links FROM links JOIN classes ON b = doc_id WHERE NOT same GROUP BY a),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, class_id, coalesce(n_links, 0)::BIGINT AS n_links,
+       least(doc_id, coalesce(first, doc_id)) AS component_id
+FROM documents JOIN classes USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN degrees USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS first FROM reach GROUP BY a) USING (doc_id)"""
+
+
+NEAR_SQL = f"""SELECT *, doc_id = component_id AS kept FROM ({components_sql(Fraction(17, 20))})"""
+
+ORACLES: dict[str, str] = {"op8_sharding": SHARDING_SQL, "op10_warc": WARC_SQL, "op2_ngram_join": components_sql(Fraction(9, 10)),
+                           "op12_lsh_forest": NEAR_SQL, "op13_merkle": MERKLE_SQL}
