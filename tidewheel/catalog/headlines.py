@@ -9,6 +9,7 @@ from tidewheel.catalog.inputs import EVENT_WORDS, LIST_LINK, METAL_WORDS, MIN_LI
 from tidewheel.catalog.registry import query
 from tidewheel.catalog.sql import CTES, json_of, quote, strip
 from tidewheel.functions import text
+from tidewheel.functions.keywords import keyword_matches
 from tidewheel.plans import events as ev
 from tidewheel.session import new_path
 from tidewheel.sources import dimensions as dims
@@ -106,7 +107,7 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
-    return t.feed_entries(spark, d).select("pos", text.headline(F.col("title_raw")).alias("title"))
+    return t.spread(t.feed_entries(spark, d)).select("pos", text.headline(F.col("title_raw")).alias("title"))
 
 
 def _classified_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -206,6 +207,37 @@ def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
                      for i, kind in enumerate(EVENT_WORDS) for j, w in enumerate(kind[3])])
 
 
+CTES["phrases"] = """SELECT DISTINCT w[i] || ' ' || w[i + 1] AS keyword FROM (SELECT w, unnest(range(1, len(w))) AS i
+  FROM (SELECT regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark))"""
+_PHRASE_HITS = """SELECT keyword, count(*) AS n_documents, min(doc_id) AS first_doc FROM documents JOIN phrases ON contains(text, keyword)
+GROUP BY keyword"""
+
+
+def _phrases(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary as a table: all two neighbouring words of the benchmark's texts."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\t-\r]+"), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, 2)))
+    return t.table(spark, d, "benchmark").select(words.alias("words")).filter(F.size("words") > 1).select(F.explode(pairs).alias("keyword"))
+
+
+def _phrase_hits(spark: SparkSession, d: str, **sent: int) -> DataFrame:
+    docs = t.spread(t.table(spark, d, "documents").select("doc_id", "text"))
+    found = keyword_matches(docs, _phrases(spark, d), "doc_id", "text", **sent)
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_doc"))
+
+
+@query("dictionary_hits", _PHRASE_HITS)
+def dictionary_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each phrase of a dictionary that is a table, by an automaton while it is small."""
+    return _phrase_hits(spark, d)
+
+
+@query("dictionary_hits_joined", _PHRASE_HITS)
+def dictionary_hits_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same by rarest grams, as for a dictionary too large to be sent."""
+    return _phrase_hits(spark, d, sent_bytes=0)
+
+
 # Events -----------------------------------------------------------------------
 
 _EVENT = "title, source, link, pub_str, pub_sort, etype, color, pressure"

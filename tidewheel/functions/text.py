@@ -1,17 +1,17 @@
 """Headline text as column expressions.
 
-Dictionaries are plain Python lists that become literals of the plan: no join and
-no Python per row, and every keyword is looked up in the whole text.
+All keywords of types, metals and countries are looked up in the whole text in one pass (``keywords.group_hits``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.functions.keywords import SUBSTRINGS, Match, group_hits
+
 # Fixed values.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
@@ -48,78 +48,82 @@ def publisher(raw: Column) -> Column:
     return F.when(raw.contains(SEPARATOR), strip(F.substring_index(raw, SEPARATOR, -1))).otherwise("")
 
 
-@dataclass(frozen=True)
-class Match:
-    """How keywords are found: by default as substrings, and only the text is lower-cased."""
+def _names(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
-    word_boundary: bool = False
-    fold_case: bool = False
-    longest_match: bool = False
 
-    def found(self, lowered: Column, keyword: str) -> Column:
-        keyword = keyword.lower() if self.fold_case else keyword
-        if not self.word_boundary:
-            return lowered.contains(keyword)
-        return lowered.rlike(r"(?<![\p{L}\p{N}])\Q" + keyword + r"\E(?![\p{L}\p{N}])")
+def _hit(hits: Column, names: Sequence[str]) -> Column:
+    """Those of ``names`` with a hit, in order; ``hits`` has a count for each."""
+    pairs = F.arrays_zip(_names(names).alias("name"), F.coalesce(hits, F.array().cast("array<int>")).alias("hits"))
+    return F.transform(F.filter(pairs, lambda p: p["hits"] > 0), lambda p: p["name"])
 
 
-SUBSTRINGS = Match()
+def metal_tags(hits: Column, names: Sequence[str]) -> Column:
+    """All metals with a hit, in dictionary order."""
+    found = _hit(hits, names)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_METAL)))
 
 
-def hits(lowered: Column, keywords: Sequence[str], match: Match = SUBSTRINGS) -> Column:
-    """How many of the keywords occur."""
-    found = [match.found(lowered, k).cast("int") for k in keywords]
-    return sum(found[1:], found[0])
+#: Signs that a pattern takes for an s or i whatever their case, as they are once lower-cased.
+_ODD_SIGNS = ["\u017f", "\u0131", "i\u0307"]
 
 
-def any_hit(lowered: Column, keywords: Sequence[str], match: Match = SUBSTRINGS) -> Column:
-    out = match.found(lowered, keywords[0])
-    for k in keywords[1:]:
-        out = out | match.found(lowered, k)
-    return out
+def cause_signs() -> list[list[str]]:
+    """For each cause pattern what a lower-cased title holds if the pattern matches: its opening words, or an odd sign."""
+    return [[p[: p.index("(")], *_ODD_SIGNS] for p in CAUSE_PATTERNS]
 
 
-def metal_tags(lowered: Column, dictionary: Sequence[tuple[str, Sequence[str]]], match: Match = SUBSTRINGS) -> Column:
-    """All metals with a keyword in the text, in dictionary order."""
-    found = F.array_compact(F.array(*[F.when(any_hit(lowered, keys, match), metal) for metal, keys in dictionary]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_METAL)))
+def cause(title: Column, signs: Column | None = None) -> Column:
+    """Phrase of the first pattern whose trimmed capture is longer than 5 characters; each pattern is tried once.
 
+    With ``signs``, the hits of ``cause_signs``, only patterns that can match are tried.
+    """
+    captures = [strip(F.regexp_extract(title, "(?iu)" + p, 1)) for p in CAUSE_PATTERNS]
+    if signs is not None:
+        captures = [F.when(F.get(signs, F.lit(k)) > 0, c).otherwise("") for k, c in enumerate(captures)]
+    return F.substring(F.get(F.filter(F.array(*captures), lambda c: F.length(c) > 5), F.lit(0)), 1, 70)
 
-def cause(title: Column) -> Column:
-    """Phrase of the first pattern whose trimmed capture is longer than 5 characters; each pattern is tried once."""
-    captures = F.array(*[strip(F.regexp_extract(title, "(?iu)" + p, 1)) for p in CAUSE_PATTERNS])
-    return F.substring(F.get(F.filter(captures, lambda c: F.length(c) > 5), F.lit(0)), 1, 70)
 
+def _in_order(places: Sequence[str], match: Match) -> list[str]:
+    return sorted(places, key=len, reverse=True) if match.longest_match else list(places)
 
-def country(lowered: Column, names: Sequence[str], match: Match = SUBSTRINGS) -> Column:
+
+def country(lowered: Column, places: Sequence[str], match: Match = SUBSTRINGS) -> Column:
     """First listed country whose lower-cased name occurs in the text; with ``longest_match`` the longest one."""
-    order = sorted(names, key=len, reverse=True) if match.longest_match else names
-    return F.coalesce(*[F.when(match.found(lowered, n.lower()), n) for n in order])
+    order = _in_order(places, match)
+    return F.get(_hit(group_hits(lowered, [[n.lower()] for n in order], match), order), F.lit(0))
 
 
 def classify(items: DataFrame, types: Sequence[tuple[str, str, str, Sequence[str]]],
              metals: Sequence[tuple[str, Sequence[str]]], places: Sequence[str],
              title: str = "title", match: Match = SUBSTRINGS) -> DataFrame:
     """Add etype, pressure, color, metals, cause and country to titled items."""
-    scored = items.withColumn("_low", F.lower(title)).withColumns(
-        {f"_s{i}": hits(F.col("_low"), t[3], match) for i, t in enumerate(types)})
-    scores = [F.col(f"_s{i}") for i in range(len(types))]
-    scored = scored.withColumn("_best", F.greatest(*scores) if len(scores) > 1 else scores[0])
+    order = _in_order(places, match)
+    groups = [t[3] for t in types] + [keys for _, keys in metals] + [[n.lower()] for n in order]
+    n_groups = len(groups)
+    if match == SUBSTRINGS:
+        groups += cause_signs()
+    counted = items.withColumn("_hits", group_hits(F.lower(title), groups, match))
+
+    def part(first: int, count: int) -> Column:
+        return F.slice("_hits", first + 1, count)
+
+    scores = part(0, len(types))
+    best = F.array_max(scores)
 
     def of_best(position: int, otherwise: str) -> Column:
-        out = F.when(F.col("_best") == 0, otherwise)
-        for score, kind in zip(scores, types):
-            out = out.when(score == F.col("_best"), kind[position])
-        return out
+        """The first type with the most hits."""
+        return F.when(best == 0, otherwise).when(
+            best > 0, F.element_at(_names([t[position] for t in types]), F.array_position(scores, best).cast("int")))
 
-    return scored.withColumns({
+    return counted.withColumns({
         "etype": of_best(0, NO_EVENT),
         "pressure": of_best(1, NO_PRESSURE),
         "color": of_best(2, NO_COLOR),
-        "metals": metal_tags(F.col("_low"), metals, match),
-        "cause": cause(F.col(title)),
-        "country": country(F.col("_low"), places, match),
-    }).drop("_low", "_best", *[f"_s{i}" for i in range(len(types))])
+        "metals": metal_tags(part(len(types), len(metals)), [m for m, _ in metals]),
+        "cause": cause(F.col(title), part(n_groups, len(CAUSE_PATTERNS)) if match == SUBSTRINGS else None),
+        "country": F.get(_hit(part(len(types) + len(metals), len(order)), order), F.lit(0)),
+    }).drop("_hits")
 
 
 def published_at(published: Column) -> Column:

@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over at least as many tasks as there are cores; only an input of fewer files' parts is moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _roll_up(cells: DataFrame, symbol) -> DataFrame:
     """Combine already aggregated cells into wider bars; first and last keys order them."""
     return cells.groupBy(symbol.alias("symbol"), "dt").agg(
