@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidewheel.operators.frames import MIN_BARS, as_bench, rotation_frame, trend_frame
 from tidewheel.operators.layout import WHOLE
 from tidewheel.plans import lookup, rotation
-from tidewheel.session import materialize
+from tidewheel.session import new_path
 from tidewheel.sources import tables as t
+from tidewheel.sources.store import BarStore
 
 BENCH = t.BENCHMARK
 
@@ -42,17 +43,22 @@ def stamp(column: str = "dt") -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm").alias(column)
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str], BarStore] = {}
 
 
-def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily bars built and stored once for an application, for queries that read them in several places."""
+def bar_store(spark: SparkSession, folder: str) -> BarStore:
+    """Daily bars built and stored by month once for an application."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
-        _STORED[key] = materialize(t.order_bars(spark, folder).repartitionByRange("symbol", "dt"), "bars")
+        _STORED[key] = BarStore(spark, new_path(spark, "bars")).write(t.order_bars(spark, folder))
     return _STORED[key]
 
 
+def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The bars of the store, for queries that read them in several places."""
+    return bar_store(spark, folder).bars()
+
+
 def own(spark: SparkSession, folder: str, min_bars: int = MIN_BARS) -> DataFrame:
     """Daily bars are unique per (symbol, day): one task per series is enough."""
     return trend_frame(t.order_bars(spark, folder), WHOLE, min_bars=min_bars)
@@ -69,14 +75,14 @@ def sector_table(spark: SparkSession, folder: str, bars: DataFrame | None = None
 
 
 def drilldown(spark: SparkSession, folder: str, min_score: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(sector table, drill-down); the few sector rows are stored before members are chosen by them."""
+    """(sector table, drill-down), each kept when it is first computed; nothing runs while a query is built but the store of bars."""
     bars = stored_bars(spark, folder)
-    sectors = materialize(sector_table(spark, folder, bars), "sectors")
+    sectors = sector_table(spark, folder, bars).persist()
     drill = rotation.stock_drilldown(
         bars, t.universe_dim(spark, folder), rotation.rotating(sectors, min_score), t.name_dim(spark, folder),
         BENCH, WHOLE)
-    # The finished table is small and read in several places: its folds run once.
-    return sectors, materialize(drill, "drilldown")
+    # The finished table is small and read in several places: its folds run once, or again where an executor is lost.
+    return sectors, drill.persist()
 
 
 def lookup_table(spark: SparkSession, folder: str, sectors: DataFrame) -> DataFrame:

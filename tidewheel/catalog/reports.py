@@ -15,6 +15,7 @@ from tidewheel.plans.metals import COMPANY_HORIZONS, METAL_HORIZONS
 from tidewheel.sources import bars as b
 from tidewheel.sources import sinks
 from tidewheel.sources import tables as t
+from tidewheel.sources.versions import bars_by_symbol, spread_by
 from tidewheel.streaming.refresh import refresh_stream
 
 _STATS = ", ".join(f"{k}_{h}d" for h in (5, 10, 20, 30) for k in ("hit", "avg", "n_obs"))
@@ -229,8 +230,7 @@ CTES["event_changes"] = _changes(METAL_HORIZONS, "spot").replace("@", "ebars")
 
 
 def _recent(spark: SparkSession, d: str) -> DataFrame:
-    bars = stored_bars(spark, d)
-    return b.recent(bars, b.data_as_of(bars, BENCH).scalar())
+    return t.recent_order_bars(spark, d)
 
 
 @query("metal_price_changes", "SELECT symbol, spot, ch1d, ch7d, ch1m, ch2m FROM metal_changes")
@@ -372,10 +372,10 @@ def streamed_refresh(spark: SparkSession, d: str) -> DataFrame:
     from tidewheel.session import new_path
 
     stored, landing, status = _refresh_inputs(spark, d)
-    target, inbox = new_path(spark, "bars"), new_path(spark, "landing")
-    b.write_symbols(stored, target)
+    target, inbox = bars_by_symbol(spark, new_path(spark, "bars")), new_path(spark, "landing")
+    target.commit(spread_by(stored.select(*b.BAR_COLUMNS), "symbol", "dt"))
     landing.select(*b.BAR_COLUMNS).write.parquet(inbox)
     wanted = status.select("symbol")
     as_of = t.order_bars(spark, d).agg(F.to_date(F.max("dt"))).first()[0]
     refresh_stream(spark, inbox, target, wanted, as_of, SINCE)
-    return _bar_rows(b.read_bars(spark, target))
+    return _bar_rows(target.read())

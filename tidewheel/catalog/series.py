@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.catalog.inputs import BENCH, aligned, day, own, stamp, stored_bars
+from tidewheel.catalog.inputs import BENCH, aligned, bar_store, day, own, stamp, stored_bars
 from tidewheel.catalog.registry import query
 from tidewheel.catalog.sql import _LEAD, rnd
 from tidewheel.catalog.sql import day as sql_day
@@ -84,8 +84,8 @@ def data_as_of(spark: SparkSession, d: str) -> DataFrame:
 @query("recent_history", f"""SELECT symbol, {D} AS dt, close FROM bars
 WHERE dt >= (SELECT max(dt) FROM bars WHERE symbol = 'ALL') - INTERVAL 3 MONTH""")
 def recent_history(spark: SparkSession, d: str) -> DataFrame:
-    bars = stored_bars(spark, d)
-    return b.recent(bars, b.data_as_of(bars, BENCH).scalar()).select("symbol", day(), "close")
+    """From the store by month, of which only the last months are read."""
+    return bar_store(spark, d).recent(BENCH).select("symbol", day(), "close")
 
 
 @query("aligned_bars", f"SELECT symbol, {D} AS dt, close, bench_close FROM joined")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BENCHMARK = "ALL"
@@ -29,8 +29,29 @@ def _roll_up(cells: DataFrame, symbol) -> DataFrame:
     )
 
 
-def order_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily bars of order prices per nation, per region and overall.
+def _placed_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+
+
+def last_order_day(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: the day of the last order that has a bar, which is the last day of the benchmark."""
+    nations = table(spark, folder, "nation").join(
+        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    customers = _placed_customers(spark, folder).join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderdate")
+    # The last day of each customer first: orders of a customer are counted before they are moved.
+    last = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    return last.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").agg(F.to_date(F.max("last")).alias("as_of"))
+
+
+def recent_order_bars(spark: SparkSession, folder: str, months: int = 3) -> DataFrame:
+    """Daily bars of the last months only: older orders are not aggregated, and row groups of older ones not read."""
+    first = F.add_months(last_order_day(spark, folder).scalar(), -months)
+    return order_bars(spark, folder, first)
+
+
+def order_bars(spark: SparkSession, folder: str, first: Column | None = None) -> DataFrame:
+    """Daily bars of order prices per nation, per region and overall, from the day ``first`` on.
 
     Orders are aggregated once to (nation, day); regions and the benchmark roll up
     those cells, so the wide symbols never see single orders. Grouping by day makes
@@ -38,7 +59,9 @@ def order_bars(spark: SparkSession, folder: str) -> DataFrame:
     """
     price = F.col("o_totalprice")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    if first is not None:
+        orders = orders.filter(F.col("o_orderdate") >= first.cast(orders.schema["o_orderdate"].dataType))
+    customers = _placed_customers(spark, folder)
     cells = (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("dt"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewheel.session import materialize, new_path
 from tidewheel.sources.bars import BAR_SCHEMA, fresh_history, freshness, read_bars, write_symbols
+from tidewheel.sources.versions import PartTable, spread_by
 
 
-def refresh_stream(spark: SparkSession, inbox: str, target: str, wanted: DataFrame, as_of: date, since: str,
+def refresh_stream(spark: SparkSession, inbox: str, target: str | PartTable, wanted: DataFrame, as_of: date, since: str,
                    checkpoint: str | None = None) -> None:
     """Process everything landed since the last run and stop.
 
@@ -19,8 +20,17 @@ def refresh_stream(spark: SparkSession, inbox: str, target: str, wanted: DataFra
     histories). Freshness is read from the stored table at the start of each
     batch. A repeated batch finds what it has written fresh and leaves it, and
     writes whatever it had not; so the table is the same after a retry.
+
+    A ``target`` in versions (``bars_by_symbol``) takes each batch whole or not at all, and a batch of this checkpoint
+    once; in a plain folder the symbols of a batch are replaced one after the other.
     """
-    def replace_stale(batch: DataFrame, _batch_id: int) -> None:
+    state = checkpoint or new_path(spark, "refresh-state")
+
+    def replace_stale(batch: DataFrame, batch_id: int) -> None:
+        if isinstance(target, PartTable):
+            stale = freshness(target.read(), wanted, F.lit(as_of)).filter("stale").select("symbol")
+            target.commit(spread_by(fresh_history(batch, stale, since), "symbol", "dt"), state, batch_id)
+            return
         # The list is written out first: the partitions it was read from get overwritten below.
         status = freshness(read_bars(spark, target), wanted, F.lit(as_of))
         stale = materialize(status.filter("stale").select("symbol"), "stale")
@@ -29,7 +39,7 @@ def refresh_stream(spark: SparkSession, inbox: str, target: str, wanted: DataFra
     query = (
         spark.readStream.schema(BAR_SCHEMA).parquet(inbox)
         .writeStream.foreachBatch(replace_stale)
-        .option("checkpointLocation", checkpoint or new_path(spark, "refresh-state"))
+        .option("checkpointLocation", state)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
