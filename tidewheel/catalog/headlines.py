@@ -89,7 +89,7 @@ CTES["latest"] = "SELECT * FROM placed WHERE place <= 70"
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    return feeds.page_links(t.table(spark, d, "pages"), PAGE_BASE, LIST_LINK, min_chars=MIN_LINK)
+    return feeds.page_links(t.spread(t.table(spark, d, "pages")), PAGE_BASE, LIST_LINK, direct=True, min_chars=MIN_LINK)
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:

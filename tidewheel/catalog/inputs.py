@@ -29,7 +29,7 @@ METAL_WORDS = [
     ("Middle East", ["estion", "ention"]),
     ("Timber", ["queque"]),
 ]
-LIST_LINK = r"(?is)<li>\s*(<a\b[^>]*>.*?</a>)"
+LIST_LINK = ["li"]
 PAGE_BASE = "https://pages.example"
 PAGE_SOURCE = "Pages"
 MIN_LINK = 2

@@ -140,28 +140,5 @@ def date_label(published: Column) -> Column:
     return F.coalesce(F.date_format(published_at(published), "MMM dd"), F.substring(published, 1, 10), F.lit(""))
 
 
-# Named character references that are decoded; numeric ones all are. Fixed values.
-NAMED_SIGNS = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014",
-    "hellip": "\u2026", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "amp": "&",
-}
-
-
-def decode_signs(markup: Column) -> Column:
-    """Character references of a page as the signs they stand for, ``&amp;`` last."""
-    codes = F.array_distinct(F.regexp_extract_all(markup, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
-
-    def sign(code: Column) -> Column:
-        number = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.substring(code, F.lit(2), F.length(code))).otherwise(
-            F.conv(code, 10, 16))
-        return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
-
-    out = F.when(F.size(codes) > 0, F.aggregate(codes, markup, lambda text, code: F.replace(
-        text, F.concat(F.lit("&#"), code, F.lit(";")), sign(code)))).otherwise(markup)
-    for name, value in NAMED_SIGNS.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return out
-
-
 def absolute_link(href: Column, base: str) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions import text
+from tidewheel.sources.markup import anchors
 
 FEED_CAP = 6
 LINK_CAP = 20
 MIN_LINK_CHARS = 30
-HEADING = r"(?is)<h[234]\b[^>]*>(.*?)</h[234]\s*>"
-ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
-HREF = r"(?is)^<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+HEADINGS = ("h2", "h3", "h4")
 ITEM_COLUMNS = ["ingest_ord", "title_raw", "title", "source", "link", "pub_str", "pub_sort"]
 
 
@@ -43,20 +44,15 @@ def feed_items(entries: DataFrame, sources: DataFrame, cap: int = FEED_CAP) -> D
     )
 
 
-def page_links(pages: DataFrame, base: str, within: str = HEADING, cap: int = LINK_CAP,
+def page_links(pages: DataFrame, base: str, within: Sequence[str] = HEADINGS, direct: bool = False, cap: int = LINK_CAP,
                min_chars: int = MIN_LINK_CHARS) -> DataFrame:
-    """First ``cap`` links of each page, with long enough text and a target.
+    """First ``cap`` links of each page that lie within the given elements (``direct``: right in one), with long enough text and a target.
 
-    Group 1 of ``within`` is a part of the page, by default a heading's body; all
-    anchors of it count. One pass over the page text in the JVM; the cap counts anchors before the filters.
+    The cap counts anchors before the filters; a title joins the anchor's trimmed text nodes without blanks.
     """
-    parts = F.regexp_extract_all("html", F.lit(within), 1)
-    anchors = F.flatten(F.transform(parts, lambda part: F.regexp_extract_all(part, F.lit(ANCHOR), F.lit(0))))
-    href = F.coalesce(*[F.nullif(F.regexp_extract("anchor", HREF, k), F.lit("")) for k in (1, 2, 3)])
-    label = text.strip(text.decode_signs(F.regexp_replace("anchor", r"(?s)<[^>]*>", "")))
     return (
-        pages.select("page_id", F.posexplode(F.slice(anchors, 1, cap)).alias("link_no", "anchor"))
-        .select("page_id", "link_no", label.alias("title"), text.decode_signs(href).alias("href"))
+        pages.select("page_id", F.posexplode(anchors(F.col("html"), within, direct, cap)).alias("link_no", "anchor"))
+        .select("page_id", "link_no", "anchor.title", "anchor.href")
         .filter((F.length("title") > min_chars) & (F.length("href") > 0))
         .withColumn("link", text.absolute_link(F.col("href"), base))
     )
