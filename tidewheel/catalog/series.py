@@ -13,6 +13,7 @@ from tidewheel.functions.labels import hit_grade, quadrant, signal_context, vola
 from tidewheel.functions.numbers import clip, pct_change, round_to
 from tidewheel.operators import backtest as bt
 from tidewheel.operators import recurrences as rec
+from tidewheel.operators import scan
 from tidewheel.operators.frames import MIN_BARS, as_bench, align, rotation_frame, trend_frame
 from tidewheel.operators.layout import WHOLE, Layout, arrange, number_rows, rolling, series_window
 from tidewheel.plans.rotation import rotation_summary, trend_summary
@@ -170,6 +171,29 @@ def atr_series(spark: SparkSession, d: str) -> DataFrame:
                                 round_to(F.col("ema55"), 3).alias("ema55"))
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars in blocks of few rows, so that a series has many."""
+    return scan.blocks(t.order_bars(spark, d), rows=250)
+
+
+@query("ema_series_scan", f"SELECT symbol, {D} AS dt, {rnd('ema50', 3)} AS ema50 FROM rot")
+def ema_series_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The smoothing of each series over many tasks."""
+    return scan.smoothed(_blocks(spark, d), {"ema50": ("close", rec.span_alpha(50))}).select(
+        "symbol", day(), round_to(F.col("ema50"), 3).alias("ema50"))
+
+
+@query("rsi_series_scan", f"SELECT symbol, {D} AS dt, {rnd('rsi', 4)} AS rsi FROM smoothed")
+def rsi_series_scan(spark: SparkSession, d: str) -> DataFrame:
+    return scan.strength_index(_blocks(spark, d)).select("symbol", day(), round_to(F.col("rsi"), 4).alias("rsi"))
+
+
+@query("atr_series_scan", f"SELECT symbol, {D} AS dt, {rnd('atr', 3)} AS atr, {rnd('ema55', 3)} AS ema55 FROM smoothed")
+def atr_series_scan(spark: SparkSession, d: str) -> DataFrame:
+    return scan.true_range(_blocks(spark, d)).select(
+        "symbol", day(), round_to(F.col("atr"), 3).alias("atr"), round_to(F.col("ema55"), 3).alias("ema55"))
+
+
 @query("rs_line", f"SELECT symbol, {D} AS dt, {rnd('100 * close / bench_close', 4)} AS rs FROM joined")
 def rs_line(spark: SparkSession, d: str) -> DataFrame:
     bars = stored_bars(spark, d)
@@ -197,6 +221,14 @@ def rrg_series_split(spark: SparkSession, d: str) -> DataFrame:
     return _rrg_rows(rotation_frame(bars, as_bench(bars, BENCH), SPLIT, min_bars=1))
 
 
+@query("rrg_series_scan", _RRG_SQL)
+def rrg_series_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same over many tasks a series."""
+    bars = stored_bars(spark, d)
+    frame = scan.blocks(align(bars, as_bench(bars, BENCH)), rows=250)
+    return _rrg_rows(scan.rotation(frame).withColumn("quad", quadrant(F.col("ratio"), F.col("mom"))))
+
+
 @query("sector_rrg_snapshot", f"""SELECT s.etf, s.name, {rnd('ratio', 3)} AS rs_ratio, {rnd('mom', 3)} AS rs_mom, quad,
   {D} AS dt FROM rot r JOIN sectors s ON s.etf = r.symbol WHERE pos = n - 1""")
 def sector_rrg_snapshot(spark: SparkSession, d: str) -> DataFrame:
