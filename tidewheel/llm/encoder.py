@@ -3,7 +3,7 @@
 A text is cut ahead of each blank between two non-blank signs. The split pattern of this family of
 tokenizers always breaks there, so the parts are encoded independently. Hashes of the parts find their ids in a
 direct-mapped cache; missing parts go to the encoder in one call. Texts where a blank touches other white space or ends the text
-go to the encoder whole.
+go to the encoder whole. Tokens that the file adds to its model cut a text first and have their own ids.
 """
 
 from __future__ import annotations
@@ -30,6 +30,15 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a ``tokenizers`` file adds to its model; they are found in the text before anything else."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that take in what is around them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     """Byte strings and ids of a ``tokenizers`` byte-level BPE file, without its special tokens."""
     with open(path, encoding="utf-8") as file:
@@ -47,6 +56,8 @@ class Encoder:
         self.bytes_of = np.zeros(max(ranks.values()) + 1, "int64")
         for token, rank in ranks.items():
             self.bytes_of[rank] = len(token)
+        self.added = added_tokens(path)
+        self.cuts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self._clear()
 
     def _clear(self) -> None:
@@ -58,6 +69,14 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.bpe.encode_ordinary(text), "uint32")
 
+    def _around(self, text: str) -> np.ndarray:
+        """Ids of a text with added tokens: what lies between them is encoded by itself."""
+        out, at = [], 0
+        for found in self.cuts.finditer(text):
+            out += [self._whole(text[at: found.start()]), np.array([self.added[found[0]]], "uint32")]
+            at = found.end()
+        return np.concatenate([*out, self._whole(text[at:])])
+
     def _parts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that are cut at every blank."""
         raw = [text.encode() for text in texts]
@@ -112,6 +131,9 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
+            if self.cuts and self.cuts.search(text):
+                out[k] = self._around(text)
+                continue
             if len(text) > SLICE_BYTES or _TOUCHING.search(text):
                 out[k] = self._whole(text)
                 continue

@@ -45,7 +45,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def pivots_of(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
     distinct = vectors.select("vector").distinct().withColumn("place", F.xxhash64("vector"))
     rows = distinct.orderBy("place", "vector").limit(count).select("vector").toArrow()["vector"].to_pylist()
-    return np.array(rows, "float64").reshape(len(rows), -1)
+    return np.array(rows, "float64").reshape(len(rows), -1) if rows else np.zeros((0, 0))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -123,10 +123,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found by inner product of each query, a vec_id divisible by ``every``.
 
     ``vectors`` has vec_id and embedding; for what takes no part see ``usable``.
-    A query without any other vector has no rows. Ties are ranked by vec_id.
+    A query without any other vector has no rows, and an empty table or one without usable vectors gives none. Ties are ranked by vec_id.
     """
     own = usable(vectors)
     pivots = pivots_of(own)
+    if not len(pivots):
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = materialize(indexed(own, pivots), "permutations")
     segments = max(1, -(-index.count() // SEGMENT))
     asked = index.filter(F.col("vec_id") % every == 0)

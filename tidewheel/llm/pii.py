@@ -134,7 +134,7 @@ def describe(text: str, span: Span) -> list[float]:
     body = text[start:end]
     groups = [g for g in _GROUP.findall(body)]
     digits = "".join(groups)
-    before, after = text[start - 1: start], text[end: end + 1]
+    before, after = text[max(0, start - 1): start], text[end: end + 1]
     seps = set(re.sub(r"[0-9A-Za-z]", "", body))
     sizes = [len(g) for g in groups] or [0]
     around = text[max(0, start - 40): start]
@@ -145,7 +145,7 @@ def describe(text: str, span: Span) -> list[float]:
         body.count("."), float(body[-4:].isalpha()), sum(c.isalpha() for c in body),
         float(before.isalnum()), float(after.isalnum()), float(before in ".-+/_@" and before != ""), float(after in "-/_@" and after != ""),
         float(before.isspace() or not before), float(after.isspace() or not after),
-        float(text[start - 2: start - 1].isdigit()), float(text[end + 1: end + 2].isdigit()), float(bool(_CUES[kind].search(around))),
+        float(text[max(0, start - 2): max(0, start - 1)].isdigit()), float(text[end + 1: end + 2].isdigit()), float(bool(_CUES[kind].search(around))),
     ]
 
 

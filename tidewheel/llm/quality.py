@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> t
     """Weights and bias learned from ``max_labels`` labelled rows at most, which are what reaches the driver.
 
     Labels other than 0 and 1 and rows without doc_id are not learned from; of several labels of one doc_id
-    the smallest counts, and each text of it. Without any example all scores are 0.5.
+    the smallest counts, and of several texts. Without any example all scores are 0.5.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
     chosen = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).orderBy(
@@ -121,8 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> t
                 [batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array([a.astype("int32") for a, _ in found], pa.list_(pa.int32())),
                  pa.array([v.astype("float32") for _, v in found], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(
-        run, "doc_id string, label int, at array<int>, value array<float>").limit(2 * max_labels).toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(run, "doc_id string, label int, at array<int>, value array<float>").toArrow()
     order = np.argsort(mix(np.array([hash_text(d) for d in rows["doc_id"].to_pylist()], "uint64")), kind="stable")
     at, value = (rows[c].combine_chunks() for c in ("at", "value"))
     label = rows["label"].to_pylist()
