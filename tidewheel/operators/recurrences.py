@@ -79,25 +79,35 @@ def per_series(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], output
     return df.groupBy(*keys).applyInArrow(run, schema)
 
 
-#: Rows without a value after which a previous value has no weight left in a double.
-_FORGOTTEN = 65536
-
-
 class Smoother:
     """Exponential smoothing seeded by the first value that is present, continued from block to block."""
 
     def __init__(self, alpha: float) -> None:
-        self.alpha, self.last, self.gap = alpha, float("nan"), 0
+        self.com, self.last, self.weight = (1.0 - alpha) / alpha, float("nan"), 1.0
+        self.alpha = 1.0 / (1.0 + self.com)  # rounded as within a block
+
+    def _faded(self, rows: int) -> float:
+        """The weight of the last result after so many more rows, step by step, so that it is the same for any blocks."""
+        return float(np.multiply.accumulate(np.r_[self.weight, np.full(rows, 1.0 - self.alpha)])[-1])
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        # Rows without a value weaken the previous one, so those at the end of the last block are repeated.
-        ahead = np.r_[self.last, np.full(self.gap, np.nan)]
-        out = pd.Series(np.r_[ahead, values]).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(ahead):]
         there = np.flatnonzero(~np.isnan(values))
-        if len(there):
-            self.last, self.gap = out[-1], min(len(values) - 1 - int(there[-1]), _FORGOTTEN)
-        elif self.last == self.last:
-            self.gap = min(self.gap + len(values), _FORGOTTEN)
+        begun = self.last == self.last
+        if not len(there):
+            if begun:
+                self.weight = self._faded(len(values))
+            return np.full(len(values), self.last)
+        first, own = int(there[0]), values
+        if begun:
+            # Rows without a value have weakened the last result: the first value takes it in with the weight that is left.
+            weight, own = self._faded(first + 1), values.copy()
+            if self.last != values[first]:
+                own[first] = (weight * self.last + self.alpha * values[first]) / (weight + self.alpha)
+        out = pd.Series(own).ewm(com=self.com, adjust=False).mean().to_numpy()
+        if begun:
+            out = np.r_[np.full(first, self.last), out[first:]]
+        self.last, self.weight = out[-1], 1.0
+        self.weight = self._faded(len(values) - 1 - int(there[-1]))
         return out
 
 

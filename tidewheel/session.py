@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -99,6 +100,20 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} could not be put in place")
 
 
+#: Tables after which the driver lets go of what is behind them.
+TABLES = 16
+
+
+def settle(spark: SparkSession) -> None:
+    """Let go of plans, broadcasts and shuffle files that nobody holds any more.
+
+    Spark removes them when the driver's garbage is collected, which by itself happens late: a run of many small jobs fills
+    the driver and the executors' disks before.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -107,4 +122,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    if len(_TAKEN[df.sparkSession.sparkContext.applicationId]) % TABLES == 0:
+        settle(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
