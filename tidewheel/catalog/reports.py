@@ -74,6 +74,17 @@ def quadrant_groups(spark: SparkSession, d: str) -> DataFrame:
     return signals.quadrant_groups(sector_table(spark, d)).select("quad", F.array_join(point, "; ").alias("points"))
 
 
+_POINT = "{'x': round(rs_ratio, 2), 'y': round(rs_mom, 2), 'label': etf}"
+
+
+@query("quadrant_payload", f"""SELECT {json_of("quad", "points")} FROM (
+  SELECT quad, list({_POINT} ORDER BY score DESC, ord) AS points FROM rotation GROUP BY quad)""")
+def quadrant_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Each quadrant's points as one JSON object."""
+    point = F.transform("points", lambda p: F.struct(F.round(p["x"], 2).alias("x"), F.round(p["y"], 2).alias("y"), p["label"].alias("label")))
+    return sinks.json_rows(signals.quadrant_groups(sector_table(spark, d)).select("quad", point.alias("points")))
+
+
 @query("trail_extents", f"""SELECT {rnd("least(min(ratio) - 0.6e0, 99e0)", 3)} AS x_min,
   {rnd("greatest(max(ratio) + 0.6e0, 101e0)", 3)} AS x_max, {rnd("least(min(mom) - 0.6e0, 99e0)", 3)} AS y_min,
   {rnd("greatest(max(mom) + 0.6e0, 101e0)", 3)} AS y_max FROM trails t JOIN sectors s ON s.etf = t.symbol""")

@@ -48,11 +48,12 @@ def supply_briefs(metals: DataFrame, events: DataFrame) -> DataFrame:
     """Event counts, sentiment and up to two causes from the first four events per metal.
 
     Counts combine on the map side and the first four are limited there, so a metal
-    with most of the events is no hot spot.
+    with most of the events is no hot spot. Both read the matched events, which are kept without
+    their texts when they are first computed: events are classified once.
     """
     order = Window.partitionBy("name").orderBy(
         F.desc("pub_sort"), F.desc(F.col("etype") != text.NO_EVENT), "ingest_ord")
-    matched = metal_events(metals, events)
+    matched = metal_events(metals, events).select("name", "pub_sort", "etype", "ingest_ord", "pressure", "cause").persist()
     counts = matched.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("pressure") == "UP", 1)).alias("up"),

@@ -35,32 +35,32 @@ def whole_number(text: Column) -> Column:
         F.raise_error(F.concat(F.lit("volume is no whole number: "), text.cast("string"))).cast("bigint"))
 
 
-def conform_bars(raw: DataFrame) -> DataFrame:
+def conform_bars(raw: DataFrame, fractions: bool = False) -> DataFrame:
     """Text or numeric columns in any letter case to the bar schema.
 
     The zone of a time text is dropped and its wall time kept; cells that do not
-    parse count as missing.
+    parse count as missing. With ``fractions`` the volume is a double, as of shares sold in parts; without, a fraction ends the job.
     """
     lower = raw.toDF(*[c.lower() for c in raw.columns])
     typed = lower.select(
         "symbol", wall_time(F.col("dt").cast("string")).alias("dt"),
         *[F.nanvl(F.col(c).try_cast("double"), F.lit(None)).alias(c) for c in PRICES],
-        whole_number(F.col("volume")).alias("volume"))
+        (F.nanvl(F.col("volume").try_cast("double"), F.lit(None)) if fractions else whole_number(F.col("volume"))).alias("volume"))
     return drop_incomplete(typed).dropna(subset=["dt"])
 
 
-def read_bar_files(spark: SparkSession, path: str) -> DataFrame:
+def read_bar_files(spark: SparkSession, path: str, fractions: bool = False) -> DataFrame:
     """CSV files named ``<symbol>_1d.csv``, first column the date, header in any letter case."""
     raw = spark.read.option("header", True).csv(path)
     raw = raw.withColumnRenamed(raw.columns[0], "dt")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_1d\.csv$", 1)
-    return conform_bars(raw.select("*", F.url_decode(name).alias("symbol")))
+    return conform_bars(raw.select("*", F.url_decode(name).alias("symbol")), fractions)
 
 
-def read_bar_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_bar_csv(spark: SparkSession, path: str, fractions: bool = False) -> DataFrame:
     """CSV folder partitioned as ``symbol=<symbol>``; a filter on symbol prunes folders."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return conform_bars(raw.withColumnRenamed(raw.columns[0], "dt"))
+    return conform_bars(raw.withColumnRenamed(raw.columns[0], "dt"), fractions)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:

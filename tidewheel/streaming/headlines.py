@@ -11,12 +11,13 @@ from tidewheel.functions import text
 
 
 def classified_stream(entries: DataFrame, types: Sequence, metals: Sequence, places: Sequence[str],
-                      delay: str = "7 days") -> DataFrame:
+                      delay: str = "7 days", undated_once: bool = False) -> DataFrame:
     """Classify streamed entries ``(title_raw, published, ...)``, each raw title once per watermark.
 
     Arrival order decides which copy is first. State holds a digest per title, not
     the text, and is dropped once the watermark has passed. Entries without a readable
-    time have no place in that order: they pass as they come, repeats included.
+    time have no place in that order: they pass as they come, repeats included; with ``undated_once`` each of their titles
+    passes once for ``delay`` after it came, by the clock.
     """
     timed = (
         entries.withColumn("title_raw", text.strip(F.col("title_raw")))
@@ -25,6 +26,10 @@ def classified_stream(entries: DataFrame, types: Sequence, metals: Sequence, pla
         .withColumn("title_digest", F.sha2("title_raw", 256))
     )
     dated = timed.filter(F.col("seen_at").isNotNull()).withWatermark("seen_at", delay)
-    once = dated.dropDuplicatesWithinWatermark(["title_digest"]).unionByName(timed.filter(F.col("seen_at").isNull()))
+    undated = timed.filter(F.col("seen_at").isNull())
+    if undated_once:
+        arrived = undated.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", delay)
+        undated = arrived.dropDuplicatesWithinWatermark(["title_digest"]).drop("arrived")
+    once = dated.dropDuplicatesWithinWatermark(["title_digest"]).unionByName(undated)
     titled = once.select("*", text.headline(F.col("title_raw")).alias("title"))
     return text.classify(titled, types, metals, places).drop("title_digest")
