@@ -8,6 +8,7 @@ from check_oracles import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ["daily_bars", "rrg_series_split", "ema_series", "trend_signal", "volume_surge", "year_return", "transition_backtest",
+         "transition_backtest_steps", "signal_backtest_steps",
          "page_links", "event_type_histogram", "supply_briefs", "root_causes", "reason_sentences"]
 
 

@@ -12,12 +12,13 @@ from tidewheel.catalog.sql import day as sql_day
 from tidewheel.functions.labels import hit_grade, quadrant, signal_context, volatility_bucket
 from tidewheel.functions.numbers import clip, pct_change, round_to
 from tidewheel.operators import backtest as bt
+from tidewheel.operators import increment as inc
 from tidewheel.operators import recurrences as rec
 from tidewheel.operators import scan
 from tidewheel.operators.frames import MIN_BARS, as_bench, align, rotation_frame, trend_frame
 from tidewheel.operators.layout import WHOLE, Layout, arrange, number_rows, rolling, series_window
 from tidewheel.plans.rotation import rotation_summary, trend_summary
-from tidewheel.session import new_path
+from tidewheel.session import materialize, new_path
 from tidewheel.sources import bars as b
 from tidewheel.sources import tables as t
 from tidewheel.sources.dimensions import all_symbols
@@ -357,6 +358,25 @@ def signal_backtest(spark: SparkSession, d: str) -> DataFrame:
         "symbol", "n_signals", *bt.stat_names(), "days_active", "current_ret")
 
 
+def _in_two_steps(bars: DataFrame, test: inc.Backtest) -> DataFrame:
+    """States after the bars but those of the last 60 days, which then go on with whole histories: all known bars are as they were."""
+    first_new = F.date_sub(b.data_as_of(bars, BENCH).scalar(), 60).cast("timestamp")
+    spark = bars.sparkSession
+    states = materialize(inc.advance(inc.no_states(spark), bars.filter(F.col("dt") < first_new), test), "states")
+    return inc.follow(states, bars, test)
+
+
+@query("signal_backtest_steps", f"SELECT symbol, n_signals, {_STATS}, days_active, current_ret FROM trend_sum")
+def signal_backtest_steps(spark: SparkSession, d: str) -> DataFrame:
+    return inc.signal_report(_in_two_steps(stored_bars(spark, d), inc.SIGNALS))
+
+
+@query("transition_backtest_steps", f"SELECT symbol, n_entries, {_STATS}, days_in_leading FROM transitions")
+def transition_backtest_steps(spark: SparkSession, d: str) -> DataFrame:
+    bars = stored_bars(spark, d)
+    return inc.transition_report(_in_two_steps(align(bars, as_bench(bars, BENCH)), inc.TRANSITIONS))
+
+
 @query("signal_age", """SELECT symbol, days_active, current_ret,
   CASE WHEN current_ret / avg_20d * 100 > 120 THEN 'extended'
        WHEN current_ret / avg_20d * 100 < 20 AND days_active <= 20 THEN 'room to run' END AS context,

@@ -51,6 +51,31 @@ Columns = dict[str, np.ndarray]
 Step = Callable[[Columns], Columns]
 
 
+class Memory:
+    """Numbers that a step keeps from one block to the next."""
+
+    def __init__(self, *values: float) -> None:
+        self.values = np.array(values, dtype="float64")
+
+    def keep(self) -> list[float]:
+        return self.values.tolist()
+
+    def resume(self, values: Sequence[float]) -> None:
+        self.values = np.array(values, dtype="float64")
+
+
+def kept(step: Step) -> list[list[float]]:
+    """All that a step remembers, part by part; a new step of the same kind goes on from it to the last bit."""
+    return [part.keep() for part in step.parts]
+
+
+def resume(step: Step, state: Sequence[Sequence[float]]) -> Step:
+    """Let a new step go on from what another one of its kind ``kept``."""
+    for part, values in zip(step.parts, state, strict=True):
+        part.resume(values)
+    return step
+
+
 def per_series(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], outputs: Mapping[str, T.DataType],
                fold: Callable[[], Step], block_rows: int | None = None) -> DataFrame:
     """Append ``outputs``; ``fold`` makes a step for a series, which gets the ``inputs`` of its blocks in ``pos`` order.
@@ -86,6 +111,12 @@ class Smoother:
         self.com, self.last, self.weight = (1.0 - alpha) / alpha, float("nan"), 1.0
         self.alpha = 1.0 / (1.0 + self.com)  # rounded as within a block
 
+    def keep(self) -> list[float]:
+        return [float(self.last), self.weight]
+
+    def resume(self, values: Sequence[float]) -> None:
+        self.last, self.weight = values
+
     def _faded(self, rows: int) -> float:
         """The weight of the last result after so many more rows, step by step, so that it is the same for any blocks."""
         return float(np.multiply.accumulate(np.r_[self.weight, np.full(rows, 1.0 - self.alpha)])[-1])
@@ -111,15 +142,15 @@ class Smoother:
         return out
 
 
-class Lag:
+class Lag(Memory):
     """The values ``rows`` earlier; ``first`` ahead of the series."""
 
     def __init__(self, rows: int = 1, first: float = float("nan")) -> None:
-        self.tail = np.full(rows, first)
+        super().__init__(*[first] * rows)
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        joined = np.r_[self.tail, values]
-        self.tail = joined[len(values):]
+        joined = np.r_[self.values, values]
+        self.values = joined[len(values):]
         return joined[: len(values)]
 
 
@@ -135,6 +166,7 @@ def smoothed_range(span: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray],
         before = previous(close)
         return smooth(np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before))))
 
+    step.parts = (previous, smooth)
     return step
 
 
@@ -148,6 +180,7 @@ def strength_index(span: int) -> Callable[[np.ndarray], np.ndarray]:
         loss = losses(np.where(np.isnan(change), np.nan, np.maximum(-change, 0.0)))
         return 100 - 100 / (1 + gain / (loss + EPSILON))
 
+    step.parts = (previous, gains, losses)
     return step
 
 
@@ -159,38 +192,41 @@ def spread() -> Callable[[np.ndarray], np.ndarray]:
         base = slow(x)
         return 100 + (fast(x) - base) / base * 100
 
+    step.parts = (fast, slow)
     return step
 
 
 def band_multiplier() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Range relative to the base line, scaled by its own 50-bar extent to [1, 5]."""
-    tail = np.zeros(0)
+    tail = Memory()
 
     def step(atr: np.ndarray, base: np.ndarray) -> np.ndarray:
-        nonlocal tail
         with np.errstate(divide="ignore", invalid="ignore"):
-            rel = pd.Series(np.r_[tail, pd.Series(atr / base).fillna(0)])
+            rel = pd.Series(np.r_[tail.values, pd.Series(atr / base).fillna(0)])
             low, high = rel.rolling(BAND_FRAME).min(), rel.rolling(BAND_FRAME).max()
             scaled = MIN_MULT + (MAX_MULT - MIN_MULT) * (rel - low) / (high - low + EPSILON)
-        begin, tail = len(tail), rel.to_numpy()[-(BAND_FRAME - 1):]
+        begin, tail.values = len(tail.values), rel.to_numpy()[-(BAND_FRAME - 1):]
         return scaled.clip(MIN_MULT, MAX_MULT).to_numpy()[begin:]
 
+    step.parts = (tail,)
     return step
 
 
 def ratchet(side: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Band that only tightens while the previous close stays on its side of it; 1 for the lower band, -1 for the upper one."""
-    held = edge = float("nan")
+    last = Memory(float("nan"), float("nan"))
 
     def step(raw: np.ndarray, close: np.ndarray) -> np.ndarray:
-        nonlocal held, edge
+        held, edge = last.values.tolist()
         band = raw.tolist()
         for i, (level, now) in enumerate(zip(band, close.tolist(), strict=True)):
             if side * edge > side * held and not side * level > side * held and level == level:
                 band[i] = held
             held, edge = band[i], now
+        last.values = np.array([held, edge])
         return np.array(band)
 
+    step.parts = (last,)
     return step
 
 
@@ -198,24 +234,24 @@ def trend_fold() -> Step:
     """RSI, ATR, base line, bands and trend (1 or -1); ``trend_prev`` is 0 on the first bar of the series."""
     ranges, index, base_of, mult_of = smoothed_range(ATR_SPAN), strength_index(RSI_SPAN), Smoother(span_alpha(BASE_SPAN)), band_multiplier()
     lower, upper, up_before, dn_before = ratchet(1), ratchet(-1), Lag(), Lag()
-    trend_before, trend_now = Lag(first=0.0), 0.0
+    trend_before, trend_now = Lag(first=0.0), Memory(0.0)
 
     def step(cols: Columns) -> Columns:
-        nonlocal trend_now
         high, low, close = (np.asarray(cols[c], dtype="float64") for c in ("high", "low", "close"))
         atr, base = ranges(high, low, close), base_of(close)
         mult = mult_of(atr, base)
         middle = (high + low) / 2
         up, dn = lower(middle - mult * atr, close), upper(middle + mult * atr, close)
         flips = np.where(close > dn_before(dn), 1.0, np.where(close < up_before(up), -1.0, 0.0))
-        if trend_now == 0:
+        if trend_now.values[0] == 0:
             flips[0] = 1.0
         last_flip = np.maximum.accumulate(np.where(flips != 0, np.arange(len(close)), -1))
-        trend = np.where(last_flip >= 0, flips[np.maximum(last_flip, 0)], trend_now)
-        trend_now = trend[-1]
+        trend = np.where(last_flip >= 0, flips[np.maximum(last_flip, 0)], trend_now.values[0])
+        trend_now.values = trend[-1:]
         return {"rsi": index(close), "atr": atr, "ema55": base, "mult": mult, "band_up": up, "band_dn": dn,
                 "trend": trend, "trend_prev": trend_before(trend)}
 
+    step.parts = (*ranges.parts, *index.parts, base_of, *mult_of.parts, *lower.parts, *upper.parts, up_before, dn_before, trend_before, trend_now)
     return step
 
 
@@ -231,6 +267,7 @@ def rotation_fold() -> Step:
         return {"ratio": ratio, "mom": mom, "ratio_prev": ratio_before(ratio), "mom_prev": mom_before(mom),
                 "mom_lag4": mom_earlier(mom), "ema50": base_of(cols["close"])}
 
+    step.parts = (*ratio_of.parts, *mom_of.parts, base_of, ratio_before, mom_before, mom_earlier)
     return step
 
 
