@@ -1,10 +1,11 @@
 """Streams give what one batch gives."""
 
-from datetime import date
+import time
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tidewheel.sources import bars, dimensions
+from tidewheel.sources import bars, dimensions, feeds
 from tidewheel.streaming.headlines import classified_stream
 from tidewheel.streaming.refresh import refresh_stream
 
@@ -43,3 +44,52 @@ def test_refresh_in_two_batches_and_a_retry(spark, tmp_path):
         refresh_stream(spark, inbox, target, wanted, date(2024, 1, 10), "2010-01-01", str(tmp_path / state))
         got = sorted((r.symbol, r.close) for r in bars.read_bars(spark, target).collect())
         assert got == [("A", 9.0), ("B", 5.0), ("C", 3.0)]
+
+
+ORDERED = "ingest_ord bigint, title_raw string, published string, weight double, small int, at timestamp, day date, tags array<string>"
+
+
+def _entry(place, title, published=None):
+    at = datetime(2024, 5, 1, 12, 0, 0, 123456) if place % 2 else None
+    return (place, title, published, 0.1 * place, None if place % 3 else place, at, at.date() if at else None, ["é", None, '"'] if at else None)
+
+
+def _landings():
+    big = 1 << 62
+    return [
+        [_entry(4, "No date here - P"), _entry(2, " No date here - P "), _entry(3, "Strike at mine - P", "2024-01-01 05:00:00"),
+         _entry(1, "Strike at mine - P"), _entry(0, "   "), _entry(5, None)],
+        [_entry(6, "No date here - P"), _entry(7, "Strike at mine - P", "2025-01-01 00:00:00"), _entry(9, "New - P"), _entry(8, "New - P"),
+         _entry(big + 1, "Late - P"), _entry(big, "Late - P")],
+        [_entry(10, "New - P"), _entry(11, "Last - P")],
+    ]
+
+
+def _land(spark, tmp_path, rows, delay):
+    inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame(rows, ORDERED).repartition(3).write.mode("append").parquet(inbox)
+    stream = classified_stream(spark.readStream.schema(ORDERED).parquet(inbox), dimensions.event_types(), dimensions.metal_keywords(),
+                               dimensions.countries(), delay, order="ingest_ord")
+    stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_first_titles_of_batches_in_source_order_are_those_of_all(spark, tmp_path):
+    columns = [c.split()[0] for c in ORDERED.split(", ")]
+    for rows in _landings():
+        got = _land(spark, tmp_path, rows, "7 days")
+    entries = spark.createDataFrame([r for rows in _landings() for r in rows], ORDERED)
+    stripped = entries.withColumn("title_raw", F.trim("title_raw")).filter(F.length("title_raw") > 0)
+    want = feeds.first_by_title(stripped).select(*columns)
+    assert sorted(got.select(*columns).collect(), key=repr) == sorted(want.collect(), key=repr)
+    assert sorted(r.ingest_ord for r in got.collect()) == [1, 2, 8, 11, 1 << 62]
+    assert {r.title_raw: r.etype for r in got.collect()}["Strike at mine - P"] == "Labor Strike"
+
+
+def test_titles_pass_again_after_their_time(spark, tmp_path):
+    first = [_entry(1, "Same - P"), _entry(2, "Same - P")]
+    _land(spark, tmp_path, first, "10 seconds")
+    assert sorted(r.ingest_ord for r in _land(spark, tmp_path, [_entry(3, "Same - P")], "10 seconds").collect()) in ([1], [1, 3])  # the clock decides
+    time.sleep(11)
+    got = _land(spark, tmp_path, [_entry(5, "Same - P"), _entry(4, "Same - P")], "10 seconds")
+    assert {1, 4} <= {r.ingest_ord for r in got.collect()} and 5 not in {r.ingest_ord for r in got.collect()}

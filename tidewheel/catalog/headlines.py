@@ -15,6 +15,7 @@ from tidewheel.session import new_path
 from tidewheel.sources import dimensions as dims
 from tidewheel.sources import feeds, sinks
 from tidewheel.sources import tables as t
+from tidewheel.streaming.first import first_in_order
 from tidewheel.streaming.headlines import classified_stream
 
 # Oracle parts -----------------------------------------------------------------
@@ -325,6 +326,20 @@ CTES["streamed"] = _classified("streamed_titles", EVENT_WORDS, METAL_WORDS, dims
 CTES["streamed_titles"] = f"""SELECT DISTINCT {_head('title_raw')} AS title, title_raw FROM entries"""
 
 
+@query("streamed_first_titles", "SELECT min(doc_id) AS first_pos FROM documents GROUP BY text || ' - ' || source")
+def streamed_first_titles(spark: SparkSession, d: str) -> DataFrame:
+    """First entry of every whole raw title, of a stream in which the first half lands by itself and then all entries."""
+    inbox, out, state = (new_path(spark, n) for n in ("entries", "titles", "title-state"))
+    entries = t.feed_entries(spark, d).select("pos", F.sha2("title_raw", 256).alias("title_digest"))
+    middle = entries.agg(F.max("pos")).scalar() / 2
+    for landed in (entries.filter(F.col("pos") <= middle), entries):
+        landed.write.mode("append").parquet(inbox)
+        once = first_in_order(spark.readStream.schema(entries.schema).parquet(inbox), "title_digest", "pos", "7 days")
+        once.select(F.col("pos").alias("first_pos")).writeStream.format("parquet").option("checkpointLocation", state).trigger(
+            availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("first_pos bigint").parquet(out)
+
+
 @query("streamed_headlines", """SELECT etype, pressure, array_to_string(metals, ', ') AS metals, cause, country, count(*) AS n
 FROM streamed GROUP BY ALL""")
 def streamed_headlines(spark: SparkSession, d: str) -> DataFrame:
