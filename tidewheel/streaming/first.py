@@ -39,8 +39,7 @@ def first_in_order(rows: DataFrame, key: str, order: str, keep: str) -> DataFram
         now, best = 0, None
         for frame in frames:
             now = int(frame["_came_ms"].iloc[0])
-            near = frame[frame["_place"] == frame["_place"].min()]
-            found = (int(near["_place"].iloc[0]), near["_row"].min())
+            found = min(zip(frame["_place"].tolist(), frame["_row"].tolist(), strict=True))
             best = found if best is None else min(best, found)
         until = state.get[0] if state.exists else now
         if until <= now:
