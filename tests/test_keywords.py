@@ -75,3 +75,17 @@ def test_classify_looks_through_a_title_once(spark):
     # Two keywords of one type beat one of another; the first type wins ties.
     assert (got[0].etype, got[1].etype, got[1].country, got[3].metals) == ("Plant/Smelter Closure", "Plant/Smelter Closure", "Mali", ["Metals"])
     assert got[2].etype is None and got[2].country is None and got[2].metals == ["Metals"]
+
+
+def test_only_grams_of_the_dictionary_leave_a_text(spark, monkeypatch):
+    """Texts longer than a slice, keywords over its edges and of every gram size; other places of a text give no rows."""
+    monkeypatch.setattr(keywords, "SLICE", 10)
+    rng = random.Random(7)
+    texts = [(i, "".join(rng.choices("abé😀 ", k=rng.randint(0, 60)))) for i in range(80)] + [(900, "x" * 500), (901, "abé\0ab"), (902, "q" * 10 + "edge of it")]
+    words = [*{t[a: a + n] for _, t in texts[:20] for a, n in ((3, 1), (5, 2), (8, 3), (6, 4), (4, 7), (2, 8), (1, 15), (9, 30)) if len(t) > 40}, "é\0a", "qqedge of i", "zzz"]
+    bits = keywords._bits(keywords._keyword_grams(spark.createDataFrame([(w,) for w in words], "keyword string")))
+    assert sum(len(h) for _, h in keywords._grams_in(["xy" * 400, "", None], bits, list(keywords.GRAMS))) == 0
+    found = {w for w in words if len(w) == 8 for _, h in keywords._grams_in([t for _, t in texts if w in t], bits, [8]) if len(h)}
+    assert found == {w for w in words if len(w) == 8}
+    docs, dictionary = spark.createDataFrame(texts, "id long, body string"), spark.createDataFrame([(w,) for w in words], "keyword string")
+    assert sorted(tuple(r) for r in keywords._by_grams(docs, "id", "body", dictionary).collect()) == brute(texts, words)
