@@ -93,3 +93,37 @@ def test_titles_pass_again_after_their_time(spark, tmp_path):
     time.sleep(11)
     got = _land(spark, tmp_path, [_entry(5, "Same - P"), _entry(4, "Same - P")], "10 seconds")
     assert {1, 4} <= {r.ingest_ord for r in got.collect()} and 5 not in {r.ingest_ord for r in got.collect()}
+
+
+def test_state_of_first_titles_row_by_row():
+    """No frame is made for a key; an old timer leaves the state of a later pass alone."""
+    from pyspark.sql import Row
+
+    from tidewheel.streaming.first import _First
+
+    class State:
+        value = None
+        get = lambda self: self.value
+        clear = lambda self: setattr(self, "value", None)
+        update = lambda self, value: setattr(self, "value", value)
+
+    class Handle:
+        timers = []
+        state = State()
+        getValueState = lambda self, *_: self.state
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class Expired:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = lambda: at
+
+    first, handle = _First(100), Handle()
+    first.init(handle)
+
+    def batch(now, *places):
+        return [r["_row"] for r in first.handleInputRows(("k",), iter([Row(_key="k", _place=p, _row=f"r{p}", _came_ms=now) for p in places]), None)]
+
+    assert (batch(1000, 3, 1, 2), batch(1050, 0), batch(1100, 9, 8)) == (["r1"], [], ["r8"])
+    assert handle.timers == [1100, 1200]
+    assert list(first.handleExpiredTimer(("k",), None, Expired(1100))) == [] and handle.state.value == (1200,)
+    assert list(first.handleExpiredTimer(("k",), None, Expired(1200))) == [] and handle.state.value is None
