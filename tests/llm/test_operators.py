@@ -316,6 +316,29 @@ def test_sharding(spark):
         sharding.lookup_table(spark, ("a", "b"), 100)
 
 
+def test_groups_of_long_lines_take_linear_steps(spark):
+    """Ten times the tokens take far less than a hundred times the steps: no fold over the places within a loop over them."""
+    plan = spark.range(1).select(line_templates._groups(F.split(F.lit("a b c d e f"), " ")).alias("g"))._jdf.queryExecution().analyzed().toString()
+    at = [m.start() for m in re.finditer(r"aggregate\(", plan)]
+    assert len(at) == 1 and "but" not in plan[:at[0]]
+    text = F.transform(F.sequence(F.lit(0), F.col("id").cast("int")), lambda i: F.lit("w"))
+    sizes = spark.range(10).select(F.size(line_templates._groups(text)).alias("n")).collect()
+    assert [r.n for r in sizes][3:] == [2 + (0 if k == 1 else min(k, int((k + 3) * 0.3 + 1e-9) + 1)) + k - 1 for k in range(1, 8)]
+
+
+def test_lines_are_masked_again_only_where_they_are_held(spark):
+    """Of the copies of a line one place is looked at again; blanks, tabs and digits are masked as by the plain patterns."""
+    text = "\n".join(["the vessel left port 12 at noon", "the vessel  left\tport 7a at dusk", " x9 y", "no digits in this line", "1 2 3", "", "a b1c d2 3e <*>"])
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    lines = line_templates.lines_of(docs, 1)
+    got = {r.pos: r.line for r in lines.filter("doc_id = 0").collect()}
+    assert got == {0: "the vessel left port <*> at noon", 1: "the vessel left port <*> at dusk", 2: "x9 y", 3: "no digits in this line", 4: "<*> <*> <*>",
+                   6: "a <*> <*> <*> <*>"}
+    one = lines.groupBy("leaf", "key").agg(F.min(F.xxhash64(*line_templates.PLACE)).alias("at"))
+    held = line_templates._held_lines(docs, one).collect()
+    assert {r.line for r in held} == {v for v in got.values() if v.count(" ") > 1} and len(held) < 40
+
+
 def test_line_templates(spark, rows):
     note = "Copyright {} by the house of words all rights"
     texts = [f"{w}{w} opens a text of its own\n{note.format(2000 + i)}\nend" for i, w in enumerate("abcdef")] + [None, "", "short\nshort"]

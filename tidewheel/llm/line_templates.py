@@ -15,8 +15,8 @@ lines that differ in a word don't show that this word is a variable: a template
 needs a document more, unless it has ``LONG_TOKENS`` tokens.
 
 All lines go through the shuffle as hashes only. The words and the groups are needed just for
-lines of leaves with several masked lines; a bitmap of fixed size over those leaves
-keeps most other lines out of that shuffle. Counts are partial before every
+lines of leaves with several masked lines, each from one place that holds it; a bitmap of fixed size over those
+places keeps most other lines from being masked again and out of that shuffle. Counts are partial before every
 shuffle, so a line that a third of all documents share costs a row per task.
 """
 
@@ -45,33 +45,62 @@ def masked(line: Column) -> Column:
 
     A line of one or two tokens keeps its digits: with a blank it would have too few constant places.
     """
-    plain = F.when(line.rlike(r"[\t\r]|\x20\x20"), F.regexp_replace(line, r"[\x20\t\r]+", " ")).otherwise(line)
-    return let(F.trim(plain), lambda own: F.when(own.rlike("[0-9]") & own.rlike(r"\x20[^\x20]*\x20"), F.regexp_replace(own, r"[^\x20]*[0-9][^\x20]*", BLANK)).otherwise(own))
+    uneven = line.contains("\t") | line.contains("\r") | line.contains("  ")
+    plain = F.when(uneven, F.regexp_replace(line, r"[\x20\t\r]+", " ")).otherwise(line)
+    # A token is looked at once, from its start.
+    return let(F.trim(plain), lambda own: F.when(own.rlike("[0-9]") & own.rlike(r"\x20[^\x20]*\x20"), F.regexp_replace(
+        own, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", BLANK)).otherwise(own))
+
+
+def _parsed(line: Column) -> Column:
+    """line (masked), count of tokens, leaf, key."""
+    def of(own: Column) -> Column:
+        count = F.octet_length(own) - F.octet_length(F.replace(own, F.lit(" "), F.lit(""))) + 1
+        return let(count, lambda n: F.struct(own.alias("line"), n.alias("count"), F.xxhash64(n, F.substring_index(own, " ", DEPTH)).alias("leaf"),
+                                             F.xxhash64(own).alias("key")))
+
+    return let(masked(line), of)
 
 
 def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, body (hash of the text), pos (from 0), line (masked), leaf, key of each line of at least ``min_tokens`` tokens.
 
-    Lines are masked before they become rows, so no later filter or column repeats that work.
+    Lines are masked and hashed before they become rows, so no later filter or column repeats that work.
     """
-    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), masked).alias("lines"))
-    lines = own.select("doc_id", "body", F.posexplode("lines").alias("pos", "line"))
-    count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return lines.withColumn("count", count).filter((F.col("count") >= min_tokens) & (F.col("line") != "")).select(
-        "doc_id", "body", "pos", "line", F.xxhash64("count", F.substring_index("line", " ", DEPTH)).alias("leaf"),
-        F.xxhash64("line").alias("key"))
+    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), _parsed).alias("lines"))
+    return _kept(own.select("doc_id", "body", F.posexplode("lines").alias("pos", "parsed")), min_tokens)
+
+
+def _kept(lines: DataFrame, min_tokens: int) -> DataFrame:
+    return lines.filter((F.col("parsed.count") >= min_tokens) & (F.col("parsed.line") != "")).select(
+        "doc_id", "body", "pos", "parsed.line", "parsed.leaf", "parsed.key")
+
+
+#: What names a line in its document.
+PLACE = ("doc_id", "body", "pos")
+
+
+def _held_lines(docs: DataFrame, variants: DataFrame) -> DataFrame:
+    """leaf, key, line of the places ``at`` of ``variants``, and maybe of others; only these lines are masked again."""
+    raw = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    placed = raw.withColumn("at", F.xxhash64(*PLACE)).filter(maybe_in(variants, "at"))
+    return _kept(placed.withColumn("parsed", _parsed(F.col("raw"))), MIN_TOKENS).select("leaf", "key", "line")
 
 
 def _groups(tokens: Column) -> Column:
     """Hashes of the groups of a line within its leaf, from its tokens; the leading ``DEPTH`` are the same in all of them."""
     def of_rest(hashes: Column) -> Column:
         n = F.size(hashes)
-        whole = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
         runs = F.least(n, F.floor(F.round((n + DEPTH) * (1 - SIMILARITY), 6)).cast("int") + 1)
-        bound = lambda k: F.floor(k * n / runs).cast("int")
-        but_one = F.transform(hashes, lambda h, i: F.xxhash64(F.lit("but"), i, whole.bitwiseXOR(h)))
-        own_run = F.when(n > 1, F.transform(F.sequence(F.lit(0), runs - 1), lambda k: F.xxhash64(
-            F.lit("run"), k, F.slice(hashes, bound(k) + 1, bound(k + 1) - bound(k))))).otherwise(F.array().cast("array<bigint>"))
+        # Named once: inside the lambda over the places it would be folded anew for each of them.
+        but_one = let(F.aggregate(hashes, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)), lambda whole: F.transform(
+            hashes, lambda h, i: F.xxhash64(F.lit("but"), i, whole.bitwiseXOR(h))))
+
+        def of_runs(count: Column) -> Column:
+            bound = lambda k: F.floor(k * n / count).cast("int")
+            return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.xxhash64(F.lit("run"), k, F.slice(hashes, bound(k) + 1, bound(k + 1) - bound(k))))
+
+        own_run = F.when(n > 1, let(runs, of_runs)).otherwise(F.array().cast("array<bigint>"))
         return F.concat(F.array(F.xxhash64(F.lit("all"))), but_one, own_run)
 
     return let(F.transform(F.slice(tokens, DEPTH + 1, F.size(tokens)), lambda t, i: F.xxhash64(i, t)), of_rest)
@@ -82,8 +111,9 @@ def _grouped(variants: DataFrame) -> DataFrame:
 
     Groups of the same lines of a leaf count once.
     """
-    member = materialize(variants.select("leaf", "key", "docs", F.explode(_groups(F.split("line", " "))).alias("group")).withColumn(
-        "group", F.xxhash64("leaf", "group")), "groups")
+    own = F.transform(_groups(F.split("line", " ")), lambda g: F.xxhash64("leaf", g))
+    member = materialize(variants.select("leaf", "key", "docs", own.alias("groups")), "groups").select(
+        "leaf", "key", "docs", F.explode("groups").alias("group"))
     sizes = member.groupBy("group").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("group_docs"),
                                         F.bit_xor(F.xxhash64("key")).alias("own")).filter(F.col("kinds") > 1)
     chosen = sizes.groupBy("leaf", "kinds", "group_docs", "own").agg(F.min("group").alias("group")).select("group", "group_docs")
@@ -108,13 +138,13 @@ def _templates(grouped: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, body and the positions of dropped lines, for texts that lose any."""
     hashed = materialize(lines_of(docs, min_tokens).select("doc_id", "body", "pos", "leaf", "key"), "lines")
-    once = hashed.groupBy("leaf", "key", "doc_id").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    variants = once.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs"))
+    once = hashed.groupBy("leaf", "key", "doc_id").agg(F.min(F.xxhash64(*PLACE)).alias("at"))
+    variants = once.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("at"))
     leaves = variants.groupBy("leaf").agg(
         F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("kinds")).filter(F.col("leaf_docs") >= min_docs)
     crowded = materialize(variants.join(leaves, "leaf"), "leaves")
     mixed = crowded.filter(F.col("kinds") > 1)
-    words = lines_of(docs).filter(maybe_in(mixed, "leaf")).groupBy("leaf", "key").agg(F.first("line").alias("line"))
+    words = _held_lines(docs, mixed).groupBy("leaf", "key").agg(F.first("line").alias("line"))
     variants = materialize(mixed.join(words, ["leaf", "key"]).select("leaf", "key", "docs", "line"), "variants")
     templates = _templates(_grouped(variants))
     # Every line goes by its key too: the copies of one line recur, whatever becomes of its template.
@@ -134,9 +164,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
 
 def _without(lines: Column, dropped: Column) -> Column:
     """The lines but for the dropped places, as the runs between them."""
-    bound = F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(lines)))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda i: F.slice(
-        lines, bound[i] + 2, bound[i + 1] - bound[i] - 1)))
+    def between(own: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(own)))
+        return let(bounds, lambda bound: F.flatten(F.transform(F.sequence(F.lit(0), F.size(dropped)), lambda i: F.slice(
+            own, bound[i] + 2, bound[i + 1] - bound[i] - 1))))
+
+    return let(lines, between)
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
