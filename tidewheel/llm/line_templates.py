@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.bitmaps import maybe_in
 from tidewheel.llm.columns import let
-from tidewheel.session import materialize
+from tidewheel.session import materialize, settle
 
 DEPTH = 3
 MIN_DOCS = 2
@@ -73,16 +73,17 @@ def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
 
 def _kept(lines: DataFrame, min_tokens: int) -> DataFrame:
     return lines.filter((F.col("parsed.count") >= min_tokens) & (F.col("parsed.line") != "")).select(
-        "doc_id", "body", "pos", "parsed.line", "parsed.leaf", "parsed.key")
+        *[c for c in lines.columns if c in ("doc_id", "body", "pos")], "parsed.line", "parsed.leaf", "parsed.key")
 
 
-#: What names a line in its document.
-PLACE = ("doc_id", "body", "pos")
+#: What names a line; the lines of several texts of one doc_id may share a place.
+PLACE = ("doc_id", "pos")
 
 
 def _held_lines(docs: DataFrame, variants: DataFrame) -> DataFrame:
     """leaf, key, line of the places ``at`` of ``variants``, and maybe of others; only these lines are masked again."""
-    raw = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    # No column but doc_id goes through the generator, which would copy or hash the text for each line.
+    raw = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     placed = raw.withColumn("at", F.xxhash64(*PLACE)).filter(maybe_in(variants, "at"))
     return _kept(placed.withColumn("parsed", _parsed(F.col("raw"))), MIN_TOKENS).select("leaf", "key", "line")
 
@@ -138,19 +139,23 @@ def _templates(grouped: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, body and the positions of dropped lines, for texts that lose any."""
     hashed = materialize(lines_of(docs, min_tokens).select("doc_id", "body", "pos", "leaf", "key"), "lines")
-    once = hashed.groupBy("leaf", "key", "doc_id").agg(F.min(F.xxhash64(*PLACE)).alias("at"))
-    variants = once.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("at"))
+    once = hashed.groupBy("leaf", "key", "doc_id").agg(F.min("pos").alias("pos"))
+    variants = once.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.xxhash64(*PLACE)).alias("at"))
     leaves = variants.groupBy("leaf").agg(
         F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("kinds")).filter(F.col("leaf_docs") >= min_docs)
     crowded = materialize(variants.join(leaves, "leaf"), "leaves")
+    settle(docs.sparkSession)  # each of these steps shuffled all lines or all groups
     mixed = crowded.filter(F.col("kinds") > 1)
     words = _held_lines(docs, mixed).groupBy("leaf", "key").agg(F.first("line").alias("line"))
     variants = materialize(mixed.join(words, ["leaf", "key"]).select("leaf", "key", "docs", "line"), "variants")
-    templates = _templates(_grouped(variants))
+    grouped = _grouped(variants)
+    settle(docs.sparkSession)
+    templates = _templates(grouped)
     # Every line goes by its key too: the copies of one line recur, whatever becomes of its template.
     named = materialize(crowded.filter(F.col("docs") >= min_docs).select("key", F.col("key").alias("name"), "docs", F.lit(0).alias("more")).union(
         templates.filter(F.col("share") >= SIMILARITY).select(
             "key", F.xxhash64("leaf", "template").alias("name"), "docs", "more").distinct()), "templates")
+    settle(docs.sparkSession)
     # A document may have several lines of one template: first by their sum, then by documents.
     likely = named.groupBy("name").agg(F.sum("docs").alias("n"), F.max("more").alias("least")).withColumn(
         "least", F.col("least") + min_docs).filter(F.col("n") >= F.col("least")).select("name", "least")
