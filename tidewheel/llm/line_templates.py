@@ -108,25 +108,27 @@ def _groups(tokens: Column) -> Column:
 
 
 def _grouped(variants: DataFrame) -> DataFrame:
-    """leaf, key, line, docs, group, group_docs of masked lines (leaf, key, line, docs), one row for each group with other lines.
+    """leaf, key, line, docs, group of masked lines (leaf, key, line, docs), one row for each group with other lines.
 
     Groups of the same lines of a leaf count once.
     """
     own = F.transform(_groups(F.split("line", " ")), lambda g: F.xxhash64("leaf", g))
-    member = materialize(variants.select("leaf", "key", "docs", own.alias("groups")), "groups").select(
-        "leaf", "key", "docs", F.explode("groups").alias("group"))
-    sizes = member.groupBy("group").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("group_docs"),
+    member = materialize(variants.select("key", "docs", own.alias("groups")), "groups").select(
+        "key", "docs", F.explode("groups").alias("group"))
+    # A key is of one leaf, so the keys of a group tell its leaf.
+    sizes = member.groupBy("group").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("group_docs"),
                                         F.bit_xor(F.xxhash64("key")).alias("own")).filter(F.col("kinds") > 1)
-    chosen = sizes.groupBy("leaf", "kinds", "group_docs", "own").agg(F.min("group").alias("group")).select("group", "group_docs")
-    return materialize(member.join(chosen, "group").select("key", "group", "group_docs").join(variants, "key"), "grouped")
+    chosen = sizes.groupBy("kinds", "group_docs", "own").agg(F.min("group").alias("group")).select("group")
+    return materialize(member.select("key", "group").join(chosen, "group").join(variants, "key"), "grouped")
 
 
 def _templates(grouped: DataFrame) -> DataFrame:
     """leaf, key, docs, share (of constant places), template, more (documents it needs beyond others) of each line in each of its groups."""
-    placed = grouped.select("group", "docs", "group_docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    support = placed.groupBy("group", "place", "token").agg(F.sum("docs").alias("held"), F.first("group_docs").alias("group_docs"))
+    placed = grouped.select("group", "docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    support = placed.groupBy("group", "place", "token").agg(F.sum("docs").alias("held"))
+    # A line has one token at a place, so the sum over its tokens is the documents of the group.
     most = support.groupBy("group", "place").agg(F.max_by("token", F.struct("held", "token")).alias("token"),
-                                                 ((2 * F.max("held") >= F.first("group_docs")) & (F.max("held") > 1)).alias("constant"))
+                                                 ((2 * F.max("held") >= F.sum("held")) & (F.max("held") > 1)).alias("constant"))
     shapes = most.groupBy("group").agg(F.sort_array(F.collect_list(F.struct(
         "place", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(BLANK)).alias("token")))).alias("shape"))
     template = F.zip_with(F.split("line", " "), F.col("shape.token"), lambda own, constant: F.when(own == constant, own).otherwise(F.lit(BLANK)))
