@@ -224,6 +224,24 @@ def test_bpe(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_folds_pairs_of_ids(spark):
+    """The fold's table holds each pair of ids that joins to a token, and made-up words have the library's ids, whether known or not."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    of = bpe.merges(ranks)
+    bytes_of = {rank: token for token, rank in ranks.items()}
+    assert len(of) > 50_000 and all(bytes_of[pair >> 16] + bytes_of[pair & 65535] == bytes_of[rank] for pair, rank in list(of.items())[::97])
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(["th", "en", "é", "ß", "lich", "aa", "X", "中", "o"], rng.integers(1, 12))) for _ in range(200)]
+    texts = [" ".join(words[k: k + 50]) for k in range(0, 200, 25)] + ["\0 \0\0", "aaaaaaaaaaaaaaa"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encoded(docs, path).collect():
+        ids = plain.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 16))

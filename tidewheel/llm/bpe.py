@@ -1,9 +1,9 @@
 """Byte-level BPE in Spark's higher-order functions: encoding by a fold of ranked merges, and decoding.
 
-A piece of bytes is a string with one sign (U+0000 to U+00FF) for each byte, and a word an array of
-pieces that starts as single bytes. The fold takes the adjacent pair whose joined bytes have the smallest rank, leftmost first, and
-joins it, until no pair has a rank. Ranks are a literal map in the plan: slots by hash, so that a look-up reads
-two at most. An id is one sign too, followed by U+0000, so that ids in UTF-16LE are little-endian 32-bit numbers.
+A word is folded as one array of numbers, one for each piece: the rank of the piece together with the one before it, the byte where
+it starts and its id, from the highest bits down. So the least number is the pair of the smallest rank, leftmost first. That rank is
+the id of the joined piece, and pairs of ids find their ranks in a literal map in the plan, which reads two slots at most. An id of a
+text is one sign, so that ids with U+0000 after each are little-endian 32-bit numbers in UTF-16LE.
 
 Words are counted over the corpus and the ``MAX_WORDS`` most frequent are folded once; their ids are a literal of
 bounded size as well. A rarer word is folded where it stands, so texts never go through a shuffle. Decoding
@@ -13,6 +13,8 @@ looks up each id's bytes and concatenates them.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,10 @@ from tidewheel.llm.columns import let
 MAX_WORDS = 1 << 17
 #: Slots of a literal map.
 RANK_SLOTS, WORD_SLOTS = 1 << 17, 1 << 18
+#: A pair of ids is at one of its remainders by these.
+PAIR_SLOTS = 271_003, 299_539
+#: Numbers of the fold: the bit where ranks begin, the bits of where a piece starts, and what is no id and no rank.
+RANK, START, END = 40, 0xFFFFFF0000, 0xFFFF
 # Signs beyond those of bytes, to part the entries of a literal.
 _SLOT, _FREE = "\u0100", "\u0101"
 # Private-use signs for words, which may hold any sign; words with one of these are not in the literal.
@@ -46,9 +52,13 @@ def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
 
 
 def slots_of(key: Column, count: int) -> tuple[Column, Column]:
-    """The two slots that a key may be in."""
-    return (F.pmod(F.xxhash64(key), F.lit(count)).cast("int"),
-            F.pmod(F.shiftrightunsigned(F.xxhash64(key), 24), F.lit(count)).cast("int"))
+    """The two slots that a key may be in; ``count`` is a power of two."""
+    return F.xxhash64(key).bitwiseAND(count - 1), F.shiftrightunsigned(F.xxhash64(key), 24).bitwiseAND(count - 1)
+
+
+def choose(condition: Column, one: Column, other: Column) -> Column:
+    """``one`` or ``other``; ``when`` looks at its list of branches each time it runs."""
+    return F.call_function("if", condition, one, other)
 
 
 def placed(slots: list[tuple[int, int]], count: int, moves: int = 200) -> dict[int, int]:
@@ -65,27 +75,60 @@ def placed(slots: list[tuple[int, int]], count: int, moves: int = 200) -> dict[i
     return at
 
 
+def looked_up(table: Column, key: Column, slots: tuple[Column, Column], otherwise: Column) -> Column:
+    """The value of ``key`` in one of its two slots of ``table`` (keys, values), or ``otherwise``, which runs only then."""
+    first, second = slots
+    return choose(table["keys"][first] == key, table["values"][first],
+                  choose(table["keys"][second] == key, table["values"][second], otherwise))
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
+def _longs(values: Iterable[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 class LiteralMap:
-    """Keys and values in arrays of the plan; a look-up reads two slots at most.
+    """Texts and their values in arrays of the plan; a look-up reads two slots at most.
 
     The arrays are one literal, ``table``, which an expression names once (``let``): each mention of it would be a copy.
     """
 
-    def __init__(self, keys: list[str], values: list[str], slots: list[tuple[int, int]], count: int, marks: tuple[str, str],
-                 kind: str = "string", whole: bool = False) -> None:
+    def __init__(self, keys: list[str], values: list[str], slots: list[tuple[int, int]], count: int, marks: tuple[str, str], whole: bool = False) -> None:
         at = placed(slots, count)
         if whole and len(at) < len(keys):
             raise ValueError("the slots are too few for the keys")
         self.count = count
         # A free slot holds a mark, which no key is.
-        own = F.split(F.lit(marks[0].join(keys[at[k]] if k in at else marks[1] for k in range(count))), marks[0])
-        held = F.split(F.lit(marks[0].join(values[at[k]] if k in at else ("" if kind == "string" else "0") for k in range(count))), marks[0])
-        self.table = F.struct(own.alias("keys"), (held if kind == "string" else held.cast(f"array<{kind}>")).alias("values"))
+        own, held = (F.split(F.lit(marks[0].join(texts[at[k]] if k in at else free for k in range(count))), marks[0])
+                     for texts, free in ((keys, marks[1]), (values, "")))
+        self.table = F.struct(own.alias("keys"), held.alias("values"))
 
-    def find(self, table: Column, key: Column) -> Column:
-        """The value of ``key``, or null; ``table`` is what names this map's literal."""
-        first, second = slots_of(key, self.count)
-        return F.coalesce(*(let(slot, lambda k: F.when(F.get(table["keys"], k) == key, F.get(table["values"], k))) for slot in (first, second)))
+    def find(self, table: Column, key: Column, otherwise: Column) -> Column:
+        """The value of ``key``; ``table`` is what names this map's literal."""
+        return looked_up(table, key, slots_of(key, self.count), otherwise)
+
+
+def merges(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of each two ids whose joined bytes have one, by the first id in 16 bits and the second in 16."""
+    return {ranks[token[:k]] << 16 | ranks[token[k:]]: rank for token, rank in ranks.items()
+            for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks}
+
+
+def merge_table(ranks: dict[bytes, int]) -> Column:
+    """keys, values: slots of the pairs of ids and their ranks; bytes: the id of each byte; pairs: the rank of each two bytes."""
+    of = merges(ranks)
+    keys = list(of)
+    at = placed([tuple(k % m for m in PAIR_SLOTS) for k in keys], max(PAIR_SLOTS))
+    if len(at) < len(keys):
+        raise ValueError("the slots are too few for the pairs")
+    # No pair is -1.
+    return F.struct(_longs(keys[at[k]] if k in at else -1 for k in range(max(PAIR_SLOTS))).alias("keys"),
+                    _longs(of[keys[at[k]]] << RANK if k in at else 0 for k in range(max(PAIR_SLOTS))).alias("values"),
+                    _longs(ranks[bytes([b])] for b in range(256)).alias("bytes"),
+                    _longs(ranks.get(bytes([a, b]), END) << RANK for a in range(256) for b in range(256)).alias("pairs"))
 
 
 class Tokenizer:
@@ -103,46 +146,52 @@ class Tokenizer:
         spark = docs.sparkSession
         hashed = spark.createDataFrame(pieces, "piece string, rank int").select(
             "piece", "rank", F.array(*slots_of(F.col("piece"), RANK_SLOTS)).alias("slots")).toArrow().to_pydict()
-        self.ranks = LiteralMap(hashed["piece"], [str(r) for r in hashed["rank"]], hashed["slots"], RANK_SLOTS, (_SLOT, _FREE), "int", whole=True)
+        # An id's sign may be one of the marks of other literals.
+        self.whole = LiteralMap(hashed["piece"], [str(r) for r in hashed["rank"]], hashed["slots"], RANK_SLOTS, (_SLOT, _FREE), whole=True)
+        self.ranks = F.struct(self.whole.table.alias("whole"), merge_table(ranks).alias("merges"))
         self.known: LiteralMap | None = None
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _merge(self, table: Column, state: Column) -> Column:
-        """One step of the fold: the pair of the smallest rank becomes one piece; ``ranks`` has each piece's rank with the next."""
-        pieces, ranks = state["pieces"], state["ranks"]
-
-        def joined(at: Column) -> Column:  # ``at`` from 1
-            return let(F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1)), lambda new: F.struct(
-                F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(new), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
-                F.concat(
-                    F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(self.ranks.find(table, F.concat(F.get(pieces, at - 2), new)))))
-                    .otherwise(F.array().cast("array<int>")),
-                    F.when(at + 1 < F.size(pieces), F.concat(F.array(self.ranks.find(table, F.concat(new, F.get(pieces, at + 1)))),
-                                                             F.slice(ranks, at + 2, F.size(ranks))))
-                    .otherwise(F.array().cast("array<int>"))).alias("ranks")))
-
-        best = F.array_min(ranks)
-        return F.when(best.isNull(), state).otherwise(let(F.array_position(ranks, best).cast("int"), joined))
+    def _rank(self, table: Column, left: Column, right: Column) -> Column:
+        """The rank of two ids in its bits; ``END`` if they have none."""
+        key = left * 65536 + right
+        return looked_up(table, key, (key % _long(PAIR_SLOTS[0]), key % _long(PAIR_SLOTS[1])), _long(END << RANK))
+
+    def _merge(self, table: Column, own: Column) -> Column:
+        """One step of the fold: the pair of the smallest rank becomes one piece. An ``END`` stands at both sides of the word."""
+        def joined(at: Column) -> Column:  # the second piece of the pair, from 1
+            left, right = own[at - 2], own[at]
+            new = F.shiftright(own[at - 1], RANK)
+            return F.flatten(F.array(
+                F.slice(own, F.lit(1), at - 2),
+                F.array(self._rank(table, own[at - 3].bitwiseAND(END), new) + left.bitwiseAND(START) + new,
+                        self._rank(table, new, right.bitwiseAND(END)) + right.bitwiseAND(START | END)),
+                F.slice(own, at + 2, F.size(own))))
+
+        best = F.array_min(own)
+        return choose(best >= _long(END << RANK), own, let(F.array_position(own, best).cast("int"), joined))
 
     def fold(self, table: Column, word: Column) -> Column:
         """Ids of a word, as signs; ``table`` names the ranks."""
-        def split(raw: Column) -> Column:
-            return let(F.split(raw, "(?!^)"), lambda bytes_: F.aggregate(
-                F.sequence(F.lit(2), F.greatest(F.size(bytes_), F.lit(2))),
-                F.struct(bytes_.alias("pieces"), F.transform(F.slice(bytes_, F.lit(2), F.size(bytes_)), lambda b, i: self.ranks.find(
-                    table, F.concat(F.get(bytes_, i), b))).alias("ranks")),
-                lambda state, _: self._merge(table, state),
-                lambda state: F.array_join(F.transform(state["pieces"], lambda p: self._sign(self.ranks.find(table, p))), "")))
+        def split(codes: Column) -> Column:
+            end = F.array(_long(END << RANK | END))
+            pieces = F.transform(codes, lambda b, i: F.coalesce(
+                table["merges"]["pairs"][F.get(codes, i - 1) * 256 + b], _long(END << RANK)) + i.cast("long") * 65536 + table["merges"]["bytes"][b])
+            return F.aggregate(codes, F.flatten(F.array(end, pieces, end)), lambda own, _: self._merge(table["merges"], own), lambda own: F.array_join(
+                F.transform(F.slice(own, F.lit(2), F.size(own) - 2), lambda p: self._sign(p.bitwiseAND(END))), ""))
 
-        raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        return let(raw, lambda r: let(self.ranks.find(table, r), lambda whole: F.when(whole.isNotNull(), self._sign(whole)).otherwise(split(r))))
+        def whole(raw: Column) -> Column:
+            rank = self.whole.find(table["whole"], raw, F.lit(""))
+            return let(rank, lambda r: choose(r != "", self._sign(r.try_cast("int")), let(F.transform(F.split(raw, ""), F.ascii), split)))
+
+        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
 
     @staticmethod
     def _sign(rank: Column) -> Column:
-        """The sign of an id, and U+0000."""
-        return F.decode(F.unhex(F.concat(F.lpad(F.hex(rank), 4, "0"), F.lit("0000"))), "UTF-16BE")
+        """The sign of an id."""
+        return F.decode(F.unhex(F.lpad(F.hex(rank), 4, "0")), "UTF-16BE")
 
     def learn_words(self, docs: DataFrame, most: int = MAX_WORDS) -> None:
         """Put the ids of the most frequent words of all texts into the plan of later columns."""
@@ -150,24 +199,20 @@ class Tokenizer:
         top = counts.filter(~F.col("word").rlike(f"[{_WORD_SLOT}{_WORD_FREE}]") & (F.col("count") > 1)).orderBy(
             F.desc("count"), "word").limit(most)
         rows = top.repartition(F.col("word")).select(
-            "word", let(self.ranks.table, lambda t: self.fold(t, F.col("word"))).alias("ids"), F.array(*slots_of(F.col("word"), WORD_SLOTS)).alias("slots")).toArrow().to_pydict()
+            "word", let(self.ranks, lambda t: self.fold(t, F.col("word"))).alias("ids"), F.array(*slots_of(F.col("word"), WORD_SLOTS)).alias("slots")).toArrow().to_pydict()
         self.known = LiteralMap(rows["word"], rows["ids"], rows["slots"], WORD_SLOTS, (_WORD_SLOT, _WORD_FREE))
 
     def encode(self, text: Column) -> Column:
-        """Array of the ids of each word, as signs."""
+        """The ids of a text, a sign each."""
         if self.known is None:
-            return let(self.ranks.table, lambda t: F.transform(self.words(text), lambda word: self.fold(t, word)))
-        both = F.struct(self.ranks.table.alias("ranks"), self.known.table.alias("words"))
-        return let(both, lambda t: F.transform(self.words(text), lambda word: F.coalesce(
-            self.known.find(t["words"], word), self.fold(t["ranks"], word))))
+            return let(self.ranks, lambda t: F.array_join(F.transform(self.words(text), lambda word: self.fold(t, word)), ""))
+        both = F.struct(self.ranks.alias("ranks"), self.known.table.alias("words"))
+        return let(both, lambda t: F.array_join(F.transform(self.words(text), lambda word: self.known.find(
+            t["words"], word, self.fold(t["ranks"], word))), ""))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids as signs, as binary."""
-        def word(own: Column) -> Column:
-            return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(own), F.lit(2)), lambda i: F.get(
-                self.pieces, F.ascii(F.substring(own, i, F.lit(1))))), "")
-
-        return F.encode(F.array_join(F.transform(ids, word), ""), "ISO-8859-1")
+        return F.encode(F.array_join(let(self.pieces, lambda pieces: F.transform(ids, lambda sign: pieces[F.ascii(sign)])), ""), "ISO-8859-1")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -178,7 +223,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.select("doc_id", "text")
     tokenizer = Tokenizer(docs, path)
     tokenizer.learn_words(docs)
-    rows = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
-    rows = rows.withColumns({"all": F.encode(F.array_join("ids", ""), "UTF-16LE"), "decoded": tokenizer.decode(F.col("ids"))})
-    return rows.select("doc_id", (F.octet_length("all") / 4).cast("long").alias("n_tokens"), F.sha2("all", 256).alias("ids_sha256"),
+    rows = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("signs"))
+    # No sign splits into one empty text.
+    rows = rows.select("doc_id", F.when(F.col("signs") == "", F.array().cast("array<string>")).otherwise(F.split("signs", "")).alias("ids"))
+    rows = rows.withColumns({"all": F.encode(F.when(F.size("ids") > 0, F.concat(F.array_join("ids", "\0"), F.lit("\0"))).otherwise(""), "UTF-16LE"),
+                             "decoded": tokenizer.decode(F.col("ids"))})
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("all", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
