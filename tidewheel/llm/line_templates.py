@@ -38,6 +38,8 @@ MIN_TOKENS = 3
 #: Share of constant places that an instance of a template must have.
 SIMILARITY = 0.7
 BLANK = "<*>"
+#: Signs, but for two blanks, that make a line differ from its masked form; single signs are looked up in one table.
+ODD = r"[\t\r0123456789]"
 
 
 def masked(line: Column) -> Column:
@@ -46,34 +48,28 @@ def masked(line: Column) -> Column:
     A line of one or two tokens keeps its digits: with a blank it would have too few constant places.
     """
     uneven = line.contains("\t") | line.contains("\r") | line.contains("  ")
-    plain = F.when(uneven, F.regexp_replace(line, r"[\x20\t\r]+", " ")).otherwise(line)
+    own = F.trim(F.when(uneven, F.regexp_replace(line, r"[\x20\t\r]+", " ")).otherwise(line))
     # A token is looked at once, from its start.
-    return let(F.trim(plain), lambda own: F.when(own.rlike("[0-9]") & own.rlike(r"\x20[^\x20]*\x20"), F.regexp_replace(
-        own, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", BLANK)).otherwise(own))
+    changed = F.when(own.rlike("[0-9]") & own.rlike(r"\x20[^\x20]*\x20"), F.regexp_replace(
+        own, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", BLANK)).otherwise(own)
+    # A line without these signs, as most are, is read twice and not four times.
+    return F.when(line.contains("  ") | line.rlike(ODD), changed).otherwise(F.trim(line))
 
 
-def _parsed(line: Column) -> Column:
-    """line (masked), count of tokens, leaf, key."""
-    def of(own: Column) -> Column:
-        count = F.octet_length(own) - F.octet_length(F.replace(own, F.lit(" "), F.lit(""))) + 1
-        return let(count, lambda n: F.struct(own.alias("line"), n.alias("count"), F.xxhash64(n, F.substring_index(own, " ", DEPTH)).alias("leaf"),
-                                             F.xxhash64(own).alias("key")))
-
-    return let(masked(line), of)
+def _parsed(rows: DataFrame, min_tokens: int) -> DataFrame:
+    """``raw`` as line (masked), leaf and key, for lines of at least ``min_tokens`` tokens; no higher-order function, which would be interpreted."""
+    # A filter does not go below a generator, so lines are masked once.
+    lines = rows.select(*[c for c in rows.columns if c != "raw"], F.explode(F.array(masked(F.col("raw")))).alias("line")).filter(F.col("line") != "")
+    count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    if min_tokens > 1:
+        lines = lines.filter(count >= min_tokens)
+    return lines.select("*", F.xxhash64(count, F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("key"))
 
 
 def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, body (hash of the text), pos (from 0), line (masked), leaf, key of each line of at least ``min_tokens`` tokens.
-
-    Lines are masked and hashed before they become rows, so no later filter or column repeats that work.
-    """
-    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), _parsed).alias("lines"))
-    return _kept(own.select("doc_id", "body", F.posexplode("lines").alias("pos", "parsed")), min_tokens)
-
-
-def _kept(lines: DataFrame, min_tokens: int) -> DataFrame:
-    return lines.filter((F.col("parsed.count") >= min_tokens) & (F.col("parsed.line") != "")).select(
-        *[c for c in lines.columns if c in ("doc_id", "body", "pos")], "parsed.line", "parsed.leaf", "parsed.key")
+    """doc_id, body (hash of the text), pos (from 0), line (masked), leaf, key of each line of at least ``min_tokens`` tokens."""
+    own = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("body"), F.split("text", "\n").alias("lines"))
+    return _parsed(own.select("doc_id", "body", F.posexplode("lines").alias("pos", "raw")), min_tokens)
 
 
 #: What names a line; the lines of several texts of one doc_id may share a place.
@@ -85,7 +81,7 @@ def _held_lines(docs: DataFrame, variants: DataFrame) -> DataFrame:
     # No column but doc_id goes through the generator, which would copy or hash the text for each line.
     raw = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     placed = raw.withColumn("at", F.xxhash64(*PLACE)).filter(maybe_in(variants, "at"))
-    return _kept(placed.withColumn("parsed", _parsed(F.col("raw"))), MIN_TOKENS).select("leaf", "key", "line")
+    return _parsed(placed.select("raw"), MIN_TOKENS).select("leaf", "key", "line")
 
 
 def _groups(tokens: Column) -> Column:
@@ -142,12 +138,15 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     """doc_id, body and the positions of dropped lines, for texts that lose any."""
     hashed = materialize(lines_of(docs, min_tokens).select("doc_id", "body", "pos", "leaf", "key"), "lines")
     once = hashed.groupBy("leaf", "key", "doc_id").agg(F.min("pos").alias("pos"))
-    variants = once.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.xxhash64(*PLACE)).alias("at"))
+    # Of the places of a line that in the document of the least hash, so that few documents hold all lines.
+    variants = once.withColumn("holder", F.xxhash64("doc_id")).groupBy("leaf", "key").agg(
+        F.count(F.lit(1)).alias("docs"), F.min_by(F.xxhash64(*PLACE), "holder").alias("at"), F.min("holder").alias("holder"))
     leaves = variants.groupBy("leaf").agg(
         F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("kinds")).filter(F.col("leaf_docs") >= min_docs)
     crowded = materialize(variants.join(leaves, "leaf"), "leaves")
     mixed = crowded.filter(F.col("kinds") > 1)
-    words = _held_lines(docs, mixed).groupBy("leaf", "key").agg(F.first("line").alias("line"))
+    holders = docs.withColumn("holder", F.xxhash64("doc_id")).filter(maybe_in(mixed, "holder")).drop("holder")
+    words = _held_lines(holders, mixed).groupBy("leaf", "key").agg(F.first("line").alias("line"))
     variants = materialize(mixed.join(words, ["leaf", "key"]).select("leaf", "key", "docs", "line"), "variants")
     templates = _templates(_grouped(variants))
     # Every line goes by its key too: the copies of one line recur, whatever becomes of its template.
