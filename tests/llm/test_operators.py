@@ -444,3 +444,17 @@ def test_near_duplicates_of_repeated_ids(spark):
     kept = [t for i, t in got.elements() if i in (11, 12)]
     assert len(kept) == 1 and kept[0].startswith(near)
     assert {k: n for k, n in got.items() if k[0] != 11} == {(3, b): 1, (5, a): 1, (9, z): 1, (13, None): 1, (13, ""): 1, (None, a): 2}
+
+
+def test_templates_shuffle_places_twice_at_most(spark):
+    lines = ["one two three a b", "one two three a c", "one two three d b", "one two three d c", "five six seven x y", "five six seven z y"]
+    groups = [1, 1, 1, 1, 2, 2]
+    rows = [(g, 4 if g == 1 else 2, 1, g, k, line) for k, (g, line) in enumerate(zip(groups, lines, strict=True))]
+    grouped = spark.createDataFrame(rows, "group long, group_docs long, docs long, leaf long, key long, line string")
+    templates = line_templates._templates(grouped)
+    # Of two tokens that each have half of the documents the greater is constant; a place without any is a blank.
+    assert {r.key: r.template for r in templates.collect()} == {
+        0: "one two three <*> <*>", 1: "one two three <*> c", 2: "one two three d <*>", 3: "one two three d c",
+        4: "five six seven <*> y", 5: "five six seven <*> y"}
+    plan = templates._jdf.queryExecution().sparkPlan().toString()
+    assert "max_by" not in plan and "SortAggregate" not in plan

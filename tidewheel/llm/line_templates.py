@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.bitmaps import maybe_in
 from tidewheel.llm.columns import let
-from tidewheel.session import materialize
+from tidewheel.session import materialize, settle
 
 DEPTH = 3
 MIN_DOCS = 2
@@ -104,7 +104,7 @@ def _groups(tokens: Column) -> Column:
 
 
 def _grouped(variants: DataFrame) -> DataFrame:
-    """leaf, key, line, docs, group of masked lines (leaf, key, line, docs), one row for each group with other lines.
+    """leaf, key, line, docs, group, group_docs of masked lines (leaf, key, line, docs), one row for each group with other lines.
 
     Groups of the same lines of a leaf count once.
     """
@@ -114,24 +114,39 @@ def _grouped(variants: DataFrame) -> DataFrame:
     # A key is of one leaf, so the keys of a group tell its leaf.
     sizes = member.groupBy("group").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("group_docs"),
                                         F.bit_xor(F.xxhash64("key")).alias("own")).filter(F.col("kinds") > 1)
-    chosen = sizes.groupBy("kinds", "group_docs", "own").agg(F.min("group").alias("group")).select("group")
-    return materialize(member.select("key", "group").join(chosen, "group").join(variants, "key"), "grouped")
+    chosen = materialize(sizes.groupBy("kinds", "group_docs", "own").agg(F.min("group").alias("group")).select("group", "group_docs"), "chosen")
+    # Most groups hold one line alone; the bitmap keeps them out of the shuffle.
+    shared = member.select("key", "group").filter(maybe_in(chosen, "group"))
+    return materialize(shared.join(chosen, "group").join(variants, "key"), "grouped")
+
+
+def _by_place(constants: Column) -> Column:
+    """The constant tokens (place, token; ascending) as an array by place, with empty texts between them; of two at a place the greater."""
+    def last(own: Column) -> Column:
+        return F.filter(own, lambda c, i: F.coalesce(F.get(own, i + 1)["place"] != c["place"], F.lit(True)))
+
+    def spread(own: Column) -> Column:
+        blanks = lambda c, i: F.repeat(F.lit(" "), c["place"] - F.coalesce(F.get(own, i - 1)["place"], F.lit(0)))
+        return F.split(F.array_join(F.transform(own, lambda c, i: F.concat(blanks(c, i), c["token"])), ""), " ")
+
+    return let(let(constants, last), spread)
 
 
 def _templates(grouped: DataFrame) -> DataFrame:
     """leaf, key, docs, share (of constant places), template, more (documents it needs beyond others) of each line in each of its groups."""
-    placed = grouped.select("group", "docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    support = placed.groupBy("group", "place", "token").agg(F.sum("docs").alias("held"))
-    # A line has one token at a place, so the sum over its tokens is the documents of the group.
-    most = support.groupBy("group", "place").agg(F.max_by("token", F.struct("held", "token")).alias("token"),
-                                                 ((2 * F.max("held") >= F.sum("held")) & (F.max("held") > 1)).alias("constant"))
-    shapes = most.groupBy("group").agg(F.sort_array(F.collect_list(F.struct(
-        "place", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(BLANK)).alias("token")))).alias("shape"))
-    template = F.zip_with(F.split("line", " "), F.col("shape.token"), lambda own, constant: F.when(own == constant, own).otherwise(F.lit(BLANK)))
-    return grouped.join(shapes, "group").withColumn("template", template).select(
-        "leaf", "key", "docs", (1 - F.size(F.filter("template", lambda t: t == BLANK)) / F.size("template")).alias("share"),
-        F.array_join("template", " ").alias("template"),
-        ((F.size("template") < LONG_TOKENS) & (F.array_join("template", " ") != F.col("line"))).cast("int").alias("more"))
+    # The leading tokens are those of the leaf.
+    placed = grouped.select("group", "group_docs", "docs", F.posexplode(F.split("line", " ")).alias("place", "token")).filter(F.col("place") >= DEPTH)
+    support = placed.groupBy("group", "group_docs", "place", "token").agg(F.sum("docs").alias("held"))
+    # A line has one token at a place, so no more than two tokens are constant there: both, if each has half of the documents.
+    shapes = support.filter((2 * F.col("held") >= F.col("group_docs")) & (F.col("held") > 1)).groupBy("group").agg(
+        F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constants")).select("group", _by_place(F.col("constants")).alias("shape"))
+    template = F.transform(F.split("line", " "), lambda own, i: F.when((i < DEPTH) | (F.get("shape", i) == own), own).otherwise(F.lit(BLANK)))
+    # No constant place, no shape.
+    joined = grouped.join(shapes, "group", "left").select("leaf", "key", "docs", "line", template.alias("places")).select(
+        "leaf", "key", "docs", "line", F.array_join("places", " ").alias("template"), F.size("places").alias("size"),
+        F.size(F.array_remove("places", BLANK)).alias("constant"))
+    return joined.select("leaf", "key", "docs", (1 - (F.col("size") - F.col("constant")) / F.col("size")).alias("share"), "template",
+                         ((F.col("size") < LONG_TOKENS) & (F.col("template") != F.col("line"))).cast("int").alias("more"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -148,7 +163,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     holders = docs.withColumn("holder", F.xxhash64("doc_id")).filter(maybe_in(mixed, "holder")).drop("holder")
     words = _held_lines(holders, mixed).groupBy("leaf", "key").agg(F.first("line").alias("line"))
     variants = materialize(mixed.join(words, ["leaf", "key"]).select("leaf", "key", "docs", "line"), "variants")
-    templates = _templates(_grouped(variants))
+    grouped = _grouped(variants)
+    # Shuffles of what is stored go, as those of the next steps may take as much disk again.
+    settle(docs.sparkSession)
+    templates = _templates(grouped)
     # Every line goes by its key too: the copies of one line recur, whatever becomes of its template.
     named = materialize(crowded.filter(F.col("docs") >= min_docs).select("key", F.col("key").alias("name"), "docs", F.lit(0).alias("more")).union(
         templates.filter(F.col("share") >= SIMILARITY).select(
@@ -156,7 +174,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     # A document may have several lines of one template: first by their sum, then by documents.
     likely = named.groupBy("name").agg(F.sum("docs").alias("n"), F.max("more").alias("least")).withColumn(
         "least", F.col("least") + min_docs).filter(F.col("n") >= F.col("least")).select("name", "least")
-    hits = hashed.select("doc_id", "body", "pos", "key").join(named.join(likely, "name").select("key", "name", "least"), "key")
+    hits = materialize(hashed.select("doc_id", "body", "pos", "key").join(named.join(likely, "name").select("key", "name", "least"), "key"), "hits")
+    settle(docs.sparkSession)
     recurring = hits.groupBy("name").agg(
         F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("kept_in"), F.first("least").alias("least")).filter(
         F.col("n") >= F.col("least")).select("name", "kept_in")
