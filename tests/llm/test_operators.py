@@ -458,3 +458,14 @@ def test_templates_shuffle_places_twice_at_most(spark):
         4: "five six seven <*> y", 5: "five six seven <*> y"}
     plan = templates._jdf.queryExecution().sparkPlan().toString()
     assert "max_by" not in plan and "SortAggregate" not in plan
+
+
+def test_bpe_keeps_its_tables_out_of_plans(spark):
+    """As literals of the plan, tables of some MB stay in the driver as text after each run."""
+    docs = spark.createDataFrame([(1, "some words"), (2, "some words   ")], "doc_id long, text string")
+    got = bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plan = got._jdf.queryExecution()
+    assert len(plan.toString()) < 200_000
+    # No step hands a table on in its rows.
+    assert not re.search(r"AS _(whole|merges|words|pieces)#", plan.sparkPlan().toString())
+    assert [r.decoded_sha256 for r in got.orderBy("doc_id").collect()] == [hashlib.sha256(t.encode()).hexdigest() for _, t in docs.collect()]

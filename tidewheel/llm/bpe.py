@@ -2,12 +2,14 @@
 
 A word is folded as one array of numbers, one for each piece: the rank of the piece together with the one before it, the byte where
 it starts and its id, from the highest bits down. So the least number is the pair of the smallest rank, leftmost first. That rank is
-the id of the joined piece, and pairs of ids find their ranks in a literal map in the plan, which reads two slots at most. An id of a
+the id of the joined piece, and pairs of ids find their ranks in a map that reads two slots at most. An id of a
 text is one sign, so that ids with U+0000 after each are little-endian 32-bit numbers in UTF-16LE.
 
-Words are counted over the corpus and the ``MAX_WORDS`` most frequent are folded once; their ids are a literal of
+Words are counted over the corpus and the ``MAX_WORDS`` most frequent are folded once; their ids are a map of
 bounded size as well. A rarer word is folded where it stands, so texts never go through a shuffle. Decoding
-looks up each id's bytes and concatenates them.
+looks up each id's bytes and concatenates them. Maps are one-row tables and scalar subqueries: as literals of the plan, Spark would
+keep them in the text of every plan that it has run. A subquery is a column first (``with_maps``), as functions of lambdas take none; each is
+named once, so that Spark puts it in its place and no row holds it.
 """
 
 from __future__ import annotations
@@ -16,23 +18,20 @@ import base64
 from collections.abc import Iterable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.columns import let
 
-#: Words whose ids are in the plan; all others are encoded in their place.
+#: Words whose ids are looked up; all others are encoded in their place.
 MAX_WORDS = 1 << 17
-#: Slots of a literal map.
+#: Slots of a map of texts.
 RANK_SLOTS, WORD_SLOTS = 1 << 17, 1 << 18
 #: A pair of ids is at one of its remainders by these.
 PAIR_SLOTS = 271_003, 299_539
 #: Numbers of the fold: the bit where ranks begin, the bits of where a piece starts, and what is no id and no rank.
 RANK, START, END = 40, 0xFFFFFF0000, 0xFFFF
-# Signs beyond those of bytes, to part the entries of a literal.
-_SLOT, _FREE = "\u0100", "\u0101"
-# Private-use signs for words, which may hold any sign; words with one of these are not in the literal.
-_WORD_SLOT, _WORD_FREE = "\ue000", "\ue001"
 #: White space of the split pattern: the Unicode property, which Java's \s is not.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -86,28 +85,29 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _longs(values: Iterable[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def one_row(spark: SparkSession, columns: dict[str, tuple[Iterable, pa.DataType]]) -> Column:
+    """A struct of arrays, named by ``columns``, as a scalar subquery over a table of one row."""
+    row = pa.table({name: pa.array([list(values)], pa.list_(kind)) for name, (values, kind) in columns.items()})
+    return spark.createDataFrame(row).select(F.struct(*columns)).scalar()
 
 
-class LiteralMap:
-    """Texts and their values in arrays of the plan; a look-up reads two slots at most.
+class TextMap:
+    """Texts and their values in arrays by slot; a look-up reads two slots at most.
 
-    The arrays are one literal, ``table``, which an expression names once (``let``): each mention of it would be a copy.
+    The arrays are ``table``, which an expression names once (``let``).
     """
 
-    def __init__(self, keys: list[str], values: list[str], slots: list[tuple[int, int]], count: int, marks: tuple[str, str], whole: bool = False) -> None:
+    def __init__(self, spark: SparkSession, keys: list[str], values: list[str], slots: list[tuple[int, int]], count: int, whole: bool = False) -> None:
         at = placed(slots, count)
         if whole and len(at) < len(keys):
             raise ValueError("the slots are too few for the keys")
         self.count = count
-        # A free slot holds a mark, which no key is.
-        own, held = (F.split(F.lit(marks[0].join(texts[at[k]] if k in at else free for k in range(count))), marks[0])
-                     for texts, free in ((keys, marks[1]), (values, "")))
-        self.table = F.struct(own.alias("keys"), held.alias("values"))
+        # A free slot holds no key, which equals none.
+        self.table = one_row(spark, {name: ([texts[at[k]] if k in at else None for k in range(count)], pa.string())
+                                     for name, texts in (("keys", keys), ("values", values))})
 
     def find(self, table: Column, key: Column, otherwise: Column) -> Column:
-        """The value of ``key``; ``table`` is what names this map's literal."""
+        """The value of ``key``; ``table`` is what names this map's table."""
         return looked_up(table, key, slots_of(key, self.count), otherwise)
 
 
@@ -117,7 +117,7 @@ def merges(ranks: dict[bytes, int]) -> dict[int, int]:
             for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks}
 
 
-def merge_table(ranks: dict[bytes, int]) -> Column:
+def merge_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     """keys, values: slots of the pairs of ids and their ranks; bytes: the id of each byte; pairs: the rank of each two bytes."""
     of = merges(ranks)
     keys = list(of)
@@ -125,10 +125,11 @@ def merge_table(ranks: dict[bytes, int]) -> Column:
     if len(at) < len(keys):
         raise ValueError("the slots are too few for the pairs")
     # No pair is -1.
-    return F.struct(_longs(keys[at[k]] if k in at else -1 for k in range(max(PAIR_SLOTS))).alias("keys"),
-                    _longs(of[keys[at[k]]] << RANK if k in at else 0 for k in range(max(PAIR_SLOTS))).alias("values"),
-                    _longs(ranks[bytes([b])] for b in range(256)).alias("bytes"),
-                    _longs(ranks.get(bytes([a, b]), END) << RANK for a in range(256) for b in range(256)).alias("pairs"))
+    columns = {"keys": (keys[at[k]] if k in at else -1 for k in range(max(PAIR_SLOTS))),
+               "values": (of[keys[at[k]]] << RANK if k in at else 0 for k in range(max(PAIR_SLOTS))),
+               "bytes": (ranks[bytes([b])] for b in range(256)),
+               "pairs": (ranks.get(bytes([a, b]), END) << RANK for a in range(256) for b in range(256))}
+    return one_row(spark, {name: (values, pa.int64()) for name, values in columns.items()})
 
 
 class Tokenizer:
@@ -141,15 +142,22 @@ class Tokenizer:
         by_rank = [""] * (max(ranks.values()) + 1)
         for piece, rank in pieces:
             by_rank[rank] = piece
-        self.pieces = F.split(F.lit(_SLOT.join(by_rank)), _SLOT)
         # Spark hashes the keys, so that look-ups find the same slots.
         spark = docs.sparkSession
+        self.pieces = one_row(spark, {"pieces": (by_rank, pa.string())})
         hashed = spark.createDataFrame(pieces, "piece string, rank int").select(
             "piece", "rank", F.array(*slots_of(F.col("piece"), RANK_SLOTS)).alias("slots")).toArrow().to_pydict()
-        # An id's sign may be one of the marks of other literals.
-        self.whole = LiteralMap(hashed["piece"], [str(r) for r in hashed["rank"]], hashed["slots"], RANK_SLOTS, (_SLOT, _FREE), whole=True)
-        self.ranks = F.struct(self.whole.table.alias("whole"), merge_table(ranks).alias("merges"))
-        self.known: LiteralMap | None = None
+        self.whole = TextMap(spark, hashed["piece"], [str(r) for r in hashed["rank"]], hashed["slots"], RANK_SLOTS, whole=True)
+        self.merges = merge_table(spark, ranks)
+        self.known: TextMap | None = None
+
+    def with_maps(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the maps that encoding looks into; a later step names each once."""
+        maps = {"_whole": self.whole.table, "_merges": self.merges} | ({"_words": self.known.table} if self.known else {})
+        return rows.withColumns(maps)
+
+    #: The ranks, in rows that ``with_maps`` made.
+    ranks = property(lambda self: F.struct(F.col("_whole").alias("whole"), F.col("_merges").alias("merges")))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -194,25 +202,25 @@ class Tokenizer:
         return F.decode(F.unhex(F.lpad(F.hex(rank), 4, "0")), "UTF-16BE")
 
     def learn_words(self, docs: DataFrame, most: int = MAX_WORDS) -> None:
-        """Put the ids of the most frequent words of all texts into the plan of later columns."""
+        """Have later columns look up the ids of the most frequent words of all texts."""
         counts = docs.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").count()
-        top = counts.filter(~F.col("word").rlike(f"[{_WORD_SLOT}{_WORD_FREE}]") & (F.col("count") > 1)).orderBy(
-            F.desc("count"), "word").limit(most)
-        rows = top.repartition(F.col("word")).select(
+        top = counts.filter(F.col("count") > 1).orderBy(F.desc("count"), "word").limit(most)
+        rows = self.with_maps(top.repartition(F.col("word"))).select(
             "word", let(self.ranks, lambda t: self.fold(t, F.col("word"))).alias("ids"), F.array(*slots_of(F.col("word"), WORD_SLOTS)).alias("slots")).toArrow().to_pydict()
-        self.known = LiteralMap(rows["word"], rows["ids"], rows["slots"], WORD_SLOTS, (_WORD_SLOT, _WORD_FREE))
+        self.known = TextMap(docs.sparkSession, rows["word"], rows["ids"], rows["slots"], WORD_SLOTS)
 
     def encode(self, text: Column) -> Column:
-        """The ids of a text, a sign each."""
+        """The ids of a text, a sign each, in rows that ``with_maps`` made."""
         if self.known is None:
             return let(self.ranks, lambda t: F.array_join(F.transform(self.words(text), lambda word: self.fold(t, word)), ""))
-        both = F.struct(self.ranks.alias("ranks"), self.known.table.alias("words"))
+        both = F.struct(self.ranks.alias("ranks"), F.col("_words").alias("words"))
         return let(both, lambda t: F.array_join(F.transform(self.words(text), lambda word: self.known.find(
             t["words"], word, self.fold(t["ranks"], word))), ""))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids as signs, as binary."""
-        return F.encode(F.array_join(let(self.pieces, lambda pieces: F.transform(ids, lambda sign: pieces[F.ascii(sign)])), ""), "ISO-8859-1")
+    @staticmethod
+    def decode(ids: Column, pieces: Column) -> Column:
+        """The bytes of an array of ids as signs, as binary; ``pieces`` are the tokens by id."""
+        return F.encode(F.array_join(let(pieces, lambda pieces: F.transform(ids, lambda sign: pieces[F.ascii(sign)])), ""), "ISO-8859-1")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -223,10 +231,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.select("doc_id", "text")
     tokenizer = Tokenizer(docs, path)
     tokenizer.learn_words(docs)
-    rows = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("signs"))
+    rows = tokenizer.with_maps(docs).withColumn("_pieces", tokenizer.pieces)
+
+    def digests(ids: Column) -> Column:
+        signs = F.encode(choose(F.size(ids) > 0, F.concat(F.array_join(ids, "\0"), F.lit("\0")), F.lit("")), "UTF-16LE")
+        return F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2(signs, 256).alias("ids_sha256"),
+                        F.sha2(tokenizer.decode(ids, F.col("_pieces")["pieces"]), 256).alias("decoded_sha256"))
+
     # No sign splits into one empty text.
-    rows = rows.select("doc_id", F.when(F.col("signs") == "", F.array().cast("array<string>")).otherwise(F.split("signs", "")).alias("ids"))
-    rows = rows.withColumns({"all": F.encode(F.when(F.size("ids") > 0, F.concat(F.array_join("ids", "\0"), F.lit("\0"))).otherwise(""), "UTF-16LE"),
-                             "decoded": tokenizer.decode(F.col("ids"))})
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("all", 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = lambda signs: choose(signs == "", F.array().cast("array<string>"), F.split(signs, ""))
+    return rows.select("doc_id", let(let(tokenizer.encode(F.col("text")), ids), digests).alias("own")).select("doc_id", "own.*")
