@@ -124,9 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> t
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(run, "doc_id string, label int, at array<int>, value array<float>").toArrow()
     order = np.argsort(mix(np.array([hash_text(d) for d in rows["doc_id"].to_pylist()], "uint64")), kind="stable")
-    at, value = (rows[c].combine_chunks() for c in ("at", "value"))
+    # Views of the chunks as they came, so that the driver holds the examples once.
+    at, value = ([one.values.to_numpy() for one in rows[c]] for c in ("at", "value"))
     label = rows["label"].to_pylist()
-    return fit([(label[k], at[k].values.to_numpy(), value[k].values.to_numpy()) for k in order.tolist()])
+    return fit([(label[k], at[k], value[k]) for k in order.tolist()])
 
 
 def hash_text(text: str) -> int:

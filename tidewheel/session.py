@@ -7,7 +7,10 @@ import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -101,17 +104,45 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 #: Tables after which the driver lets go of what is behind them.
-TABLES = 16
+TABLES = 4
+#: Share of the driver's heap that may stay free, in per cent, when garbage has been collected; the JVM itself holds 70.
+FREE_HEAP = 40
 
 
 def settle(spark: SparkSession) -> None:
-    """Let go of plans, broadcasts and shuffle files that nobody holds any more.
+    """Let go of plans, broadcasts and shuffle files that nobody holds any more, and give free memory back to the system.
 
     Spark removes them when the driver's garbage is collected, which by itself happens late: a run of many small jobs fills
-    the driver and the executors' disks before.
+    the driver and the executors' disks before. The driver's limit counts what is taken, not what is used, and
+    planning takes more outside the heap than its live objects do inside.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(Py4JError):  # a JVM without these options and commands does without
+        _hold_heap(spark)
     spark._jvm.System.gc()
+    with suppress(Py4JError):
+        _trim(spark)
+
+
+def _hold_heap(spark: SparkSession) -> None:
+    """Have a collection give back all but ``FREE_HEAP`` per cent of the driver's heap."""
+    kind = spark._jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+    options = spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBean(kind)
+    for name, most in (("MinHeapFreeRatio", FREE_HEAP // 2), ("MaxHeapFreeRatio", FREE_HEAP)):  # the first is never above the second
+        if int(options.getVMOption(name).getValue()) > most:
+            options.setVMOption(name, str(most))
+
+
+def _trim(spark: SparkSession) -> None:
+    """Give back what the C library keeps of memory that the driver's JVM freed (``jcmd System.trim_native_heap``)."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    # By the interface's method, as the server's own class is not open to calls.
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    args[2], args[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
