@@ -2,8 +2,8 @@
 
 Every round replaces each node's edges by edges to the smallest neighbour, so
 the edge count never grows and the depth shrinks fast. Each round's edges are
-written to the shared folder, which cuts the lineage; only a count and a
-checksum reach the driver.
+written to the shared folder, which cuts the lineage, and replace those of the
+round before; only a count and a checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.session import materialize
+from tidewheel.session import forget, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,9 +39,12 @@ def connected_components(edges: DataFrame, label: str = "stars") -> DataFrame:
     a, b = edges.columns
     edges = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     edges = _tidy(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
-    before = None
+    before, last = None, None
     while True:
         edges = materialize(edges, label)
+        if last is not None:
+            forget(last)
+        last = edges
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

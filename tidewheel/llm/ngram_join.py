@@ -17,11 +17,14 @@ can differ in, and all shingles of a class together are a key. Each block is the
 counting common shingles, over whole sets. What is still over the weight is cut by
 set size, and again into parts of which each two meet in one task. A task
 returns, for each set, the root it is linked to and its number of links.
+
+Keys that many rows have to meet on are taken in parts, by their lowest bits, one after the other: what a part shuffles is gone
+before the next one begins, and tables that were read for the last time are removed. So the disk holds a share of the keys at a time, however many there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from fractions import Fraction
 
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm.bitmaps import maybe_in
 from tidewheel.llm.components import connected_components
 from tidewheel.llm.hashing import mix, shingle_hashes, signed, word_hashes
-from tidewheel.session import materialize
+from tidewheel.session import forget, materialize, settle, together
 
 #: Recurring shingles that can be moved to the end of the order: those of the most documents.
 MAX_LATE = 1 << 21
@@ -45,6 +48,12 @@ WORD_SHARE = Fraction(1, 2**16)
 FREQUENT = 8
 #: Shingles of all sets of one verification task.
 TASK_WEIGHT = 1 << 21
+#: Keys of one part, but for tables of more than ``PARTS`` such parts. A power of two.
+PART_KEYS, PARTS = 1 << 21, 8
+#: Parts of the shingles that the order counts at most, each of which takes a pass over the texts. A power of two.
+ORDER_PARTS = 2
+#: Shingles of the texts that one part of the verification reads at least.
+PART_WEIGHT = 1 << 23
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
 
@@ -142,15 +151,39 @@ def word_order(docs: DataFrame) -> Order:
     return order
 
 
-def shingle_order(docs: DataFrame, size: int, least: Fraction) -> Order:
+def part_count(keys: int, each: int, most: int) -> int:
+    """Parts of ``each`` keys, as a power of two."""
+    return min(most, 1 << max(-(-keys // each) - 1, 0).bit_length())
+
+
+def in_parts(parts: int, make: Callable[[int], DataFrame], label: str) -> DataFrame:
+    """``make`` of each part, stored one after the other, as one table. What a part shuffled goes before the next one."""
+    found = []
+    for part in range(parts):
+        found.append(materialize(make(part), label))
+        if parts > 1:
+            settle(found[-1].sparkSession)
+    return together(found)
+
+
+def of_part(values: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """By the lowest bits, as the order prefers shingles with high bits of zero."""
+    return values if parts == 1 else values[values & np.uint64(parts - 1) == np.uint64(part)]
+
+
+def shingle_order(docs: DataFrame, size: int, least: Fraction, weight: int) -> Order:
     """The word order with the shingles at its end that recur in prefixes under it, those of most documents first.
 
     So a passage that documents share is no part of their prefixes, as long as they have enough shingles of their own.
+    ``weight`` is the number of shingles of all sets.
     """
     order = word_order(docs)
-    counts = prefixes(docs, size, least, order, LATE_REACH).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    late = counts.filter(F.col("df") >= LATE_FROM).orderBy(F.desc("df"), "token").limit(MAX_LATE).select("token").toArrow()
-    return replace(order, heavy=np.sort(late["token"].to_numpy().view("uint64")))
+    parts = part_count(LATE_REACH * prefix_length(weight, least), PART_KEYS, ORDER_PARTS)
+    late = in_parts(parts, lambda part: prefixes(docs, size, least, order, LATE_REACH, part, parts).groupBy("token").agg(
+        F.count(F.lit(1)).alias("df")).filter(F.col("df") >= LATE_FROM), "late")
+    heavy = late.orderBy(F.desc("df"), "token").limit(MAX_LATE).select("token").toArrow()
+    forget(late)
+    return replace(order, heavy=np.sort(heavy["token"].to_numpy().view("uint64")))
 
 
 def most_missing(size: int, least: Fraction) -> int:
@@ -172,8 +205,11 @@ def prefix_length(size: int, least: Fraction) -> int:
     return min(size, most_missing(size, least) + 1 + 2 ** group_levels(size, least)[-1])
 
 
-def prefixes(docs: DataFrame, size: int, least: Fraction, order: Order, times: int = 1) -> DataFrame:
-    """(token, node, n) of each document's prefix, or of one ``times`` as long; a node that recurs within a batch comes once."""
+def prefixes(docs: DataFrame, size: int, least: Fraction, order: Order, times: int = 1, part: int = 0, parts: int = 1) -> DataFrame:
+    """(token, node, n) of each document's prefix, or of one ``times`` as long; a node that recurs within a batch comes once.
+
+    Of several ``parts``, only the tokens of one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             words, bounds = word_hashes(batch.column("text"))
@@ -182,7 +218,7 @@ def prefixes(docs: DataFrame, size: int, least: Fraction, order: Order, times: i
                 if len(shingles) and (node := node_of(shingles)) not in found:
                     reach = min(len(shingles), times * prefix_length(len(shingles), least))
                     first = np.argpartition(order.keys(shingles, points), reach - 1)[:reach]
-                    found[node] = len(shingles), shingles[first]
+                    found[node] = len(shingles), of_part(shingles[first], part, parts)
             if found:
                 reach = [len(t) for _, t in found.values()]
                 yield pa.RecordBatch.from_arrays(
@@ -222,17 +258,39 @@ def _first_of_key(postings: DataFrame, key: str) -> DataFrame:
     ).filter(F.col("root") != F.col("_last")).drop("_last")
 
 
-def candidate_edges(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
-    """(node, root) edges that join all nodes sharing a key."""
-    postings = materialize(prefixes(docs, size, least, shingle_order(docs, size, least)), "prefixes")
-    # Most shingles are in one prefix only: they go before nodes are looked at.
-    again = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1).select("token")
-    shared = materialize(postings.join(again, "token", "left_semi"), "shared")
-    met = materialize(shared.join(_first_of_key(shared, "token"), "token"), "met")
-    pairs = pair_keys(met.filter(F.col("df") >= FREQUENT).select("node", "n", "token"), least)
-    paired = pairs.join(_first_of_key(pairs, "key"), "key")
+def _met(postings: DataFrame, key: str) -> DataFrame:
+    """Stored: the postings whose key two nodes share, with the key's number of postings and smallest node."""
+    # Most keys are in one posting only: they go before nodes are looked at.
+    again = materialize(postings.groupBy(key).agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1).select(key), "again")
+    shared = materialize(postings.join(again, key, "left_semi"), "shared")
+    met = materialize(shared.join(_first_of_key(shared, key), key), "met")
+    forget(again, shared)
+    return met
+
+
+def met_in_parts(postings: DataFrame, key: str) -> DataFrame:
+    """``_met`` of stored postings, part by part of the keys."""
+    parts = part_count(postings.count(), PART_KEYS, PARTS)
+    found = []
+    for part in range(parts):
+        found.append(_met(postings if parts == 1 else postings.filter(F.col(key).bitwiseAND(F.lit(parts - 1)) == part), key))
+        if parts > 1:
+            settle(postings.sparkSession)
+    return together(found)
+
+
+def candidate_blocks(docs: DataFrame, size: int, least: Fraction, weight: int) -> DataFrame:
+    """(node, component) of all nodes that share a key with another one. ``weight`` is the number of shingles of all sets."""
+    postings = materialize(prefixes(docs, size, least, shingle_order(docs, size, least, weight)), "prefixes")
+    met = met_in_parts(postings, "token")
+    forget(postings)
+    pairs = materialize(pair_keys(met.filter(F.col("df") >= FREQUENT).select("node", "n", "token"), least), "pairs")
+    paired = met_in_parts(pairs, "key")
+    forget(pairs)
     single = met.filter(F.col("df") < FREQUENT)
-    return single.select("node", "root").union(paired.select("node", "root"))
+    blocks = connected_components(single.select("node", "root").union(paired.select("node", "root")), "blocks")
+    forget(met, paired)
+    return blocks
 
 
 def most_different(smaller: int, least: Fraction) -> int:
@@ -255,11 +313,11 @@ def class_counts(size: int, least: Fraction) -> list[int]:
     return counts
 
 
-def whole_classes(docs: DataFrame, wanted: DataFrame, size: int, least: Fraction) -> DataFrame:
+def whole_classes(docs: DataFrame, wanted: DataFrame, size: int, least: Fraction, part: int = 0, parts: int = 1) -> DataFrame:
     """(key, node) of the ``wanted`` nodes: all shingles of a class together, for each class of the whole set.
 
     With more classes than two similar sets can differ in, one class is the same in both. Classes that a set has nothing
-    in are keys only for sets with too few others.
+    in are keys only for sets with too few others. Of several ``parts``, only the keys of one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(small(batches), size):
@@ -278,7 +336,7 @@ def whole_classes(docs: DataFrame, wanted: DataFrame, size: int, least: Fraction
                         full[np.unique(of)] = sums
                         sums = full
                     keys.append(mix(sums + own * _PAIR + np.uint64(classes)))
-                found[node] = np.concatenate(keys)
+                found[node] = of_part(np.concatenate(keys), part, parts)
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [signed(np.concatenate(list(found.values()))),
@@ -296,10 +354,18 @@ def refined(placed: DataFrame, docs: DataFrame, size: int, least: Fraction) -> D
     weights = placed.groupBy("block").agg(F.sum("n").alias("weight"))
     sized = materialize(placed.join(weights, "block"), "sized")
     large = sized.filter(F.col("weight") > TASK_WEIGHT).drop("weight")
-    keys = whole_classes(docs, large, size, least)
-    again = materialize(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi"), "classes")
-    edges = again.join(_first_of_key(again, "key"), "key").select("node", "root")
-    finer = large.join(connected_components(edges, "finer"), "node").withColumn("block", F.xxhash64("block", "component"))
+    parts = part_count(large.agg(F.sum("n")).first()[0] or 0, PART_KEYS, PARTS)
+    found = []
+    for part in range(parts):
+        keys = materialize(whole_classes(docs, large, size, least, part, parts), "classes")
+        found.append(_met(keys, "key"))
+        forget(keys)
+        if parts > 1:
+            settle(docs.sparkSession)
+    met = together(found)
+    components = connected_components(met.select("node", "root"), "finer")
+    forget(met)
+    finer = large.join(components, "node").withColumn("block", F.xxhash64("block", "component"))
     return sized.filter(F.col("weight") <= TASK_WEIGHT).select("node", "doc_id", "n", "block").union(
         finer.select("node", "doc_id", "n", "block"))
 
@@ -410,11 +476,15 @@ def _joined(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     sets = materialize(shingle_sets(docs, size), "sets")
     known = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = known.groupBy("node", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    blocks = connected_components(candidate_edges(docs.filter(F.col("doc_id").isNotNull()), size, least), "blocks")
+    rows, weight = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    blocks = candidate_blocks(docs.filter(F.col("doc_id").isNotNull()), size, least, weight)
     placed = classes.withColumnsRenamed({"class_id": "doc_id", "n_shingles": "n"}).join(
         blocks.withColumnRenamed("component", "block"), "node")
     tasks = materialize(_tasks(refined(placed, docs, size, least), least), "tasks")
-    checked = materialize(verified(docs, tasks, size, least), "links")
+    # A task is whole in its part, and a part reads its own texts only.
+    parts = part_count(tasks.count() * weight // max(rows, 1), PART_WEIGHT, PARTS)
+    checked = in_parts(parts, lambda part: verified(
+        docs, tasks if parts == 1 else tasks.filter(F.pmod(F.xxhash64("block", "cls", "i", "j"), F.lit(parts)) == part), size, least), "links")
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = connected_components(checked.filter(F.col("node") != F.col("root")).select("node", "root"), "components")
     reached = joined.join(classes, "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
@@ -439,7 +509,10 @@ def near_duplicate_free(docs: DataFrame, size: int = 5, least: Fraction = Fracti
     again = materialize(joined.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") > 1).select("doc_id"), "repeated")
     dropped = joined.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    once = docs.join(again, "doc_id", "left_anti").join(dropped, "doc_id", "left_anti")
+    # Texts are shuffled only where the id may be one of those that go or recur.
+    gone = again.union(dropped)
+    suspect = maybe_in(gone, "doc_id")
+    once = docs.filter(~suspect).union(docs.filter(suspect).join(gone, "doc_id", "left_anti").select(*docs.columns))
     # The rows of a repeated doc_id are numbered, as their texts alone don't tell them apart.
     rows = materialize(docs.join(again, "doc_id", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "rows")
     nodes = shingle_sets(rows.select(F.col("_row").alias("doc_id"), "text"), size).withColumnsRenamed({"doc_id": "_row", "n_shingles": "_n", "node": "_node"})

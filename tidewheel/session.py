@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from contextlib import suppress
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
@@ -155,4 +156,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     if len(_TAKEN[df.sparkSession.sparkContext.applicationId]) % TABLES == 0:
         settle(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _stored(df, [path])
+
+
+#: Where the tables are that ``materialize`` and ``together`` returned.
+_PATHS: WeakKeyDictionary[DataFrame, list[str]] = WeakKeyDictionary()
+
+
+def _stored(like: DataFrame, paths: list[str]) -> DataFrame:
+    table = like.sparkSession.read.schema(like.schema).parquet(*paths)
+    _PATHS[table] = paths
+    return table
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """All rows of stored tables of one schema, as one."""
+    return _stored(tables[0], [path for table in tables for path in _PATHS[table]])
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove stored tables from the shared folder, once no DataFrame over them is in use."""
+    for table in tables:
+        for path in _PATHS.pop(table, []):
+            remove(table.sparkSession, path)
