@@ -45,19 +45,19 @@ def test_keys_are_gone_from_disk(spark, parted):
     got = ngram_join.near_duplicate_free(frame(spark, rows), 3, Fraction(4, 5))
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, c in want.items() if c in (i, None))
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
-    assert not left & {"prefixes", "again", "shared", "met", "pairs", "classes", "late"}
+    assert not left & {"prefixes", "again", "shared", "edges", "frequent", "pairs", "classes", "late"}
 
 
-def test_rows_meet_by_part(spark, parted, monkeypatch):
-    """No part's rows are more than a share of the keys, and the parts together are what all keys at once give."""
-    rows = [(k, k // 2 * 1000 + k, 3) for k in range(64) for _ in range(2)] + [(k, -k, 3) for k in range(64)]
+def test_edges_by_part(spark, parted, monkeypatch):
+    """No part has more than a share of the keys, and the parts together give what all keys at once do."""
+    rows = [(k, k // 2 * 1000 + k, 3) for k in range(64) for _ in range(2)] + [(k, -k, 3) for k in range(64)] + [(7, n, 3) for n in range(9)]
     postings = spark.createDataFrame(rows, "token long, node long, n int").repartition(3)
     monkeypatch.setattr(ngram_join, "PARTS", 4)
     seen = []
-    own = ngram_join._met
-    monkeypatch.setattr(ngram_join, "_met", lambda part, key: seen.append(part.count()) or own(part, key))
-    got = sorted(tuple(r) for r in ngram_join.met_in_parts(postings, "token").collect())
+    own = ngram_join._shared
+    monkeypatch.setattr(ngram_join, "_shared", lambda part, key: seen.append(part.count()) or own(part, key))
+    edges, often = ngram_join.edges_in_parts(postings, "token", 8)
     assert len(seen) == 4 and sum(seen) == len(rows) and max(seen) <= len(rows) // 3
-    shared = postings.join(ngram_join._first_of_key(postings, "token"), "token")
-    assert got == sorted(tuple(r) for r in shared.collect())
-    assert {r[0] for r in got} == set(range(1, 64))  # the rows of token 0 are all of one node
+    # Token 0 has one node only, token 7 is a frequent one.
+    assert sorted(tuple(r) for r in edges.collect()) == sorted((k // 2 * 1000 + k, -k) for k in range(1, 64) if k != 7)
+    assert sorted(tuple(r) for r in often.select("token", "node", "n").collect()) == sorted(r for r in rows if r[0] == 7)

@@ -258,38 +258,50 @@ def _first_of_key(postings: DataFrame, key: str) -> DataFrame:
     ).filter(F.col("root") != F.col("_last")).drop("_last")
 
 
-def _met(postings: DataFrame, key: str) -> DataFrame:
-    """Stored: the postings whose key two nodes share, with the key's number of postings and smallest node."""
-    # Most keys are in one posting only: they go before nodes are looked at.
+def _shared(postings: DataFrame, key: str) -> DataFrame:
+    """Stored: the postings whose key is in several ones. Most keys are in one only: they go before nodes are looked at."""
     again = materialize(postings.groupBy(key).agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1).select(key), "again")
     shared = materialize(postings.join(again, key, "left_semi"), "shared")
-    met = materialize(shared.join(_first_of_key(shared, key), key), "met")
-    forget(again, shared)
-    return met
+    forget(again)
+    return shared
 
 
-def met_in_parts(postings: DataFrame, key: str) -> DataFrame:
-    """``_met`` of stored postings, part by part of the keys."""
+def _edges(shared: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+    """(node, root) edges, each once, that join all nodes sharing one of the keys of ``firsts``."""
+    met = shared.join(firsts.select(key, "root"), key).filter(F.col("node") != F.col("root"))
+    return met.select("node", "root").distinct()
+
+
+def edges_in_parts(postings: DataFrame, key: str, frequent: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Stored: (node, root) edges that join all nodes sharing a key of the stored postings, and the postings of the frequent keys instead.
+
+    Keys of ``frequent`` postings or more, of two nodes at least, are frequent ones; without that number none is.
+    """
     parts = part_count(postings.count(), PART_KEYS, PARTS)
-    found = []
+    edges, often = [], []
     for part in range(parts):
-        found.append(_met(postings if parts == 1 else postings.filter(F.col(key).bitwiseAND(F.lit(parts - 1)) == part), key))
+        shared = _shared(postings if parts == 1 else postings.filter(F.col(key).bitwiseAND(F.lit(parts - 1)) == part), key)
+        firsts = _first_of_key(shared, key)
+        edges.append(materialize(_edges(shared, firsts if frequent is None else firsts.filter(F.col("df") < frequent), key), "edges"))
+        if frequent is not None:
+            often.append(materialize(shared.join(firsts.filter(F.col("df") >= frequent).select(key), key, "left_semi"), "frequent"))
+        forget(shared)
         if parts > 1:
             settle(postings.sparkSession)
-    return together(found)
+    return together(edges), together(often) if often else None
 
 
 def candidate_blocks(docs: DataFrame, size: int, least: Fraction, weight: int) -> DataFrame:
     """(node, component) of all nodes that share a key with another one. ``weight`` is the number of shingles of all sets."""
     postings = materialize(prefixes(docs, size, least, shingle_order(docs, size, least, weight)), "prefixes")
-    met = met_in_parts(postings, "token")
+    single, often = edges_in_parts(postings, "token", FREQUENT)
     forget(postings)
-    pairs = materialize(pair_keys(met.filter(F.col("df") >= FREQUENT).select("node", "n", "token"), least), "pairs")
-    paired = met_in_parts(pairs, "key")
+    pairs = materialize(pair_keys(often, least), "pairs")
+    forget(often)
+    paired, _ = edges_in_parts(pairs, "key")
     forget(pairs)
-    single = met.filter(F.col("df") < FREQUENT)
-    blocks = connected_components(single.select("node", "root").union(paired.select("node", "root")), "blocks")
-    forget(met, paired)
+    blocks = connected_components(single.union(paired), "blocks")
+    forget(single, paired)
     return blocks
 
 
@@ -358,13 +370,15 @@ def refined(placed: DataFrame, docs: DataFrame, size: int, least: Fraction) -> D
     found = []
     for part in range(parts):
         keys = materialize(whole_classes(docs, large, size, least, part, parts), "classes")
-        found.append(_met(keys, "key"))
+        shared = _shared(keys, "key")
         forget(keys)
+        found.append(materialize(_edges(shared, _first_of_key(shared, "key"), "key"), "edges"))
+        forget(shared)
         if parts > 1:
             settle(docs.sparkSession)
-    met = together(found)
-    components = connected_components(met.select("node", "root"), "finer")
-    forget(met)
+    edges = together(found)
+    components = connected_components(edges, "finer")
+    forget(edges)
     finer = large.join(components, "node").withColumn("block", F.xxhash64("block", "component"))
     return sized.filter(F.col("weight") <= TASK_WEIGHT).select("node", "doc_id", "n", "block").union(
         finer.select("node", "doc_id", "n", "block"))
