@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_operators import brute_components, corpus, frame
 
-from tidewheel.llm import ngram_join
+from tidewheel.llm import line_templates, ngram_join
 
 
 @pytest.fixture
@@ -61,3 +61,13 @@ def test_edges_by_part(spark, parted, monkeypatch):
     # Token 0 has one node only, token 7 is a frequent one.
     assert sorted(tuple(r) for r in edges.collect()) == sorted((k // 2 * 1000 + k, -k) for k in range(1, 64) if k != 7)
     assert sorted(tuple(r) for r in often.select("token", "node", "n").collect()) == sorted(r for r in rows if r[0] == 7)
+
+
+def test_lines_are_gone_from_disk(spark):
+    """What the stage of lines leaves for those after it is the table that its result is read from."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    rows = [(i, "a line that is in all of them\n" + " ".join([word] * (4 + 3 * i))) for i, word in enumerate(("red", "green", "blue", "grey"))]
+    got = line_templates.without_recurring_lines(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(0, 0), (1, 1), (2, 1), (3, 1)]
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before} == {"hits"}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.bitmaps import maybe_in
 from tidewheel.llm.columns import let
-from tidewheel.session import materialize, settle
+from tidewheel.session import forget, materialize, settle
 
 DEPTH = 3
 MIN_DOCS = 2
@@ -109,15 +109,17 @@ def _grouped(variants: DataFrame) -> DataFrame:
     Groups of the same lines of a leaf count once.
     """
     own = F.transform(_groups(F.split("line", " ")), lambda g: F.xxhash64("leaf", g))
-    member = materialize(variants.select("key", "docs", own.alias("groups")), "groups").select(
-        "key", "docs", F.explode("groups").alias("group"))
+    held = materialize(variants.select("key", "docs", own.alias("groups")), "groups")
+    member = held.select("key", "docs", F.explode("groups").alias("group"))
     # A key is of one leaf, so the keys of a group tell its leaf.
     sizes = member.groupBy("group").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("group_docs"),
                                         F.bit_xor(F.xxhash64("key")).alias("own")).filter(F.col("kinds") > 1)
     chosen = materialize(sizes.groupBy("kinds", "group_docs", "own").agg(F.min("group").alias("group")).select("group", "group_docs"), "chosen")
     # Most groups hold one line alone; the bitmap keeps them out of the shuffle.
     shared = member.select("key", "group").filter(maybe_in(chosen, "group"))
-    return materialize(shared.join(chosen, "group").join(variants, "key"), "grouped")
+    grouped = materialize(shared.join(chosen, "group").join(variants, "key"), "grouped")
+    forget(held, chosen)
+    return grouped
 
 
 def _by_place(constants: Column) -> Column:
@@ -164,6 +166,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     words = _held_lines(holders, mixed).groupBy("leaf", "key").agg(F.first("line").alias("line"))
     variants = materialize(mixed.join(words, ["leaf", "key"]).select("leaf", "key", "docs", "line"), "variants")
     grouped = _grouped(variants)
+    forget(variants)
     # Shuffles of what is stored go, as those of the next steps may take as much disk again.
     settle(docs.sparkSession)
     templates = _templates(grouped)
@@ -171,10 +174,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     named = materialize(crowded.filter(F.col("docs") >= min_docs).select("key", F.col("key").alias("name"), "docs", F.lit(0).alias("more")).union(
         templates.filter(F.col("share") >= SIMILARITY).select(
             "key", F.xxhash64("leaf", "template").alias("name"), "docs", "more").distinct()), "templates")
+    forget(grouped)
     # A document may have several lines of one template: first by their sum, then by documents.
     likely = named.groupBy("name").agg(F.sum("docs").alias("n"), F.max("more").alias("least")).withColumn(
         "least", F.col("least") + min_docs).filter(F.col("n") >= F.col("least")).select("name", "least")
     hits = materialize(hashed.select("doc_id", "body", "pos", "key").join(named.join(likely, "name").select("key", "name", "least"), "key"), "hits")
+    forget(hashed, crowded, named)
     settle(docs.sparkSession)
     recurring = hits.groupBy("name").agg(
         F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("kept_in"), F.first("least").alias("least")).filter(
